@@ -1,42 +1,17 @@
-"""Helpers shared by the text operators: scratch tables, word patterns, row keys."""
+"""Helpers shared by the text operators: word patterns, column names."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import scratch_dir, written  # noqa: F401
+
 #: ASCII white space, the separators of words and what is stripped from lines.
 SPACE = " \t\n\x0b\x0c\r"
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 MAX_LONG = (1 << 63) - 1
 
-_OWN: dict[str, str] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        base = _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="lumenfield-"))
-    return base
-
-
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    Cuts the lineage, so that a lost executor costs a file read and not a recomputation, and gives the
-    planner the real size of the table: joins with it are broadcast only under Spark's own size check.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def words(text: Column) -> Column:
     """Array of the maximal runs of characters that are not ASCII white space."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_SPLIT), "")
