@@ -248,8 +248,8 @@ def _window_hashes(length: int):
     return run
 
 
-def _removed(length: int):
-    schema = pa.schema([("rid", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept", pa.binary())])
+def _removed(length: int, as_text: bool):
+    schema = pa.schema([("rid", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept", pa.string() if as_text else pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,15 +268,18 @@ def _removed(length: int):
                     at = s["stop"]
                 kept.append(text[at:])
                 kept = b"".join(kept)
-                for n, x in zip(schema.names, (rid, len(text) - len(kept), spans, kept)):
+                for n, x in zip(schema.names, (rid, len(text) - len(kept), spans, kept.decode("utf-8", "ignore") if as_text else kept)):
                     out[n].append(x)
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, crowd: int = 20_000) -> DataFrame:
-    """``docs`` with n_bytes, n_removed, spans (removed byte ranges) and kept (the remaining bytes)."""
+def remove_repeats(docs: DataFrame, length: int = 400, crowd: int = 20_000, as_text: bool = False) -> DataFrame:
+    """``docs`` with n_bytes, n_removed, spans (removed byte ranges) and kept (the remaining bytes).
+
+    With ``as_text``, kept is a string, without the characters that a cut went through.
+    """
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
     rid, = unused(docs, "_rid")
@@ -301,6 +304,6 @@ def remove_repeats(docs: DataFrame, length: int = 400, crowd: int = 20_000) -> D
     spans = written(whole.unionByName(sorted_).unionByName(counted), "spans")
     by_row = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "windows")).alias("found"))
     joined = texts.join(by_row.hint("shuffle_hash"), "rid", "left").select("rid", "text", F.coalesce("found", F.array().cast("array<struct<start:bigint,windows:bigint>>")).alias("found"))
-    kept = joined.mapInArrow(_removed(length), "rid long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary")
+    kept = joined.mapInArrow(_removed(length, as_text), f"rid long, n_removed long, spans array<struct<start:long,stop:long>>, kept {'string' if as_text else 'binary'}")
     n_bytes = F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long")
     return docs.withColumn("n_bytes", n_bytes).drop("text").join(kept.withColumnRenamed("rid", rid), rid).drop(rid)
