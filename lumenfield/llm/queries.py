@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, near_dup, packing, quality_rules, suffix_dedup
+from . import bpe, embedding_dedup, line_dedup, near_dup, packing, quality_rules, suffix_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -42,13 +42,17 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link(_read(spark, sf_dir, "embeddings"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_minhash_near_dedup, op4_best_fit_packing, op5_suffix_array_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_minhash_near_dedup, op4_best_fit_packing, op5_suffix_array_dedup, op8_embedding_near_dedup, op10_line_dedup)}
 
 
 _OP1 = r"""
@@ -93,5 +97,16 @@ from d group by doc_id
 """
 
 
+_OP8 = r"""
+with recursive e as (
+  select a.vec_id as src, b.vec_id as dst from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) >= 0.93),
+c as (select vec_id as node, vec_id as seen from embeddings union select c.node, e.dst from c join e on c.seen = e.src),
+m as (select node, min(seen) as component_id from c group by node)
+select v.vec_id, coalesce(n, 0) as n_links, component_id, v.vec_id = component_id as kept
+from embeddings v join m on v.vec_id = m.node left join (select src, count(*) as n from e group by src) d on v.vec_id = d.src
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _OP1, "op10_line_dedup": _OP10}
+    return {"op1_quality_rules": _OP1, "op8_embedding_near_dedup": _OP8, "op10_line_dedup": _OP10}
