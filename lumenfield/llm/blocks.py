@@ -6,7 +6,7 @@ for each hash bucket, one row with the block's distinct words of that bucket. Th
 of their bucket, where each distinct word of the corpus is looked at once (``by_word``), and what it yields goes
 back to the blocks (``assemble``), where the positions put the documents together again.
 
-The exchange by block is used by both branches, so the texts are split once and the numbers move once. No
+Give ``by_word`` and ``assemble`` one exchange by block (or a written table), so that texts are split once. No
 row, group or task holds more than one block or one bucket; there are as many buckets as shuffle partitions.
 """
 
@@ -89,7 +89,7 @@ class _Numbers(dict):
         return n
 
 
-def split(docs: DataFrame, tokenizer: Callable[[], Callable[[str], list[str]]], buckets: int, block_bytes: int = 16 << 20, counted: bool = False) -> DataFrame:
+def split(docs: DataFrame, tokenizer: Callable[[], Callable[[str], list]], buckets: int, block_bytes: int = 16 << 20, counted: bool = False) -> DataFrame:
     """Rows of a block's word numbers (bucket -1) and of its distinct words (payload: words, and with
     ``counted`` how often documents with a true flag hold them). ``docs``: doc_id, flag, text."""
 
@@ -105,7 +105,7 @@ def split(docs: DataFrame, tokenizer: Callable[[], Callable[[str], list[str]]],
             rank = np.empty(len(numbers), np.uint32)
             rank[by_rank] = np.arange(len(numbers), dtype=np.uint32)
             words = list(numbers)
-            words = [words[k].encode() for k in by_rank.tolist()]
+            words = [w if isinstance(w, bytes) else w.encode() for w in map(words.__getitem__, by_rank.tolist())]
             held = np.fromiter((zlib.crc32(w) % buckets for w in words), np.uint32, len(words))
             seen = None
             if counted:
@@ -141,7 +141,7 @@ def split(docs: DataFrame, tokenizer: Callable[[], Callable[[str], list[str]]],
         if ids:
             yield flush()
 
-    return docs.select(docs["doc_id"].cast("long"), "flag", "text").mapInArrow(run, SPLIT).repartition("block")
+    return docs.select(docs["doc_id"].cast("long"), "flag", "text").mapInArrow(run, SPLIT)
 
 
 def by_word(parts: DataFrame, work: Callable[[list[list[bytes]], list[list[np.ndarray]]], Iterable[bytes]]) -> DataFrame:

@@ -160,7 +160,7 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
         return pa.table({"doc_id": pa.array(b.doc_ids, pa.int64()), "n_tokens": pa.array(counts, pa.int64()), "ids": pa.array(out, pa.binary())})
 
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = blocks.split(docs.select("doc_id", F.lit(True).alias("flag"), "text"), _pretokens, buckets)
+    parts = blocks.split(docs.select("doc_id", F.lit(True).alias("flag"), "text"), _pretokens, buckets).repartition("block")
     return blocks.assemble(parts, blocks.by_word(parts, once), join, "doc_id long, n_tokens long, ids binary")
 
 
