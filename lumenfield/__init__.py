@@ -1,0 +1 @@
+"""Imaging-survey analytics on Spark DataFrames."""
