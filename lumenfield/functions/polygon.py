@@ -77,7 +77,7 @@ def swap_middle(v: Column) -> Column:
 
 
 def valid_quad(v: Column) -> Column:
-    return (F.size(v) == 4) & ~self_crossing(v) & (area(v) > 0)
+    return F.coalesce((F.size(v) == 4) & ~F.exists(v, lambda p: p.isNull()) & ~self_crossing(v) & (area(v) > 0), F.lit(False))
 
 
 def convex(v: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions.columns import all_of, any_of
+from . import order as order_
 
 ATTRIBUTES = ("filter", "detector", "pupil")
 
@@ -53,21 +54,8 @@ def select(box: DataFrame, condition: dict[str, Iterable] | None = None, predica
 
 
 def numbered(box: DataFrame, order: str = "exposure_id") -> DataFrame:
-    """``box`` with its order as a dense number from 0, without a sort in one task.
-
-    Rows are range-partitioned by ``order`` and numbered in their partition; counts by partition (one small
-    row each) give the start of each.
-    """
-    rid = F.monotonically_increasing_id()
-    dealt = box.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_rid", rid)
-    dealt = dealt.withColumn("_part", F.shiftright("_rid", 33)).withColumn("_in", F.col("_rid").bitwiseAND((1 << 33) - 1))
-    from ..scratch import written
-
-    dealt = written(dealt.drop("_rid"), "numbered")
-    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # a row per partition
-    return dealt.join(F.broadcast(starts), "_part").withColumn("ord", F.col("_start") + F.col("_in")).drop("_part", "_in", "_start")
+    """``box`` with its order as a dense number from 0 (column ord)."""
+    return order_.numbered(box, order)
 
 
 def at(box: DataFrame, key: int | str | slice | list) -> DataFrame:

@@ -215,7 +215,7 @@ def background(pixels: DataFrame, mask: Column | None = None, block: int = 128,
         ox = (w // sx) // 2 if origin_x is None else origin_x
         oy = (h // sy) // 2 if origin_y is None else origin_y
         if len(pdf) < 16:
-            return pd.DataFrame({"image_id": [], "coef": [], "sx": [], "sy": []})
+            return pd.DataFrame({"image_id": pdf["image_id"][:0], "coef": pd.Series([], dtype=object), "sx": pd.Series([], dtype=float), "sy": pd.Series([], dtype=float)})
         bx, by = _basis((ox + sx * pdf["tx"].to_numpy(float)) / max(w, 1), 1), _basis((oy + sy * pdf["ty"].to_numpy(float)) / max(h, 1), 1)
         a = (by[:, :, None] * bx[:, None, :]).reshape(len(pdf), -1)
         coef = np.linalg.lstsq(a, pdf["med"].to_numpy(float), rcond=None)[0]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import polygon
 from . import spatial
 from .graph import connected_components
+from .order import numbered
 
 
 def components_of(items: DataFrame, edges: DataFrame, key: str) -> DataFrame:
@@ -65,12 +66,11 @@ def ordered(centres: DataFrame, key: str = "id", component: str = "component", x
     """``centres`` with place: components by their highest declination, downwards; inside by declination downwards,
     then by right ascension about the component's circular mean; ties by the least key.
 
-    Places are sums over components (one row each) and ranks inside components.
+    Components are numbered by ranges, not in one task; ranks inside a component are of its members only.
     """
     rad = F.radians(F.col(x))
     comp = centres.groupBy(component).agg(F.max(y).alias("top"), F.min(key).alias("least"), F.count(F.lit(1)).alias("n"), F.degrees(F.atan2(F.avg(F.sin(rad)), F.avg(F.cos(rad)))).alias("mean"))
-    before = Window.orderBy(F.col("top").desc(), "least")
-    comp = comp.select(component, "mean", F.row_number().over(before).alias("component_no"), F.coalesce(F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    comp = numbered(comp, F.col("top").desc(), F.col("least"), place="component_no", weight="n", before="start").select(component, "mean", "component_no", "start")
     wrapped = F.pmod(F.col(x) - F.col("mean") + 180, F.lit(360.0)) - 180
     inside = Window.partitionBy(component).orderBy(F.col(y).desc(), wrapped, key)
     out = centres.join(comp, component)

@@ -511,7 +511,7 @@ def combine_median(spark, d):
     return spectra.combine_median(_resampled(spark, d)).select("y", "bin", r6("flux").alias("flux"), r6("err").alias("err"), "n")
 
 
-@query(f"with {_RES}, {_MEAN} select y, bin, round(g0 + bin * step, 6) as center, round(flux, 6) as flux, round(err, 6) as err, n from mean, g")
+@query(f"with {_RES}, {_MEAN} select y, bin, round(g0 + bin * step, 6) as center, round(flux, 6) as flux, round(err, 6) as err, mean.n from mean, g")
 def resample_and_combine(spark, d):
     return spectra.resample_and_combine(_spec(spark, d)).select("y", "bin", r6("center").alias("center"), r6("flux").alias("flux"), r6("err").alias("err"), "n")
 
