@@ -11,7 +11,7 @@ partitions Spark splits. The text moves once, by document.
 
 Defined results: null text is one empty line; keys shorter than ``min_chars`` code points are never dropped;
 all rows with one doc_id are one document to the key counts, a null doc_id counts as the largest; repeated rows of one
-doc_id lose the same lines; an empty table gives an empty result.
+doc_id and text lose the same lines; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -62,13 +62,13 @@ class LineRuns:
         return written(df.repartition(*KEY).sortWithinPartitions(*KEY), "run")
 
     def process(self, lines: DataFrame) -> DataFrame:
-        """Adds a batch of (ord, pos, h1, h2); returns the (ord, pos) that repeat a line of an earlier document."""
+        """Adds a batch of (ord, row, pos, h1, h2); returns the (ord, row, pos) that repeat a line of an earlier document."""
         firsts = lines.groupBy(*KEY).agg(F.min("ord").alias("first"))
         known = self.keys()
         if known is not None:
             firsts = firsts.join(known, KEY, "left_anti")
         fresh = written(firsts.sortWithinPartitions(*KEY), "run")
-        repeats = lines.join(fresh, KEY, "left").where(F.col("first").isNull() | (F.col("first") < F.col("ord"))).select("ord", "pos")
+        repeats = lines.join(fresh, KEY, "left").where(F.col("first").isNull() | (F.col("first") < F.col("ord"))).select("ord", "row", "pos")
         repeats = written(repeats, "repeats")
         self.add(fresh)
         return repeats
@@ -76,10 +76,11 @@ class LineRuns:
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: int = 2) -> DataFrame:
     """``docs`` with the columns n_lines, n_dropped and kept_text added."""
-    key, lines_c, drop_c, n_c = unused(docs, "_ord", "_lines", "_drop", "_n")
+    key, row, lines_c, drop_c = unused(docs, "_ord", "_row", "_lines", "_drop")
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_LONG))
-    line = docs.select(order.alias("ord"), F.posexplode(split_lines(F.col("text"))).alias("pos", "line")).select("ord", "pos", line_key(F.col("line")).alias("key"))
-    line = line.where(F.length("key") >= min_chars).select("ord", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), F.col("key")).alias("h2"))
+    text = F.xxhash64("text")  # tells apart the texts of one doc_id
+    line = docs.select(order.alias("ord"), text.alias("row"), F.posexplode(split_lines(F.col("text"))).alias("pos", "line")).select("ord", "row", "pos", line_key(F.col("line")).alias("key"))
+    line = line.where(F.length("key") >= min_chars).select("ord", "row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), F.col("key")).alias("h2"))
     line = written(line, "lines")
     cuts = line.agg(F.percentile_approx("ord", [k / batches for k in range(1, batches)], 1000)).first()[0] or []
     bounds = [None, *sorted(set(cuts)), None]
@@ -92,11 +93,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout:
             part = part.where(F.col("ord") <= hi)
         out = runs.process(part)
         dropped = out if dropped is None else dropped.unionByName(out)
-    by_doc = dropped.groupBy(F.col("ord").alias(key)).agg(F.collect_set("pos").alias(drop_c))
-    joined = docs.withColumn(key, order).join(by_doc.hint("shuffle_hash"), key, "left")
+    by_doc = dropped.groupBy(F.col("ord").alias(key), F.col("row").alias(row)).agg(F.collect_set("pos").alias(drop_c))
+    joined = docs.withColumn(key, order).withColumn(row, text).join(by_doc.hint("shuffle_hash"), [key, row], "left")
     n = F.size(lines_c)
     keep = F.when(F.col(drop_c).isNull(), F.col("text")).otherwise(
         F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), n - 1), F.col(drop_c)), lambda i: F.get(F.col(lines_c), i)), "\n")
     )
     joined = joined.withColumn(lines_c, split_lines(F.col("text")))
-    return joined.withColumns({"n_lines": n.cast("long"), "n_dropped": F.coalesce(F.size(drop_c), F.lit(0)).cast("long"), "kept_text": F.coalesce(keep, F.lit(""))}).drop(key, lines_c, drop_c)
+    return joined.withColumns({"n_lines": n.cast("long"), "n_dropped": F.coalesce(F.size(drop_c), F.lit(0)).cast("long"), "kept_text": F.coalesce(keep, F.lit(""))}).drop(key, row, lines_c, drop_c)
