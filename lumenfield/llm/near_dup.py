@@ -9,8 +9,9 @@ multisets of shingles.
 
 Scale: exact copies are one node (their md5), however many rows they have. Texts that meet in a bucket are
 not paired with each other: first each is verified against the least node of its buckets, then against the
-least node of each of its buckets, and last only across those components of a bucket that are still
-apart. Only texts that meet any other move again, twice for each pair that is verified.
+least node of each of its buckets, and last, for the texts of buckets whose components are still apart, with those texts of
+other components that an exact prefix filter leaves. Only texts that meet any other move again, twice for each pair
+that is verified.
 
 Defined results: texts are linked if the multisets of their ``k``-word shingles overlap (sum of minima over sum of
 maxima) by ``threshold`` or more; a text of fewer words is one shingle of all its words; texts without words are linked
@@ -160,6 +161,70 @@ def _alike(k: int, threshold: float):
     return run
 
 
+SKETCH = 1 << 21
+
+
+def _elements(text: bytes, k: int, hashes: WordHashes) -> np.ndarray:
+    """The multiset of shingles as a set: each with the number of its occurrence."""
+    e, w = shingles(text, k, hashes)
+    times = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+    return mix(np.repeat(e, w) + times.astype(U) * _K1)
+
+
+def _frequencies(k: int):
+    schema = pa.schema([("slot", pa.int32()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts = WordHashes(), np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                np.add.at(counts, (_elements(text.as_py(), k, hashes) % U(SKETCH)).astype(np.int64), 1)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], schema=schema)
+
+    return run
+
+
+def _rare_first(k: int, threshold: float, sketch):
+    schema = pa.schema([("node", pa.binary()), ("component", pa.binary()), ("element", pa.int64()), ("place", pa.int32()), ("size", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for node, comp, text in zip(*(batch.column(i) for i in range(3))):
+                e = _elements(text.as_py(), k, hashes)
+                e = e[np.lexsort((e, sketch.value[(e % U(SKETCH)).astype(np.int64)]))]
+                n = len(e)
+                head = e[: n - int(np.ceil(threshold * n - 1e-9)) + 1].view(np.int64)
+                m = len(head)
+                cols = (pa.array([node.as_py()] * m, pa.binary()), pa.array([comp.as_py()] * m, pa.binary()), pa.array(head), pa.array(np.arange(m, dtype=np.int32)), pa.array(np.full(m, n, np.int32)))
+                yield pa.RecordBatch.from_arrays(list(cols), schema=schema)
+
+    return run
+
+
+def rare_pairs(texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Pairs (a, b) of texts (node, component, text) of different components that can reach the threshold.
+
+    Exact prefix filter: in an order that all texts share, the first element that two texts have in common leaves each
+    only what comes after it, so it stands near the front of both if they are alike. The order is by
+    a sketch of the elements' frequencies (of fixed size, rare ones first): what sets a text apart
+    comes first, and texts with too much of it meet nothing.
+    """
+    counts = np.zeros(SKETCH, np.int64)
+    seen = texts.select("text").mapInArrow(_frequencies(k), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SKETCH rows
+    counts[seen.column("slot").to_numpy()] = seen.column("n").to_numpy()
+    sketch = texts.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32))
+    front = written(texts.select("node", "component", "text").mapInArrow(_rare_first(k, threshold, sketch), "node binary, component binary, element long, place int, size int"), "front")
+    shared = front.groupBy("element").agg(F.min("component").alias("x"), F.max("component").alias("y")).where(F.col("x") != F.col("y")).select("element")
+    front = written(front.join(shared, "element", "left_semi"), "front")
+    a, b = front.alias("a"), front.alias("b")
+    need = threshold / (1 + threshold) * (F.col("a.size") + F.col("b.size")) - 1e-6
+    meet = (F.col("a.element") == F.col("b.element")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component"))
+    meet = meet & (F.col("a.size") - F.col("a.place") >= need) & (F.col("b.size") - F.col("b.place") >= need)
+    return a.join(b, meet).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+
+
 def node_of(text: Column) -> Column:
     """Exact copies are one node."""
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
@@ -200,9 +265,8 @@ def classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = 24
     second = written(second.join(first, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(linked(second))
     # 3: across the components of a bucket that are still apart
-    left = apart(pieces(links))
-    other = left.select("key", F.col("node").alias("b"), F.col("component").alias("other"))
-    third = left.select("key", F.col("node").alias("a"), "component").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("other"))).select("a", "b").distinct()
+    left = apart(pieces(links)).select("node", "component").distinct()
+    third = rare_pairs(left.join(texts, "node"), k, threshold)
     third = third.join(first.unionByName(second), ["a", "b"], "left_anti")
     links = links.unionByName(linked(third))
     comp = pieces(links)
