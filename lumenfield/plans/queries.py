@@ -317,6 +317,23 @@ def quad_validity(spark, d):
     return fixed.select("fp_id", "crossed", polygon.valid_quad(F.col("v")).alias("valid"))
 
 
+@query("select ord, basename, stage from (select fp_id as ord, concat('e', cast(fp_id as string)) as basename, case when fp_id % 3 = 0 then '2a' else '2b' end as stage from v_footprints) t where stage = '2b'")
+def stage_footprints(spark, d):
+    """Footprints at the first stage that has one: rows of stage 2a have none."""
+    f = _fps(spark, d)
+    early = F.col("fp_id") % 3 == 0
+    covers = f.select(F.col("fp_id").alias("ord"), F.concat(F.lit("e"), F.col("fp_id").cast("string")).alias("basename"), F.when(early, F.lit("2a")).otherwise(F.lit("2b")).alias("stage"), F.lit(0).alias("stage_no"), F.when(~early, F.col("vertices")).alias("vertices"))
+    return boxes.stage_footprints(covers).select("ord", "basename", "stage")
+
+
+@query("select cast(floor(fp_id / 10) as bigint) as pair, round(2 * (x1 - x0) * (y1 - y0) - greatest(x1 - x0 - 3.5e-3, 0e0) * greatest(y1 - y0 - 3.5e-3, 0e0), 9) as area from v_footprints where fp_id % 10 = 0 and fp_id + 1 in (select fp_id from v_footprints)")
+def union_outlines(spark, d):
+    """Area of two neighbouring dithers together."""
+    f = _fps(spark, d).where("fp_id % 10 < 2").withColumn("pair", F.floor(F.col("fp_id") / 10))
+    two = f.join(f.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).where("n = 2"), "pair")
+    return pointing.union_outline(two.select("pair", "vertices"), "pair").select("pair", F.round("area", 9).alias("area"))
+
+
 _MEMBERS = f"""m as (select regexp_extract(filename, '^jw\\d{{11}}_\\d{{5}}_\\d{{5}}', 0) as fileset, filter, detector, filename, exposure_id, concat(substr(filename, 1, 13), filter, substr(detector, 1, 4)) as grp from v_exposures)"""
 
 
@@ -377,6 +394,12 @@ def tile_medians(spark, d):
     return stats.tile_medians(_px(spark, d), F.col("dq") != 0, 8, fraction=0.1).select("image_id", "ty", "tx", r6("med").alias("med"))
 
 
+@query("select image_id, max(x) + 1 as width, max(y) + 1 as height from v_pixels group by image_id")
+def image_shapes(spark, d):
+    """Sides of the images, which have to be multiples of the tile (64 x 1 here)."""
+    return stats.divisible(_px(spark, d), 64, 1)
+
+
 @query("select image_id, round(quantile_cont(sci, 0.01), 6) as p_low, round(quantile_cont(sci, 0.99), 6) as p_high from v_pixels where sci is not null group by image_id")
 def image_percentiles(spark, d):
     return stats.percentiles(_px(spark, d)).select("image_id", r6("p_low").alias("p_low"), r6("p_high").alias("p_high"))
