@@ -6,7 +6,7 @@ The hinge loss is minimised by dual coordinate descent in parts of about ``part_
 one task, whose weights are averaged. Margins become probabilities by a logistic curve fitted to the margins of
 training rows that were kept out of the fit.
 
-Scale: texts with labels move once, by doc_id; class counts are summed in each task and then by feature; weights
+Scale: training texts move once, by doc_id, to meet their labels (the same join at every size); class counts are summed in each task and then by feature; weights
 have a fixed size; scoring is one scan without a shuffle.
 
 Defined results: a null text is an empty one (no indicators, the score of the bias); labels are by doc_id, the
@@ -131,12 +131,12 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     y = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     y = y.where(fold_of(F.col("doc_id"), folds) != held_out)
-    known = docs.where(fold_of(F.col("doc_id"), folds) != held_out).select("doc_id", text.alias("text")).join(y, "doc_id")
+    known = docs.where(fold_of(F.col("doc_id"), folds) != held_out).select("doc_id", text.alias("text")).join(y.hint("shuffle_hash"), "doc_id")
     known = written(known.withColumn("r", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))).select("text", "y", "r"), "labelled")
     counts = known.select("text", "y").mapInArrow(_class_counts(bits), "feature int, c0 long, c1 long").groupBy("feature").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
     n = np.zeros((2, (1 << bits) + 1))
-    for r in counts.toLocalIterator():  # at most 2**bits + 1 rows
-        n[0, r["feature"]], n[1, r["feature"]] = r["c0"], r["c1"]
+    counts = counts.toArrow()  # at most 2**bits + 1 rows
+    n[:, counts.column("feature").to_numpy()] = counts.column("c0").to_numpy(), counts.column("c1").to_numpy()
     rows = n[:, -1]
     p = n[:, :-1] + 1
     ratio = spark.sparkContext.broadcast(np.log(p[1] / p[1].sum()) - np.log(p[0] / p[0].sum()))
@@ -146,10 +146,10 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
         fit = known.where("r % 8 <> 0").withColumn("part", (F.floor(F.col("r") / 8) % parts).cast("int"))
         fitted = fit.groupBy("part").applyInArrow(_fit_part(bits, ratio, c, epochs), "n long, feature int, w double")
         fitted = fitted.groupBy("feature").agg(F.sum(F.col("n") * F.col("w")).alias("w"), F.sum("n").alias("n"))
-        for r in fitted.toLocalIterator():  # at most 2**bits + 1 rows
-            weights[r["feature"]] = r["w"]
-            if r["feature"] == 1 << bits:
-                total = r["n"]
+        fitted = fitted.toArrow()  # at most 2**bits + 1 rows
+        at = fitted.column("feature").to_numpy()
+        weights[at] = fitted.column("w").to_numpy()
+        total = fitted.column("n").to_numpy()[at == 1 << bits].sum()
         weights /= total
     model = spark.sparkContext.broadcast(weights)
 
