@@ -188,7 +188,7 @@ def train(symbols: DataFrame, shape: Shape, rounds: int = 8, parts: int = 12, pr
     seen = np.zeros((2, m, k), np.float64)
     by_class = cells.join(F.broadcast(class_of), "b").groupBy("kind", "a", "class").agg(F.sum("n").alias("n"))
     by_class = by_class.groupBy("kind", "a").agg(F.collect_list("class").alias("c"), F.collect_list("n").alias("n"))
-    for r in by_class.toLocalIterator():  # two rows per symbol
+    for r in by_class.collect():  # two rows per symbol
         seen[r["kind"] - 1, r["a"]] = np.bincount(r["c"], r["n"], k)
     share = (seen[0].sum(axis=0) + 1) / (seen[0].sum() + k)
     smooth = lambda o: np.log((o + prior * share) / (o.sum(axis=1, keepdims=True) + prior))
@@ -226,7 +226,7 @@ def train(symbols: DataFrame, shape: Shape, rounds: int = 8, parts: int = 12, pr
     for _ in range(rounds if texts else 0):
         weights = spark.sparkContext.broadcast((big, skip))
         e_big, e_skip = np.zeros((m, k)), np.zeros((m, k))
-        for r in contexts.mapInArrow(expected(weights), "rows int, big binary, skip binary").toLocalIterator():
+        for r in contexts.mapInArrow(expected(weights), "rows int, big binary, skip binary").collect():  # `parts` rows
             e_big += np.frombuffer(r["big"], np.float32).reshape(m, k)
             e_skip += np.frombuffer(r["skip"], np.float32).reshape(m, k)
         weights.destroy()
@@ -256,7 +256,7 @@ def train(symbols: DataFrame, shape: Shape, rounds: int = 8, parts: int = 12, pr
     base = np.where(real, np.log(plain.reshape(shape.groups, CLASS) + 0.5), -60.0)
     head = np.zeros((m, shape.groups, CLASS), np.float32)
     fitted = cells.where((F.col("kind") == 1) & (F.col("b") <= shape.head)).withColumn("g", F.floor(F.col("a") / 32)).groupBy("g").applyInArrow(within, "a short, u binary")
-    for r in fitted.toLocalIterator():  # a row per symbol
+    for r in fitted.collect():  # a row per symbol
         head[r["a"]] = np.frombuffer(r["u"], np.float32).reshape(shape.groups, CLASS)
     head += base.astype(np.float32)
     head -= np.log(np.exp(head.astype(np.float64)).sum(axis=2, keepdims=True)).astype(np.float32)
