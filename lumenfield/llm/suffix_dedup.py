@@ -287,6 +287,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, crowd: int = 20_000, as_t
     texts = docs.select(F.col(rid).alias("rid"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     all_ = written(texts.mapInArrow(_anchored(length), ANCHORS), "anchors")
     again = all_.groupBy("anchor").agg(F.count(F.lit(1)).alias("places")).where("places > 1").select("anchor")
+    again = written(again, "anchors")  # a table of its own, so that Spark can split the join where one anchor has most places
     found = written(all_.join(again, "anchor", "left_semi"), "again")
     distinct = found.groupBy("anchor", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "start", "windows", "back")).alias("x"))
     distinct = written(distinct.select("anchor", "c1", "c2", "n", "x.*"), "contexts")
