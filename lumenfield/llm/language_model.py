@@ -178,28 +178,29 @@ def _cells(shape: Shape):
     return run
 
 
-def train(symbols: DataFrame, shape: Shape, rounds: int = 8, parts: int = 12, prior: float = 4.0) -> dict[str, np.ndarray]:
+def train(symbols: DataFrame, shape: Shape, rounds: int = 8, parts: int = 6, prior: float = 4.0) -> dict[str, np.ndarray]:
     """Weights: bigram and skip features of classes, normalisers, and head words within their classes."""
     spark = symbols.sparkSession
     m, k = shape.symbols, shape.classes
     cells = symbols.where("flag").select("symbols").mapInArrow(_cells(shape), "kind byte, a short, b short, n long")
     cells = written(cells.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).repartition(parts, "a"), "cells")
     class_of = spark.createDataFrame([(i, int(c)) for i, c in enumerate(shape.of)], "b short, class int")  # a row per symbol
-    seen = np.zeros((2, m, k), np.float64)
+    seen = np.zeros((2, m, k), np.float32)
     by_class = cells.join(F.broadcast(class_of), "b").groupBy("kind", "a", "class").agg(F.sum("n").alias("n"))
-    by_class = by_class.groupBy("kind", "a").agg(F.collect_list("class").alias("c"), F.collect_list("n").alias("n"))
-    for r in by_class.collect():  # two rows per symbol
-        seen[r["kind"] - 1, r["a"]] = np.bincount(r["c"], r["n"], k)
-    share = (seen[0].sum(axis=0) + 1) / (seen[0].sum() + k)
+    by_class = by_class.toArrow()  # at most 2 * symbols * classes rows
+    kind, a, c, n = (by_class.column(i).to_numpy() for i in range(4))
+    seen[kind - 1, a, c] = n
+    del by_class, kind, a, c, n
+    share = (seen[0].sum(axis=0, dtype=np.float64) + 1) / (seen[0].sum(dtype=np.float64) + k)
     smooth = lambda o: np.log((o + prior * share) / (o.sum(axis=1, keepdims=True) + prior))
-    big, skip = smooth(seen[0]), 0.3 * (smooth(seen[1]) - np.log(share))
+    big, skip = smooth(seen[0]).astype(np.float32), (0.3 * (smooth(seen[1]) - np.log(share))).astype(np.float32)
 
     def expected(weights):
-        schema = pa.schema([("rows", pa.int32()), ("big", pa.binary()), ("skip", pa.binary())])
+        schema = pa.schema([("rows", pa.binary()), ("big", pa.binary()), ("skip", pa.binary())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            eb, es = (np.exp(w).astype(np.float32) for w in weights.value)
-            gb, gs = np.zeros((m, k), np.float32), np.zeros((m, k), np.float32)
+            eb, es = (np.exp(w) for w in weights.value)
+            gb, gs = np.zeros((m, k), np.float32), []
             got = [[batch.column(i).to_numpy() for i in range(3)] for batch in batches]
             a, b, x = (np.concatenate([g[i] for g in got]) if got else np.zeros(0, np.int16) for i in range(3))
             order = np.argsort(a, kind="stable")
@@ -213,8 +214,10 @@ def train(symbols: DataFrame, shape: Shape, rounds: int = 8, parts: int = 12, pr
                 dense[np.searchsorted(rows, a[part]), b[part]] = x[part]
                 r = dense / np.maximum(es[rows] @ eb.T, 1e-30)
                 gb += r.T @ es[rows]
-                gs[rows] = es[rows] * (r @ eb)
-            yield pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), pa.array([(gb * eb).tobytes()], pa.binary()), pa.array([gs.tobytes()], pa.binary())], schema=schema)
+                gs.append(es[rows] * (r @ eb))
+            own = np.concatenate(gs) if gs else np.zeros((0, k), np.float32)
+            values = (found.astype("<i4").tobytes(), (gb * eb).tobytes(), own.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in values], schema=schema)
 
         return run
 
@@ -225,14 +228,17 @@ def train(symbols: DataFrame, shape: Shape, rounds: int = 8, parts: int = 12, pr
     contexts = written(contexts.repartition(parts, "a"), "contexts")
     for _ in range(rounds if texts else 0):
         weights = spark.sparkContext.broadcast((big, skip))
-        e_big, e_skip = np.zeros((m, k)), np.zeros((m, k))
-        for r in contexts.mapInArrow(expected(weights), "rows int, big binary, skip binary").collect():  # `parts` rows
-            e_big += np.frombuffer(r["big"], np.float32).reshape(m, k)
-            e_skip += np.frombuffer(r["skip"], np.float32).reshape(m, k)
+        e_big, e_skip = np.zeros((m, k), np.float32), np.zeros((m, k), np.float32)
+        got = contexts.mapInArrow(expected(weights), "rows binary, big binary, skip binary").toArrow()  # `parts` rows
+        for rows, b, s in zip(*got.columns):
+            e_big += np.frombuffer(b.as_buffer(), np.float32).reshape(m, k)
+            e_skip[np.frombuffer(rows.as_buffer(), "<i4")] += np.frombuffer(s.as_buffer(), np.float32).reshape(-1, k)
+        del got
         weights.destroy()
-        for w, o, e, centre in ((big, seen[0], e_big, np.log(share)), (skip, seen[1], e_skip, 0.0)):
+        for w, o, e, centre in ((big, seen[0], e_big, np.log(share).astype(np.float32)), (skip, seen[1], e_skip, np.float32(0))):
             w += 0.6 * np.clip((o - e - (w - centre) * 0.5) / (np.maximum(o, e) + 1.0), -2, 2)
-    z = np.log(np.maximum(np.exp(skip).astype(np.float32) @ np.exp(big).astype(np.float32).T, 1e-30))
+    z = np.exp(skip) @ np.exp(big).T
+    np.log(np.maximum(z, 1e-30, out=z), out=z)
 
     def within(table: pa.Table) -> pa.Table:
         """Bigram weights of head words inside their classes for some tokens before; the rows are independent."""
@@ -256,11 +262,14 @@ def train(symbols: DataFrame, shape: Shape, rounds: int = 8, parts: int = 12, pr
     base = np.where(real, np.log(plain.reshape(shape.groups, CLASS) + 0.5), -60.0)
     head = np.zeros((m, shape.groups, CLASS), np.float32)
     fitted = cells.where((F.col("kind") == 1) & (F.col("b") <= shape.head)).withColumn("g", F.floor(F.col("a") / 32)).groupBy("g").applyInArrow(within, "a short, u binary")
-    for r in fitted.collect():  # a row per symbol
-        head[r["a"]] = np.frombuffer(r["u"], np.float32).reshape(shape.groups, CLASS)
+    fitted = fitted.toArrow()  # a row per symbol
+    for a, u in zip(fitted.column("a").to_pylist(), fitted.column("u")):
+        head[a] = np.frombuffer(u.as_buffer(), np.float32).reshape(shape.groups, CLASS)
+    del fitted
     head += base.astype(np.float32)
-    head -= np.log(np.exp(head.astype(np.float64)).sum(axis=2, keepdims=True)).astype(np.float32)
-    return {"big": big.astype(np.float32), "skip": skip.astype(np.float32), "z": z.astype(np.float32), "head": head.reshape(m, -1)}
+    for row in head:
+        row -= np.log(np.exp(row.astype(np.float64)).sum(axis=1, keepdims=True)).astype(np.float32)
+    return {"big": big, "skip": skip, "z": z, "head": head.reshape(m, -1)}
 
 
 def log_probabilities(model: dict[str, np.ndarray], shape: Shape, before2: np.ndarray, before: np.ndarray, token: np.ndarray) -> np.ndarray:
