@@ -89,7 +89,7 @@ class _Numbers(dict):
         return n
 
 
-def split(docs: DataFrame, tokenizer: Callable[[], Callable[[str], list]], buckets: int, block_bytes: int = 16 << 20, counted: bool = False) -> DataFrame:
+def split(docs: DataFrame, tokenizer: Callable[[], Callable[[str], list]], buckets: int, block_bytes: int = 8 << 20, counted: bool = False) -> DataFrame:
     """Rows of a block's word numbers (bucket -1) and of its distinct words (payload: words, and with
     ``counted`` how often documents with a true flag hold them). ``docs``: doc_id, flag, text."""
 
