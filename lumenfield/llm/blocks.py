@@ -171,6 +171,7 @@ class Block:
     def __init__(self, left: pa.Table, right: pa.Table):
         docs = left.filter(pc.equal(left.column("bucket"), -1)).to_pylist()[0]
         held = get_numbers(docs["buckets"])
+        self.block = docs["block"]
         self.doc_ids, self.flags, self.sizes = docs["doc_ids"], docs["flags"], np.array(docs["sizes"], np.int64)
         self.ends = np.cumsum(self.sizes)
         self.codes = get_numbers(docs["payload"])

@@ -1,20 +1,25 @@
 """Language model scores by a hashed maximum-entropy model with a class-factored softmax.
 
 A token is one of the ``head`` most frequent words of the training texts, the end of a text, or a tail word. Tail
-words are hashed by their endings to ``tails`` symbols. P(token | before) = P(class | two tokens before) * P(token | class, token before):
+words are hashed by their endings to ``tails`` symbols. P(token | before) = P(class | two tokens before) * P(token | class, two tokens before):
 
 * classes are the tail symbols and groups of ``CLASS`` head words of similar frequency; their softmax has bigram
   features (token before, class) and skip features (token before that, class);
-* a head word within its class has a softmax of a unigram and bigram features;
-* a tail word within its class has its smoothed share of the class's training tokens, unknown words together one more.
+* a word within its class has a base: for a head word a softmax of a unigram and bigram features of symbols, for a tail word its
+  smoothed share of the class's training tokens, unknown words together one more;
+* on that base, two softmaxes over the class's words have a feature for each pair of words that the training texts hold, whatever
+  the size of the vocabulary: (word before, word) and (word before that, word). They are mixed, ``SKIP`` being the share of the second.
 
 Training: texts become rows of symbols, whose bigrams and skip-bigrams are counted over all training texts, a sum
 by cell of at most 2 * symbols^2 cells however large the corpus. The likelihood's gradient is a sum over cells: each round,
 tasks over the cells return their parts of the expected feature counts under the current weights, and the weights take a
 damped diagonal Newton step. With two additive features, the softmax's normalisers of all contexts are one matrix product.
 
-Scale: words and their counts travel as in ``blocks`` (each distinct word once, block dictionaries back); the vocabulary is never
-in one place. Symbols, cells and weights have fixed sizes. Scoring is numpy lookups over batches of texts.
+Pairs of words: each block sends its distinct pairs, with their counts, to the bucket of their context (word before, class), hashed to 40
+bits; there each context's softmax is fitted on its own, and the pairs' probabilities go back to the blocks. No pair is left out.
+
+Scale: words, pairs and their counts travel as in ``blocks`` (each distinct one once, block dictionaries back); neither vocabulary nor
+pairs are ever in one place. Symbols, cells and class weights have fixed sizes. Scoring is numpy lookups over blocks.
 
 Defined results: a null text is an empty one (its end alone); rows with a null doc_id are scored and not learnt from; repeated rows
 are learnt from and scored each; without training texts all words are unknown tail words; an empty table gives an empty result.
@@ -22,6 +27,7 @@ are learnt from and scored each; without training texts all words are unknown ta
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -36,6 +42,11 @@ from .quality_classifier import fold_of
 
 CLASS = 64
 LN10 = np.log(10.0)
+SKIP = 0.25
+#: Of a pair's key, the low bits are of its word, the high ones of its context.
+WORD_BITS = 24
+LOW = np.uint64((1 << WORD_BITS) - 1)
+ENCODED = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("flags", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())), ("codes", pa.binary()), ("words", pa.binary())])
 
 
 def words_of():
@@ -85,7 +96,7 @@ def _summary(tails: int, head: int):
 
 
 def encode(docs: DataFrame, held: int, folds: int, head: int, tails: int) -> tuple[DataFrame, dict, Shape]:
-    """Texts as symbols with what needs no context: doc_id, flag (learnt from), held_out, n_tokens, n_known, base, tail, symbols."""
+    """A row per block: texts as numbers of its words, what needs no context by text, and by word its symbol, hash and base in its class."""
     away = F.coalesce(fold_of(F.col("doc_id"), folds) == held, F.lit(False))
     flag = ~away & F.col("doc_id").isNotNull()
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -111,11 +122,10 @@ def encode(docs: DataFrame, held: int, folds: int, head: int, tails: int) -> tup
         for at, (seen,) in zip(where, extras):
             count[at] += seen  # a block's words are distinct
         symbol = np.array([top[w] if w in top else head + 1 + tail_of(w, tails) for w in number], np.int64)
+        key = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in number), "<u8")
         for at in where:
             c = count[at]
-            yield blocks.put_parts(blocks.put_numbers(symbol[at]), blocks.put_numbers(c & 0xFFFFFFFF), blocks.put_numbers(c >> 32))
-
-    names = ["doc_id", "flag", "n_tokens", "n_known", "base", "tail", "symbols"]
+            yield blocks.put_parts(blocks.put_numbers(symbol[at]), blocks.put_numbers(c & 0xFFFFFFFF), blocks.put_numbers(c >> 32), *(blocks.put_numbers(h) for h in _halves(key[at])))
 
     def join(b: blocks.Block) -> pa.Table:
         got = [[blocks.get_numbers(x).astype(np.int64) for x in blocks.get_parts(p)] for p in b.payloads]
@@ -123,30 +133,56 @@ def encode(docs: DataFrame, held: int, folds: int, head: int, tails: int) -> tup
         symbol, count = cat(0), cat(1) + (cat(2) << 32)
         share = np.log10((count + 1) / (total + kinds + 1))
         t = symbol - head - 1
-        rare = np.where(t >= 0, np.log10((count + 1) / (n_t + v_t + 1)[np.maximum(t, 0)]), 0.0)
+        rare = np.where(t >= 0, np.log((count + 1) / (n_t + v_t + 1)[np.maximum(t, 0)]), 0.0).astype("<f4")
         end = np.log10((ends + 1) / (total + kinds + 1))
-        rows = []
-        for i, (stop, n) in enumerate(zip(b.ends.tolist(), b.sizes.tolist())):
-            c = b.codes[stop - n : stop]
-            rows.append((b.doc_ids[i], b.flags[i], n + 1, int((count[c] > 0).sum()) + (ends > 0), float(share[c].sum() + end), float(rare[c].sum()), symbol[c].astype("<u2").tobytes()))
-        return pa.table(list(map(list, zip(*rows))), names=names) if rows else pa.table([[]] * 7, names=names)
+        at = [b.codes[stop - n : stop] for stop, n in zip(b.ends.tolist(), b.sizes.tolist())]
+        known, base = [int((count[c] > 0).sum()) + (ends > 0) for c in at], [float(share[c].sum() + end) for c in at]
+        words = blocks.put_parts(*map(blocks.put_numbers, (symbol, cat(3), cat(4), rare.view("<u4"))))
+        row = (b.block, b.doc_ids, b.flags, b.sizes.tolist(), known, base, blocks.put_numbers(b.codes), words)
+        return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(row, ENCODED)], schema=ENCODED)
 
     back = blocks.by_word(parts, once)
-    out = blocks.assemble(parts, back, lambda b: join(b).cast(pa.schema([("doc_id", pa.int64()), ("flag", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("tail", pa.float64()), ("symbols", pa.binary())])), "doc_id long, flag boolean, n_tokens long, n_known long, base double, tail double, symbols binary")
+    out = blocks.assemble(parts, back, join, "block long, doc_ids array<long>, flags array<boolean>, sizes array<int>, known array<long>, base array<double>, codes binary, words binary")
     return written(out, "symbols"), {"train_tokens": total}, shape
 
 
-def _sequence(symbols: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return x & np.uint64(0xFFFFFFFF), x >> np.uint64(32)
+
+
+def _whole(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
+
+
+def _sequence(arrays: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(two before, one before, token) of each token of the texts, ends included, and the texts' sizes."""
-    arrays = [np.frombuffer(s, "<u2") for s in symbols]
     sizes = np.array([len(a) + 1 for a in arrays])
-    edge = np.full(2, end, np.uint16)
+    edge = np.full(2, end)
     flat = np.concatenate([x for a in arrays for x in (edge, a)] + [edge]).astype(np.int64)
     first = np.cumsum(sizes + 1) - sizes - 1  # each text has two ends before it; its own end is the next text's first
     at = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum()) + 2
     return flat[at - 2], flat[at - 1], flat[at], sizes
 
 
+class Texts:
+    """A row of ``encode``: tokens as numbers of the block's words (the last is the end), and the words' symbols, hashes, bases."""
+
+    def __init__(self, row: dict, end: int):
+        symbol, low, high, rare = map(blocks.get_numbers, blocks.get_parts(row["words"]))
+        self.symbol = np.append(symbol, end).astype(np.int64)
+        self.key = np.append(_whole(low, high), np.uint64(0x9E3779B97F4A7C15))
+        self.rare = np.append(rare.view("<f4"), np.float32(0))
+        codes = np.split(blocks.get_numbers(row["codes"]), np.cumsum(row["sizes"])[:-1])
+        self.before2, self.before, self.token, self.sizes = _sequence(codes, len(symbol))
+        self.learnt = np.repeat(np.array(row["flags"], bool), self.sizes)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _cells(shape: Shape):
     m = shape.symbols
     schema = pa.schema([("kind", pa.int8()), ("a", pa.int16()), ("b", pa.int16()), ("n", pa.int64())])
@@ -162,17 +198,16 @@ def _cells(shape: Shape):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), kind, np.int8)), pa.array((p // m).astype(np.int16)), pa.array((p % m).astype(np.int16)), pa.array(x[p].astype(np.int64))], schema=schema)
 
         n = 0
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for lo in range(0, len(texts), 500):
-                before2, before, token, _ = _sequence(texts[lo : lo + 500], shape.end)
-                for x, a in ((one, before), (skip, before2)):
-                    key, times = np.unique(a * m + token, return_counts=True)
-                    x[key] += times.astype(np.int32)
-                n += len(token)
-                if n > 1 << 30:
-                    yield from out()
-                    one[:], skip[:], n = 0, 0, 0
+        for row in _rows(batches):
+            t = Texts(row, shape.end)
+            token = t.symbol[t.token[t.learnt]]
+            for x, a in ((one, t.before), (skip, t.before2)):
+                key, times = np.unique(t.symbol[a[t.learnt]] * m + token, return_counts=True)
+                x[key] += times.astype(np.int32)
+            n += len(token)
+            if n > 1 << 30:
+                yield from out()
+                one[:], skip[:], n = 0, 0, 0
         yield from out()
 
     return run
@@ -182,7 +217,7 @@ def train(symbols: DataFrame, shape: Shape, rounds: int = 8, parts: int = 6, pri
     """Weights: bigram and skip features of classes, normalisers, and head words within their classes."""
     spark = symbols.sparkSession
     m, k = shape.symbols, shape.classes
-    cells = symbols.where("flag").select("symbols").mapInArrow(_cells(shape), "kind byte, a short, b short, n long")
+    cells = symbols.mapInArrow(_cells(shape), "kind byte, a short, b short, n long")
     cells = written(cells.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).repartition(parts, "a"), "cells")
     class_of = spark.createDataFrame([(i, int(c)) for i, c in enumerate(shape.of)], "b short, class int")  # a row per symbol
     seen = np.zeros((2, m, k), np.float32)
@@ -269,33 +304,114 @@ def train(symbols: DataFrame, shape: Shape, rounds: int = 8, parts: int = 6, pri
     head += base.astype(np.float32)
     for row in head:
         row -= np.log(np.exp(row.astype(np.float64)).sum(axis=1, keepdims=True)).astype(np.float32)
-    return {"big": big, "skip": skip, "z": z, "head": head.reshape(m, -1)}
+    alone = base - np.log(np.exp(base).sum(axis=1, keepdims=True))
+    return {"big": big, "skip": skip, "z": z, "head": head.reshape(m, -1), "alone": alone.ravel().astype(np.float32)}
+
+
+def class_log_probabilities(model: dict[str, np.ndarray], shape: Shape, before2: np.ndarray, before: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Natural log of P(class of the symbol | two before)."""
+    c = shape.of[token]
+    return model["big"][before, c] + model["skip"][before2, c].astype(np.float64) - model["z"][before2, before]
 
 
 def log_probabilities(model: dict[str, np.ndarray], shape: Shape, before2: np.ndarray, before: np.ndarray, token: np.ndarray) -> np.ndarray:
     """log10 P(symbol | two before), without the choice of a tail word in its symbol."""
-    c = shape.of[token]
-    out = model["big"][before, c] + model["skip"][before2, c].astype(np.float64) - model["z"][before2, before]
+    out = class_log_probabilities(model, shape, before2, before, token)
     in_head = token <= shape.head
     out[in_head] += model["head"][before[in_head], token[in_head]]
     return out / LN10
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    for by, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> np.uint64(by)) * np.uint64(times)
+    return x ^ x >> np.uint64(31)
+
+
+def pairs_of(t: Texts, shape: Shape, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the block's distinct pairs by bucket, their buckets, and of each token the places of its bigram and, in a second row, its skip."""
+    c, word = shape.of[t.symbol[t.token]].astype(np.uint64), t.key[t.token] & LOW
+    keys = [_mix(t.key[a] * np.uint64(0x9E3779B97F4A7C15) + (c * np.uint64(2) + np.uint64(kind)) * np.uint64(0xD6E8FEB86659FD93)) & ~LOW | word for kind, a in enumerate((t.before, t.before2))]
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    bucket = (key >> np.uint64(WORD_BITS)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(key), np.int64)
+    place[order] = np.arange(len(key))
+    return key[order], bucket[order].astype(np.int64), place[at].reshape(2, -1)
+
+
+def _pairs(model, shape: Shape, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            t = Texts(row, shape.end)
+            key, bucket, places = pairs_of(t, shape, buckets)
+            n = np.bincount(places[:, t.learnt].ravel(), minlength=len(key))
+            s, before = t.symbol[t.token], t.symbol[t.before]
+            head, base = s <= shape.head, np.empty(len(key), "<f4")
+            own = t.rare[t.token]
+            own[head] = model.value["head"][before[head], s[head]]
+            base[places[0]] = own
+            own[head] = model.value["alone"][s[head]]
+            base[places[1]] = own
+            found, first = np.unique(bucket, return_index=True)
+            payloads = []
+            for part in map(slice, first, [*first[1:], len(key)]):
+                step = np.diff(key[part], prepend=np.uint64(0))
+                payloads.append(blocks.put_parts(*map(blocks.put_numbers, (*_halves(step), n[part], base[part].view("<u4")))))
+            yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(found), pa.int64()), pa.array(found, pa.int32()), pa.array(payloads, pa.binary())], schema=blocks.BACK_ARROW)
+
+    return run
+
+
+def pair_probabilities(context: np.ndarray, seen: np.ndarray, base: np.ndarray, rounds: int = 20) -> np.ndarray:
+    """P(word | context) of pairs sorted by context, of which the training texts hold ``seen``. ``base``: ln of the base, which
+    sums to one over a context's words. Pairs that are not seen have no weight."""
+    first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+    size = np.diff(np.append(first, len(context)))
+    b, there = np.exp(base), seen > 0
+    rest = np.maximum(1 - np.add.reduceat(np.where(there, b, 0), first), 1e-6)
+    total, u = np.add.reduceat(seen, first), np.zeros(len(b))
+    for _ in range(rounds):
+        w = np.where(there, b * np.exp(u), 0)
+        e = w * np.repeat(total / (rest + np.add.reduceat(w, first)), size)
+        u += np.where(there, np.clip((seen - e - u) / (np.maximum(seen, e) * 0.5 + 1), -1, 1), 0)
+    w = b * np.exp(u)
+    return w / np.repeat(rest + np.add.reduceat(np.where(there, w, 0), first), size)
+
+
+def _fit(table: pa.Table) -> pa.Table:
+    keys, seen, bases = [], [], []
+    for x in table.column("payload"):
+        low, high, n, base = map(blocks.get_numbers, blocks.get_parts(x.as_py()))
+        keys.append(np.cumsum(_whole(low, high), dtype=np.uint64))
+        seen.append(n)
+        bases.append(base.view("<f4"))
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    base = np.zeros(len(key))
+    base[at] = np.concatenate(bases)
+    p = pair_probabilities(key >> np.uint64(WORD_BITS), np.bincount(at, weights=np.concatenate(seen), minlength=len(key)), base).astype("<f4")
+    out = [blocks.put_numbers(p[x].view("<u4")) for x in np.split(at, np.cumsum([len(k) for k in keys])[:-1])]
+    return pa.table([table.column("block"), table.column("bucket"), pa.array(out, pa.binary())], schema=blocks.BACK_ARROW)
+
+
 def score(docs: DataFrame, held_out: int = 2, folds: int = 7, head: int = 2047, tails: int = 256, rounds: int = 8) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of ``docs`` (doc_id, text)."""
+    spark = docs.sparkSession
     encoded, facts, shape = encode(docs, held_out, folds, head, tails)
-    model = docs.sparkSession.sparkContext.broadcast(train(encoded, shape, rounds))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            symbols, out = batch.column("symbols").to_pylist(), []
-            for lo in range(0, len(symbols), 200):
-                before2, before, token, sizes = _sequence(symbols[lo : lo + 200], shape.end)
-                lp = log_probabilities(model.value, shape, before2, before, token)
-                out.append(np.add.reduceat(lp, np.cumsum(sizes) - sizes))
-            s = np.concatenate(out) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("doc_id", "n_tokens", "n_known", "base")), pa.array(s + batch.column("tail").to_numpy())], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
-
-    scored = encoded.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    model = spark.sparkContext.broadcast(train(encoded, shape, rounds))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    back = encoded.mapInArrow(_pairs(model, shape, buckets), blocks.BACK).groupBy("bucket").applyInArrow(_fit, blocks.BACK)
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        t = Texts(row, shape.end)
+        p = np.concatenate([blocks.get_numbers(x.as_py()).view("<f4") for x in right.sort_by("bucket").column("payload")]).astype(np.float64)
+        one, skip = p[pairs_of(t, shape, buckets)[2]]
+        lp = (class_log_probabilities(model.value, shape, t.symbol[t.before2], t.symbol[t.before], t.symbol[t.token]) + np.log((1 - SKIP) * one + SKIP * skip)) / LN10
+        values = (row["doc_ids"], t.sizes, row["known"], row["base"], np.add.reduceat(lp, np.cumsum(t.sizes) - t.sizes))
+        return pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(values, schema)], schema=schema)
+
+    scored = encoded.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     away = F.coalesce(fold_of(F.col("doc_id"), folds) == held_out, F.lit(False))
     return scored.select("doc_id", away.alias("held_out"), "n_tokens", "n_known", F.lit(facts["train_tokens"]).cast("long").alias("train_tokens"), "base_score", "score")

@@ -55,3 +55,21 @@ def test_odd_rows(spark):
     have = sorted(key((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"])) for r in got)
     assert [w[:-1] for w in want] == [h[:-1] for h in have] and np.allclose([w[-1] for w in want], [h[-1] for h in have])
     assert language_model.score(df.limit(0)).collect() == []
+
+
+def test_words_of_one_symbol_have_features_of_their_own(spark):
+    """One tail symbol: only features of the words themselves tell the pairs apart."""
+    away = [d for d in range(10_000) if zlib.crc32(str(d).encode()) % 7 == 2]
+    learnt = [d for d in range(10_000) if zlib.crc32(str(d).encode()) % 7 != 2]
+    rows = [(learnt[i * 20 + k], f"f{i}zz g{i}zz h{(i + k) % 40}zz" if k % 2 else f"p{i}zz h{(i + k) % 40}zz q{i}zz") for i in range(40) for k in range(20)]
+    asked = {away[0]: "f3zz g3zz", away[1]: "f3zz g8zz", away[2]: "p3zz f20zz q3zz", away[3]: "p3zz f20zz q8zz"}
+    df = spark.createDataFrame(rows + list(asked.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in language_model.score(df, head=3, tails=1).collect() if r["doc_id"] in asked}
+    assert got[away[0]] > got[away[1]] + 0.5 and got[away[2]] > got[away[3]] + 0.1
+
+
+def test_pair_probabilities_sum_to_one_and_follow_the_counts():
+    base = np.log(np.array([0.1, 0.2, 0.3, 0.4, 0.5, 0.5]))
+    p = language_model.pair_probabilities(np.array([7, 7, 7, 7, 9, 9]), np.array([0, 50, 0, 1, 0, 0.0]), base, 100)
+    assert np.allclose([p[:4].sum(), p[4:].sum()], 1) and np.allclose(p[4:], 0.5)
+    assert p[1] > 0.85 and abs(p[0] / p[2] - 1 / 3) < 1e-9
