@@ -48,14 +48,20 @@ def same_pointing(a: Column, b: Column, min_fraction: float = 0.6) -> Column:
     return polygon.overlap_fraction(a, b) >= min_fraction
 
 
-def search(fps: DataFrame, target: DataFrame, same: tuple[str, ...] = (), min_fraction: float = 0.6) -> DataFrame:
-    """Footprints at the pointing of ``target`` (one row with vertices, and the attributes in ``same``)."""
-    t = with_bounds(target).select(F.col("vertices").alias("tv"), F.col("bb").alias("tb"), *[F.col(c).alias(f"t_{c}") for c in same]).limit(1)
-    near = (F.greatest("bb.x0", "tb.x0") <= F.least("bb.x1", "tb.x1")) & (F.greatest("bb.y0", "tb.y0") <= F.least("bb.y1", "tb.y1"))
-    for c in same:
-        near = near & (F.col(c) == F.col(f"t_{c}"))
-    hit = with_bounds(fps).join(F.broadcast(t), near).withColumn("fraction", polygon.overlap_fraction(F.col("vertices"), F.col("tv")))
-    return hit.where(F.col("fraction") >= min_fraction).select(*fps.columns, "fraction")
+def search(fps: DataFrame, targets: DataFrame, same: tuple[str, ...] = (), min_fraction: float = 0.6, key: str = "fp_id", cell: float = 0.05) -> DataFrame:
+    """Footprints at the pointing of each of ``targets`` (rows with ``key``, vertices, and the attributes in ``same``): the columns of
+    ``fps``, target (the target's key) and fraction.
+
+    Boxes meet in grid cells as in ``overlap_pairs``; a footprint that is a target itself is found too.
+    """
+    if min_fraction <= 0:
+        raise ValueError("min_fraction must be positive")
+    t = gridded(targets.select(key, "vertices", *same), cell).select("gx", "gy", *same, F.col(key).alias("target"), F.col("vertices").alias("tv"), F.col("bb").alias("tb"))
+    x, y = F.greatest("bb.x0", "tb.x0"), F.greatest("bb.y0", "tb.y0")
+    near = (x <= F.least("bb.x1", "tb.x1")) & (y <= F.least("bb.y1", "tb.y1"))
+    home = (F.floor(x / cell) == F.col("gx")) & (F.floor(y / cell) == F.col("gy"))
+    hit = gridded(fps, cell).join(t, ["gx", "gy", *same]).where(near & home).withColumn("fraction", polygon.overlap_fraction(F.col("vertices"), F.col("tv")))
+    return hit.where(F.col("fraction") >= min_fraction).select(*fps.columns, "target", "fraction")
 
 
 def points_in_footprints(points: DataFrame, fps: DataFrame, x: str = "ra", y: str = "dec", cell: float = 0.05) -> DataFrame:

@@ -67,16 +67,17 @@ EXTENSION = {"left": 1100, "right": 100, "bottom": 200, "top": 100}
 
 
 def counterparts(grism: DataFrame, images: DataFrame, filters: DataFrame, extension: dict[str, int] = EXTENSION, mirrored: bool = False, min_fraction: float = 0.01) -> DataFrame:
-    """(filter, image_id) of direct images that overlap one grism field's extended footprint; filters without any have a null image.
+    """(target, filter, image_id) of direct images that overlap each grism field's extended footprint; a field's filters without any have a null image.
 
-    ``grism``: one wcs row with width and height; ``images``: image_id, filter, pupil, vertices.
+    ``grism``: wcs rows with image_id (the target), width and height; ``images``: image_id, filter, pupil, vertices.
     """
     e = dict(extension)
     if mirrored:
         e["left"], e["right"] = e["right"], e["left"]
-    target = footprints(grism, **e).select("vertices")
-    hit = spatial.search(images.where(F.col("pupil") == "CLEAR"), target, (), min_fraction)
-    return filters.select("filter").distinct().join(hit.select("filter", "image_id"), "filter", "left")
+    fields = footprints(grism, **e).select("image_id", "vertices")
+    hit = spatial.search(images.where(F.col("pupil") == "CLEAR"), fields, (), min_fraction, "image_id")
+    wanted = fields.select(F.col("image_id").alias("target")).crossJoin(filters.select("filter").distinct())  # filters are few
+    return wanted.join(hit.select("target", "filter", "image_id"), ["target", "filter"], "left")
 
 
 def reproject(pixels: DataFrame, targets: DataFrame, value: str = "sci") -> DataFrame:

@@ -246,6 +246,16 @@ def search_target(spark, d):
     return spatial.search(f, f.where("fp_id = 25"), ("filter",), 0.3).select("fp_id", r6("fraction").alias("fraction"))
 
 
+@query("""
+with t as (select fp_id as target, filter, x0 as tx0, y0 as ty0, x1 as tx1, y1 as ty1 from v_footprints where fp_id % 100 = 0),
+p as (select t.target, f.fp_id, least(x1, tx1) - greatest(x0, tx0) as w, least(y1, ty1) - greatest(y0, ty0) as h, (tx1 - tx0) * (ty1 - ty0) as whole from v_footprints f join t on f.filter = t.filter)
+select target, fp_id, round(w * h / whole, 6) as fraction from p where w > 0 and h > 0 and w * h / whole >= 3e-1""")
+def search_targets(spark, d):
+    """Every footprint whose fp_id is divisible by 100, as a target against all footprints."""
+    f = _fps(spark, d)
+    return spatial.search(f, f.where("fp_id % 100 = 0"), ("filter",), 0.3).select("target", "fp_id", r6("fraction").alias("fraction"))
+
+
 @query("select c.id, f.fp_id, c.ra, c.dec from v_catalog c join v_footprints f on c.ra > f.x0 and c.ra < f.x1 and c.dec > f.y0 and c.dec < f.y1")
 def catalog_in_footprint(spark, d):
     return spatial.points_in_footprints(view(spark, d, "v_catalog"), _fps(spark, d)).select("id", "fp_id", "ra", "dec")

@@ -93,3 +93,13 @@ def test_groups_by_pointing_in_order(spark):
     df = spark.createDataFrame(fps, f"fp_id long, filter string, vertices {TYPE}")
     got = {r["fp_id"]: (r["component"], r["group_no"]) for r in pointing.group_by_pointing(df).collect()}
     assert got == {3: (3, 0), 5: (3, 0), 4: (4, 1), 1: (1, 2), 2: (1, 2)}
+
+
+def test_search_answers_every_target(spark):
+    square = lambda x, y: [(x, y), (x + 0.12, y), (x + 0.12, y + 0.12), (x, y + 0.12)]
+    places = {1: (0, 0), 2: (0.03, 0), 3: (0.5, -0.5), 4: (0.5, -0.47), 5: (0, 0.01), 6: (9, 9)}
+    rows = [(k, "B" if k == 5 else "A", [dict(x=float(a), y=float(b)) for a, b in square(*at)]) for k, at in places.items()]
+    df = spark.createDataFrame(rows, "fp_id long, filter string, vertices array<struct<x double, y double>>")
+    got = {(r["target"], r["fp_id"]): r["fraction"] for r in spatial.search(df, df.where("fp_id in (1, 3, 6)"), ("filter",), 0.3).collect()}
+    assert set(got) == {(1, 1), (1, 2), (3, 3), (3, 4), (6, 6)}
+    assert abs(got[1, 2] - 0.75) < 1e-9 and abs(got[3, 4] - 0.75) < 1e-9
