@@ -34,8 +34,8 @@ from pyspark.sql import types as T
 
 BUCKETS = 1024
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>]+)))?""")
+NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 #: Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title svg math select object".split())
@@ -141,15 +141,17 @@ def parse(page: str) -> list[Node]:
             stack.append((tag, stack[-1][1]))
             continue
         end_block()
-        names, role = [], ""
+        names, role, hidden = [], "", tag == "head" or tag in RAW
         for kind, *value in ATTRIBUTE.findall(attributes):
-            value = next((v for v in value if v), "").lower()
-            if kind.lower() == "role":
+            kind, value = kind.lower(), next((v for v in value if v), "").lower()
+            if kind == "role":
                 role = value
-            else:
+            elif kind == "hidden" or (kind == "aria-hidden" and value.strip() == "true") or (kind == "style" and NO_DISPLAY.search(value)):
+                hidden = True
+            elif kind in ("class", "id"):
                 names += re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value))
         up = stack[-1][1]
-        nodes.append(Node(tag, up, nodes[up].depth + 1, names, role, nodes[up].hidden or tag == "head" or tag in RAW or bool(HIDDEN.search(attributes))))
+        nodes.append(Node(tag, up, nodes[up].depth + 1, names, role, nodes[up].hidden or hidden))
         stack.append((tag, len(nodes) - 1))
     text(at, n)
     pop_to(1)

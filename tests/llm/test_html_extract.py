@@ -52,3 +52,14 @@ def test_messages_give_the_marginals_of_the_whole_tree():
         for i, s in enumerate(states):
             on[i] += s * math.exp(w)
     assert all(abs(a - b / total) < 1e-9 for a, b in zip(model.marginals(nodes), on))
+
+
+def test_only_attributes_hide_not_words_in_their_values(spark):
+    shown = ['title="The hidden cost of rain"', 'aria-label="a hidden gem"', 'class="overflow hidden md"', "data-style='display: none'", 'title="aria-hidden=true"', 'title="hidden costs', "aria-hidden=false"]
+    away = ["hidden", 'hidden=""', "HIDDEN class=x", 'aria-hidden="true"', "aria-hidden=true", 'style="color: red; display : none"', "style=display:none"]
+    hides = lambda a: html_extract.parse(f"<p {a}>text</p>")[1].hidden
+    assert [hides(a) for a in shown] == [False] * len(shown) and [hides(a) for a in away] == [True] * len(away)
+    page = MARKED.replace("<article>", '<article title="The hidden cost of rain">').replace("<h1>", '<h1 class="overflow hidden md">')
+    rows = [(1, page)] + [(10 + i, MARKED) for i in range(50)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, html string")).collect()}
+    assert got[1] == got[10] != ""
