@@ -14,7 +14,8 @@ documents. A piece finds its place by its rank among the pieces of its length; r
 (task, length), so there is no sort and no group in one task. Token ids never leave the task that made them.
 
 Defined results: a null text is an empty one (one piece with the end token); repeated rows are packed each;
-an empty table gives an empty result. Strings of special tokens in a text are ordinary text.
+an empty table gives an empty result. Strings of the vocabulary's added tokens in a text become their ids, as in
+the ``tokenizers`` library.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int =
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py() or "", disallowed_special=())
+                ids = encode(text.as_py() or "", allowed_special="all")
                 ids = np.append(ids, end_id).astype("<u4")
                 first = len(ids) % capacity or capacity
                 at = 0

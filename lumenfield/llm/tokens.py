@@ -27,9 +27,17 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+def added(path: str) -> dict[str, int]:
+    """Added tokens of a tokenizers .json file to their ids."""
+    if not path.endswith(".json"):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f).get("added_tokens", [])}
+
+
 @functools.lru_cache(maxsize=4)
 def encoding(path: str):
     import public_tokenizers
     import tiktoken
 
-    return tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(path), special_tokens={})
+    return tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(path), special_tokens=added(path))

@@ -84,3 +84,17 @@ def test_nulls_long_texts_and_extra_columns(spark):
     rows = packing.pack(df, JSON).collect()
     check(rows, {i: t for i, t, _ in docs})
     assert packing.pack(df.limit(0), JSON).collect() == []
+
+
+def test_added_tokens_in_texts_get_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(JSON)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\ny", "<|endoftext| > <|ENDOFTEXT|>", "plain", "<|endoftext|> " * 3000]
+    got = defaultdict(list)
+    for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), JSON).collect():
+        got[r["doc_id"]].append((r["start"], r["length"], r["ids_crc32"]))
+    for i, text in enumerate(texts):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        assert "<|endoftext|>" not in text or 50256 in ids
+        assert sum(n for _, n, _ in got[i]) == len(ids) and all(c == zlib.crc32(ids[at : at + n].tobytes()) for at, n, c in got[i])
