@@ -344,6 +344,16 @@ def union_outlines(spark, d):
     return pointing.union_outline(two.select("pair", "vertices"), "pair").select("pair", F.round("area", 9).alias("area"))
 
 
+@query()
+def union_components(spark, d):
+    """Area and centre of every component of overlapping footprints together: all footprints, unions of any size; tests do it by brute force."""
+    f = _fps(spark, d)
+    pairs = spatial.overlap_pairs(f).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    groups = written(pointing.components_of(f.select("fp_id", "vertices"), pairs, "fp_id"), "groups")
+    n = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    return pointing.union_outline(groups, "component").join(n, "component").select("component", "n", "area", "cx", "cy")
+
+
 _MEMBERS = f"""m as (select regexp_extract(filename, '^jw\\d{{11}}_\\d{{5}}_\\d{{5}}', 0) as fileset, filter, detector, filename, exposure_id, concat(substr(filename, 1, 13), filter, substr(detector, 1, 4)) as grp from v_exposures)"""
 
 

@@ -103,3 +103,37 @@ def test_search_answers_every_target(spark):
     got = {(r["target"], r["fp_id"]): r["fraction"] for r in spatial.search(df, df.where("fp_id in (1, 3, 6)"), ("filter",), 0.3).collect()}
     assert set(got) == {(1, 1), (1, 2), (3, 3), (3, 4), (6, 6)}
     assert abs(got[1, 2] - 0.75) < 1e-9 and abs(got[3, 4] - 0.75) < 1e-9
+
+
+def test_unions_of_all_components_against_brute_force(spark, sf):
+    from lumenfield.plans import queries as plans
+    from lumenfield.plans.fixtures import view
+
+    boxes = {r["fp_id"]: (r["x0"], r["y0"], r["x1"], r["y1"]) for r in view(spark, sf, "v_footprints").collect()}
+    least = {k: k for k in boxes}
+
+    def root(k):
+        while least[k] != k:
+            k = least[k]
+        return k
+
+    def size(b):
+        return max(b[2] - b[0], 0) * max(b[3] - b[1], 0)
+
+    for i, a in boxes.items():
+        for j, b in boxes.items():
+            w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+            if i < j and w > 0 and h > 0 and w * h >= 0.6 * min(size(a), size(b)):
+                p, q = sorted((root(i), root(j)))
+                least[q] = p
+    want = {}
+    for c in {root(k) for k in boxes}:
+        mine = [boxes[k] for k in boxes if root(k) == c]
+        xs, ys = sorted({x for b in mine for x in b[::2]}), sorted({y for b in mine for y in b[1::2]})
+        full = [(x, y, u, v) for x, u in zip(xs, xs[1:]) for y, v in zip(ys, ys[1:]) if any(b[0] <= x and u <= b[2] and b[1] <= y and v <= b[3] for b in mine)]
+        area = sum(map(size, full))
+        want[c] = (len(mine), area, *(sum(size(b) * (b[k] + b[k + 2]) / 2 for b in full) / area for k in (0, 1)))
+    got = {r["component"]: (r["n"], r["area"], r["cx"], r["cy"]) for r in plans.queries()["union_components"](spark, sf).collect()}
+    assert set(got) == set(want) and sum(n for n, *_ in got.values()) == len(boxes) and max(n for n, *_ in got.values()) > 2
+    for c, w in want.items():
+        assert got[c][0] == w[0] and all(abs(x - y) < 1e-7 for x, y in zip(got[c][1:], w[1:]))
