@@ -12,7 +12,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, component) for each node of ``edges`` (src, dst); the component is its smallest node.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014) until the edges no longer change; each
-    round is written to the shared folder. Minima are partial aggregations and joins, no neighbour list is
+    round is written to the shared folder in place of the one before; an error where they still change after ``max_rounds``. Minima are partial aggregations and joins, no neighbour list is
     ever collected. Null ends and loops are left out; nodes without an edge do not appear.
     """
     both = lambda e: e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -22,13 +22,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     for _ in range(max_rounds):
         b = both(e)
         low = b.groupBy("src").agg(F.min("dst").alias("low")).select("src", F.least("src", "low").alias("low"))
-        e = b.join(low, "src").where(F.col("dst") > F.col("src")).select(F.col("dst").alias("src"), F.col("low").alias("dst")).where(F.col("src") != F.col("dst")).distinct()
-        low = e.groupBy("src").agg(F.min("dst").alias("low"))
-        hang = e.join(low, "src").select(F.explode(F.array(F.struct(F.col("dst").alias("src"), F.col("low").alias("dst")), F.struct("src", F.col("low").alias("dst")))).alias("x")).select("x.*")
-        e = written(hang.where(F.col("src") != F.col("dst")).distinct(), "edges")
+        large = b.join(low, "src").where(F.col("dst") > F.col("src")).select(F.col("dst").alias("src"), F.col("low").alias("dst")).where(F.col("src") != F.col("dst")).distinct()
+        low = large.groupBy("src").agg(F.min("dst").alias("low"))
+        hang = large.join(low, "src").select(F.explode(F.array(F.struct(F.col("dst").alias("src"), F.col("low").alias("dst")), F.struct("src", F.col("low").alias("dst")))).alias("x")).select("x.*")
+        e = written(hang.where(F.col("src") != F.col("dst")).distinct(), "edges", spent=[e])
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components are unfinished after {max_rounds} rounds")
     stars = e.groupBy("src").agg(F.min("dst").alias("component")).select(F.col("src").alias("node"), "component")
     return stars.unionByName(e.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct().join(stars.select("node"), "node", "left_anti"))
