@@ -125,12 +125,13 @@ def _triangles(v: Column) -> Column:
 def intersection_area(a: Column, b: Column) -> Column:
     """Area that two quadrilaterals share (Sutherland-Hodgman; concave ones by their triangles)."""
 
-    def body(s: Column) -> Column:
-        a, b = s["a"], s["b"]
-        pieces = F.aggregate(_triangles(a), F.lit(0.0), lambda x, t: x + F.aggregate(_triangles(b), F.lit(0.0), lambda y, u: y + _clipped_area(t, u, 3)))
-        return F.when(convex(a) & convex(b), _clipped_area(a, b, 4)).otherwise(pieces)
+    return let(F.struct(oriented(a).alias("a"), oriented(b).alias("b")), lambda s: oriented_intersection(s["a"], s["b"], convex(s["a"]) & convex(s["b"])))
 
-    return let(F.struct(oriented(a).alias("a"), oriented(b).alias("b")), body)
+
+def oriented_intersection(a: Column, b: Column, both_convex: Column) -> Column:
+    """``intersection_area`` of counter-clockwise quadrilaterals."""
+    pieces = F.aggregate(_triangles(a), F.lit(0.0), lambda x, t: x + F.aggregate(_triangles(b), F.lit(0.0), lambda y, u: y + _clipped_area(t, u, 3)))
+    return F.when(both_convex, _clipped_area(a, b, 4)).otherwise(pieces)
 
 
 def overlap_fraction(a: Column, b: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions.columns import all_of, any_of
+from ..scratch import written
 from . import order as order_
 
 ATTRIBUTES = ("filter", "detector", "pupil")
@@ -138,7 +139,7 @@ def merge_nested(left: DataFrame, right: DataFrame, discard: bool = False) -> Da
     return both.select("basename", *cols, F.map_concat(F.coalesce("stages", none), F.coalesce("_r.stages", none)).alias("stages"))
 
 
-def nested(box: DataFrame, value: str = "filepath") -> DataFrame:
+def nested(box: DataFrame, value: Column | str = "filepath") -> DataFrame:
     """One row per exposure with the map stage -> file."""
     return box.groupBy("basename", *ATTRIBUTES).agg(F.map_from_entries(F.collect_list(F.struct("stage", value))).alias("stages"))
 
@@ -158,13 +159,10 @@ def proposals(box: DataFrame) -> DataFrame:
 
 
 def sample(box: DataFrame, size: int, attrs: tuple[str, ...] = ("pupil",), seed: int = 0) -> DataFrame:
-    """``size`` random rows, one of each combination of ``attrs`` first; all combinations where the size allows."""
-    dealt = box.withColumn("_r", F.rand(seed))
-    values = F.struct(*box.columns)
-    one = dealt.groupBy(*attrs).agg(F.min(F.struct("_r", values.alias("v"))).alias("x")).select("x._r", "x.v.*").withColumn("_first", F.lit(0))
-    key = [c for c in box.columns]
-    rest = dealt.join(one.select(*key), key, "left_anti").withColumn("_first", F.lit(1))
-    return one.unionByName(rest).orderBy("_first", "_r").limit(size).select(*box.columns)
+    """``size`` random rows, one of each combination of ``attrs`` first; all combinations where the size allows. Repeated rows are rows of their own."""
+    dealt = written(box.withColumn("_r", F.rand(seed)).withColumn("_id", F.monotonically_increasing_id()), "dealt")
+    first = dealt.groupBy(*attrs).agg(F.min(F.struct("_r", "_id")).alias("x")).select(F.col("x._id").alias("_id"), F.lit(0).alias("_first"))
+    return dealt.join(first, "_id", "left").orderBy(F.coalesce("_first", F.lit(1)), "_r", "_id").limit(size).select(*box.columns)
 
 
 def validity(box: DataFrame) -> DataFrame:

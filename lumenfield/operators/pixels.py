@@ -145,7 +145,7 @@ def stripe_noise(pixels: DataFrame, mask: Column, pupil: str = "CLEAR", bin_size
         raise ValueError(f"unsupported pupil: {pupil}")
     good = pixels.where(~F.coalesce(mask, F.lit(False)) & F.col(value).isNotNull())
     med = good.groupBy("image_id").agg(F.median(value).alias("_all"))
-    r = good.join(F.broadcast(med), "image_id").select("image_id", "y", "x", (F.col(value) - F.col("_all")).alias("v"))
+    r = good.join(med, "image_id").select("image_id", "y", "x", (F.col(value) - F.col("_all")).alias("v"))
     out = pixels.select("image_id", "y", "x")
     noise = F.lit(0.0)
     if pupil != "GRISMC":
@@ -182,7 +182,7 @@ def subtract(pixels: DataFrame, model: DataFrame, model_value: str, value: str =
 def mask_plane(pixels: DataFrame, mask: Column, value: str = "sci") -> DataFrame:
     """``pixels`` with shown: the high end of the display range where masked, else the low end."""
     p = stats.percentiles(pixels, value=value)
-    return pixels.join(F.broadcast(p), "image_id").withColumn("shown", F.when(mask, F.col("p_high")).otherwise(F.col("p_low"))).drop("p_low", "p_high")
+    return pixels.join(p, "image_id").withColumn("shown", F.when(mask, F.col("p_high")).otherwise(F.col("p_low"))).drop("p_low", "p_high")
 
 
 def _basis(t: np.ndarray, knots: int) -> np.ndarray:

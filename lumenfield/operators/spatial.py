@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import polygon
-from ..functions.columns import let
+from ..functions.columns import all_of, let
+from ..scratch import written
 
 
 def _cells(lo: Column, hi: Column, size: float) -> Column:
@@ -31,14 +32,20 @@ def overlap_pairs(fps: DataFrame, key: str = "fp_id", same: tuple[str, ...] = ()
     """
     if min_fraction <= 0:
         raise ValueError("min_fraction must be positive")
-    g = gridded(fps.select(key, "vertices", *same), cell)
-    left = g.select("gx", "gy", *same, F.col(key).alias("a"), F.col("vertices").alias("va"), F.col("bb").alias("ba"))
-    right = g.select("gx", "gy", *same, F.col(key).alias("b"), F.col("vertices").alias("vb"), F.col("bb").alias("b_"))
+    # what a footprint says of itself is computed once for each, before the cells
+    facts = with_bounds(fps.select(key, "vertices", *same)).withColumn("v", polygon.oriented(F.col("vertices")))
+    facts = facts.select(key, *same, "bb", F.struct("v", polygon.convex(F.col("v")).alias("convex"), polygon.area(F.col("v")).alias("area")).alias("q"))
+    g = gridded(facts, cell)
+    left = g.select("gx", "gy", *same, F.col(key).alias("a"), F.col("q").alias("qa"), F.col("bb").alias("ba"))
+    right = g.select("gx", "gy", *same, F.col(key).alias("b"), F.col("q").alias("qb"), F.col("bb").alias("b_"))
     meet = (F.col("a") < F.col("b")) & (F.greatest("ba.x0", "b_.x0") <= F.least("ba.x1", "b_.x1")) & (F.greatest("ba.y0", "b_.y0") <= F.least("ba.y1", "b_.y1"))
     home = (F.floor(F.greatest("ba.x0", "b_.x0") / cell) == F.col("gx")) & (F.floor(F.greatest("ba.y0", "b_.y0") / cell) == F.col("gy"))
-    pairs = left.join(right, ["gx", "gy", *same]).where(meet & home)
-    va, vb = F.col("va"), F.col("vb")
-    shared = let(polygon.intersection_area(va, vb), lambda i: F.struct(i.alias("inter_area"), F.greatest(i / polygon.area(va), i / polygon.area(vb)).alias("fraction")))
+    # the shared area is no larger than that of the common box
+    common = (F.least("ba.x1", "b_.x1") - F.greatest("ba.x0", "b_.x0")) * (F.least("ba.y1", "b_.y1") - F.greatest("ba.y0", "b_.y0"))
+    enough = common * (1 + 1e-9) >= min_fraction * F.least("qa.area", "qb.area")
+    pairs = left.join(right, ["gx", "gy", *same]).where(meet & home & enough)
+    inter = polygon.oriented_intersection(F.col("qa.v"), F.col("qb.v"), F.col("qa.convex") & F.col("qb.convex"))
+    shared = let(inter, lambda i: F.struct(i.alias("inter_area"), F.greatest(i / F.col("qa.area"), i / F.col("qb.area")).alias("fraction")))
     # the generator keeps the planner from copying the geometry into the filter
     hit = F.filter(F.array(shared), lambda s: s["fraction"] >= min_fraction)
     return pairs.select("a", "b", F.inline(hit))
@@ -67,9 +74,13 @@ def search(fps: DataFrame, targets: DataFrame, same: tuple[str, ...] = (), min_f
 def points_in_footprints(points: DataFrame, fps: DataFrame, x: str = "ra", y: str = "dec", cell: float = 0.05) -> DataFrame:
     """Points with each footprint that strictly contains them; a point has one cell, so no pair comes twice."""
     p = points.withColumn("gx", F.floor(F.col(x) / cell)).withColumn("gy", F.floor(F.col(y) / cell))
-    g = gridded(fps, cell)
+    v, p_ = F.col("_v"), polygon.point(F.col(x), F.col(y))
+    # convex quadrilaterals, the common ones, have their corners as columns: four comparisons for a pair
+    g = gridded(fps, cell).withColumn("_v", polygon.oriented(F.col("vertices"))).withColumn("_quad", F.coalesce((F.size("_v") == 4) & polygon.convex(v), F.lit(False)))
+    g = g.withColumns({f"_p{i}": F.get(v, F.lit(i)) for i in range(4)})
+    inside = F.when(F.col("_quad"), all_of([polygon.cross(F.col(f"_p{i}"), F.col(f"_p{(i + 1) % 4}"), p_) > 0 for i in range(4)])).otherwise(polygon.contains(F.col("vertices"), F.col(x), F.col(y)))
     box = F.col(x).between(F.col("bb.x0"), F.col("bb.x1")) & F.col(y).between(F.col("bb.y0"), F.col("bb.y1"))
-    return p.join(g, ["gx", "gy"]).where(box & polygon.contains(F.col("vertices"), F.col(x), F.col(y))).drop("gx", "gy", "bb", "vertices")
+    return p.join(g, ["gx", "gy"]).where(box & inside).drop("gx", "gy", "bb", "vertices", "_v", "_quad", "_p0", "_p1", "_p2", "_p3")
 
 
 def nearest_footprint(points: DataFrame, fps: DataFrame, id_: str = "id", x: str = "ra", y: str = "dec", key: str = "fp_id", cell: float = 0.2, max_rings: int = 30) -> DataFrame:
@@ -77,13 +88,15 @@ def nearest_footprint(points: DataFrame, fps: DataFrame, id_: str = "id", x: str
 
     Points look into the 3 x 3 cells about theirs; those whose best is farther than the ring is wide look into wider
     rings, doubling the cell, until all are answered, so no point is compared with all footprints but the last, sparse ones.
+    Points with a null id or coordinate have no footprint; without footprints there are answers for such points only.
     """
     left = points.select(F.col(id_).alias("_id"), F.col(x).alias("_x"), F.col(y).alias("_y")).distinct()
+    placed = F.col("_id").isNotNull() & F.col("_x").isNotNull() & F.col("_y").isNotNull()
+    answers = left.where(~placed).select(F.col("_id").alias(id_), F.col("_x").alias(x), F.col("_y").alias(y), F.lit(None).cast(fps.schema[key].dataType).alias(key), F.lit(None).cast("double").alias("d2"))
     c = fps.withColumn("c", polygon.centroid(F.col("vertices"))).select(key, F.col("c.x").alias("cx"), F.col("c.y").alias("cy"))
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    from ..scratch import written
-
-    answers, todo = None, written(left, "points")
+    c = c.where("cx is not null and cy is not null")
+    todo = written(left.where(placed), "points")
     for _ in range(max_rings):
         cells = todo.select("_id", "_x", "_y", F.explode(around).alias("o")).select("_id", "_x", "_y", (F.floor(F.col("_x") / cell) + F.col("o.i")).alias("gx"), (F.floor(F.col("_y") / cell) + F.col("o.j")).alias("gy"))
         homes = c.withColumn("gx", F.floor(F.col("cx") / cell)).withColumn("gy", F.floor(F.col("cy") / cell))
@@ -92,7 +105,7 @@ def nearest_footprint(points: DataFrame, fps: DataFrame, id_: str = "id", x: str
         # a centre outside the ring is at least one cell away
         best = written(todo.join(best, ["_id", "_x", "_y"], "left").withColumn("done", F.coalesce(F.col("best.d2") <= cell * cell, F.lit(False))), "nearest")
         found = best.where("done").select(F.col("_id").alias(id_), F.col("_x").alias(x), F.col("_y").alias(y), F.col(f"best.{key}").alias(key), F.col("best.d2").alias("d2"))
-        answers = found if answers is None else answers.unionByName(found)
+        answers = answers.unionByName(found)
         todo = best.where(~F.col("done")).select("_id", "_x", "_y")
         if todo.isEmpty() or c.isEmpty():
             return answers

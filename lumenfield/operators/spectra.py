@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import order as order_
 from .stats import MAD_ROUNDED
 
 
@@ -24,11 +25,22 @@ def wave_steps(waves: DataFrame, by: str = "spec_id", wave: str = "wavelength")
     return waves.withColumn("step", F.col(wave) - F.lag(wave).over(w)).where("step is not null")
 
 
+def _median(df: DataFrame, value: str) -> DataFrame:
+    """The exact median of a column in one row: equal values are counted first, then placed by ranges, never in one task."""
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+    placed = order_.numbered(counts, value, weight="_n", before="_before")
+    total = placed.agg(F.sum("_n").alias("_total"))
+    holds = lambda k: (F.col("_before") <= k) & (k < F.col("_before") + F.col("_n"))
+    middle = placed.join(total).where(holds(F.floor((F.col("_total") - 1) / 2)) | holds(F.floor(F.col("_total") / 2)))
+    return middle.agg(F.avg(value).alias(value))
+
+
 def grid_parameters(waves: DataFrame, by: str = "spec_id", wave: str = "wavelength", strategy: str = "median") -> DataFrame:
     """One row (g0, step, n) of a uniform grid from the least to the largest wavelength, by the median or mean of all steps."""
     if strategy not in ("median", "mean"):
         raise ValueError(f"unknown strategy: {strategy}")
-    steps = wave_steps(waves, by, wave).agg((F.median if strategy == "median" else F.avg)("step").alias("step"))
+    steps = wave_steps(waves, by, wave)
+    steps = _median(steps, "step") if strategy == "median" else steps.agg(F.avg("step").alias("step"))
     ends = waves.agg(F.min(wave).alias("g0"), F.max(wave).alias("g1"))
     return ends.join(steps).select("g0", "step", (F.floor((F.col("g1") - F.col("g0")) / F.col("step")) + 1).alias("n"))
 
@@ -106,34 +118,42 @@ def resample_and_combine(spectra: DataFrame, method: str = "mean", strategy: str
     return out.join(F.broadcast(params.drop("n"))).select("y", "bin", (F.col("g0") + F.col("bin") * F.col("step")).alias("center"), "flux", "err", "n")
 
 
-def cutout(pixels: DataFrame, trace: DataFrame, height: int) -> DataFrame:
-    """Rows about a trace (image_id, source_id, x, y_trace, wavelength): (image_id, source_id, x, row, wavelength, flux, err).
+def cutout(pixels: DataFrame, trace: DataFrame, height: int, also: tuple[str, ...] = ()) -> DataFrame:
+    """Rows about a trace (image_id, source_id, x, y_trace, wavelength): (image_id, source_id, x, row, wave_no, wavelength, flux, err).
 
     Row 0 is ``height // 2`` under the trace, rounded half to even; rows outside the image are missing; sources without any
-    pixel in the image do not appear.
+    pixel in the image do not appear. wave_no is a sample's place from 0 in the order of its row's wavelengths. Columns in ``also`` tell
+    apart cut-outs of the same source.
     """
+    own = [*also, "image_id", "source_id"]
     t = trace.withColumn("y0", (F.bround("y_trace") - height // 2).cast("long"))
     rows = t.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("y", F.col("y0") + F.col("row"))
     got = rows.join(pixels.select("image_id", "x", "y", "sci", "err", F.lit(1).alias("_in")), ["image_id", "x", "y"], "left")
-    covered = got.where("_in = 1").select("image_id", "source_id").distinct()
-    return got.join(covered, ["image_id", "source_id"], "left_semi").select("image_id", "source_id", "x", "row", "wavelength", F.col("sci").alias("flux"), F.col("err"))
+    covered = got.where("_in = 1").select(*own).distinct()
+    order = F.row_number().over(Window.partitionBy(*own, "row").orderBy("wavelength", "x")) - 1
+    return got.join(covered, own, "left_semi").select(*own, "x", "row", order.alias("wave_no"), "wavelength", F.col("sci").alias("flux"), F.col("err"))
 
 
-def extract(exposures: DataFrame, pixels: DataFrame, traces: DataFrame, ra: float, dec: float, height: int, pupil: str = "GRISMR") -> DataFrame:
-    """Cut-outs of all exposures of ``pupil`` whose footprint holds an end of the nearest exposure's spectrum.
+def extract(exposures: DataFrame, pixels: DataFrame, traces: DataFrame, targets: DataFrame, height: int, pupil: str = "GRISMR") -> DataFrame:
+    """For each of ``targets`` (id, ra, dec) the cut-outs of all exposures of ``pupil`` whose footprint holds an end of the
+    spectrum in the exposure nearest to the target.
 
-    ``exposures``: ord, image_id, pupil, vertices; ``traces`` has the sky position (sx, sy) of each trace point.
+    ``exposures``: ord, image_id, pupil, vertices; ``traces`` has the sky position (sx, sy) of each trace point. The nearest
+    exposure and the footprints about the ends are found by grid cells. An error if no exposure has the pupil.
     """
-    from ..functions import polygon
+    from . import spatial
 
     if pupil != "GRISMR":
         raise ValueError(f"unsupported pupil: {pupil}")
     some = exposures.where(F.col("pupil") == pupil)
-    c = some.withColumn("c", polygon.centroid(F.col("vertices")))
-    nearest = c.orderBy(F.pow(F.col("c.x") - ra, 2) + F.pow(F.col("c.y") - dec, 2), "ord").limit(1).select("image_id")
-    ends = traces.join(F.broadcast(nearest), "image_id").agg(F.min_by(F.struct("sx", "sy"), "wavelength").alias("a"), F.max_by(F.struct("sx", "sy"), "wavelength").alias("b"))
-    near = some.join(F.broadcast(ends)).where(polygon.contains(F.col("vertices"), F.col("a.sx"), F.col("a.sy")) | polygon.contains(F.col("vertices"), F.col("b.sx"), F.col("b.sy"))).select("image_id")
-    return cutout(pixels, traces.join(near, "image_id", "left_semi"), height)
+    if some.isEmpty():
+        raise ValueError(f"no exposures with pupil {pupil}")
+    nearest = spatial.nearest_footprint(targets.select("id", "ra", "dec"), some, key="ord").join(some.select("ord", "image_id"), "ord").select("id", "image_id")
+    at = F.struct("sx", "sy")
+    ends = nearest.join(traces, "image_id").groupBy("id").agg(F.min_by(at, "wavelength").alias("a"), F.max_by(at, "wavelength").alias("b"))
+    ends = ends.select("id", F.explode(F.array("a", "b")).alias("e")).select("id", "e.sx", "e.sy")
+    near = spatial.points_in_footprints(ends, some.select("image_id", "vertices"), "sx", "sy").select("id", "image_id").distinct()
+    return cutout(pixels, traces.join(near, "image_id"), height, ("id",))
 
 
 def long_rows(lines: DataFrame, columns: tuple[str, ...] = ("wavelength", "flux", "err")) -> DataFrame:

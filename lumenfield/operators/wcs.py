@@ -42,9 +42,9 @@ def sky_to_pixel(ra: Column, dec: Column) -> Column:
     return let(F.struct(xi.alias("xi"), eta.alias("eta")), pixel)
 
 
-def footprints(wcs: DataFrame, left: int = 0, bottom: int = 0, right: int = 0, top: int = 0) -> DataFrame:
+def footprints(wcs: DataFrame, left: Column | int = 0, bottom: Column | int = 0, right: Column | int = 0, top: Column | int = 0) -> DataFrame:
     """``wcs`` (with width and height) with vertices on the sky and their pixel pairs; sides can be pushed out."""
-    x0, y0 = F.lit(-left), F.lit(-bottom)
+    x0, y0 = -F.lit(left), -F.lit(bottom)
     x1, y1 = F.col("width") - 1 + right, F.col("height") - 1 + top
     corners = [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
     sky = [pixel_to_sky(x, y) for x, y in corners]
@@ -62,36 +62,63 @@ def pixel_coordinates(pixels: DataFrame, wcs: DataFrame) -> DataFrame:
     return pixels.join(wcs, "image_id").withColumn("s", pixel_to_sky(F.col("x").cast("double"), F.col("y").cast("double"))).select(*pixels.columns, "s.ra", "s.dec")
 
 
-#: How far a grism field's spectra reach beyond the image, (short, long) wavelength side in pixels along and across, module A; B is mirrored.
-EXTENSION = {"left": 1100, "right": 100, "bottom": 200, "top": 100}
+#: How many pixels a grism field reaches beyond the image on each side, by module.
+EXTENSION = {"A": {"left": 1100, "bottom": 100, "right": 200, "top": 100}, "B": {"left": 200, "bottom": 100, "right": 1100, "top": 100}}
 
 
-def counterparts(grism: DataFrame, images: DataFrame, filters: DataFrame, extension: dict[str, int] = EXTENSION, mirrored: bool = False, min_fraction: float = 0.01) -> DataFrame:
+def extended(grism: DataFrame, extension: dict[str, dict[str, int]] = EXTENSION) -> DataFrame:
+    """Grism fields (wcs rows with detector, width, height) with left, bottom, right and top, the pixels beyond the image, by the module in the detector's name."""
+    module = F.substring("detector", 4, 1)
+    side = lambda s: F.coalesce(*[F.when(module == m, F.lit(e[s])) for m, e in extension.items()])
+    return grism.withColumns({s: side(s) for s in ("left", "bottom", "right", "top")})
+
+
+def counterparts(grism: DataFrame, images: DataFrame, extension: dict[str, dict[str, int]] = EXTENSION, min_fraction: float = 0.01) -> DataFrame:
     """(target, filter, image_id) of direct images that overlap each grism field's extended footprint; a field's filters without any have a null image.
 
-    ``grism``: wcs rows with image_id (the target), width and height; ``images``: image_id, filter, pupil, vertices.
+    ``grism``: wcs rows with image_id (the target), detector, width and height; ``images``: image_id, filter, pupil, vertices. An
+    error if no image is direct.
     """
-    e = dict(extension)
-    if mirrored:
-        e["left"], e["right"] = e["right"], e["left"]
-    fields = footprints(grism, **e).select("image_id", "vertices")
-    hit = spatial.search(images.where(F.col("pupil") == "CLEAR"), fields, (), min_fraction, "image_id")
-    wanted = fields.select(F.col("image_id").alias("target")).crossJoin(filters.select("filter").distinct())  # filters are few
+    clear = images.where(F.col("pupil") == "CLEAR")
+    if clear.isEmpty():
+        raise ValueError("no CLEAR images")
+    fields = footprints(extended(grism, extension), *map(F.col, ("left", "bottom", "right", "top"))).select("image_id", "vertices")
+    hit = spatial.search(clear, fields, (), min_fraction, "image_id")
+    wanted = fields.select(F.col("image_id").alias("target")).crossJoin(clear.select("filter").distinct())  # filters are few
     return wanted.join(hit.select("target", "filter", "image_id"), ["target", "filter"], "left")
 
 
-def reproject(pixels: DataFrame, targets: DataFrame, value: str = "sci") -> DataFrame:
+def counterpart_planes(grism: DataFrame, images: DataFrame, wcs: DataFrame, pixels: DataFrame, extension: dict[str, dict[str, int]] = EXTENSION, min_fraction: float = 0.01) -> DataFrame:
+    """The counterparts of each field on the field's own extended grid: (target, filter, image_id, oy, ox, value), places counted from the
+    field's first pixel, so that those of the extension before it are negative. A filter without counterpart gives one plane of missing values.
+
+    ``wcs``: rows of the direct images; ``pixels``: image_id, y, x, sci.
+    """
+    solution = ["crpix1", "crpix2", "cd11", "cd12", "cd21", "cd22", "crval1", "crval2"]
+    field = extended(grism, extension).withColumnRenamed("image_id", "target")
+    grid = field.withColumn("oy", F.explode(F.sequence(-F.col("bottom"), F.col("height") - 1 + F.col("top")))).withColumn("ox", F.explode(F.sequence(-F.col("left"), F.col("width") - 1 + F.col("right"))))
+    grid = grid.select("target", "oy", "ox", pixel_to_sky(F.col("ox"), F.col("oy")).alias("s"))
+    asked = counterparts(grism, images, extension, min_fraction).join(grid, "target")
+    placed = asked.where("image_id is not null").join(wcs.select("image_id", *solution), "image_id").withColumn("p", sky_to_pixel(F.col("s.ra"), F.col("s.dec")))
+    placed = placed.select("target", "filter", "image_id", "oy", "ox", F.col("p.pix_x").alias("in_x"), F.col("p.pix_y").alias("in_y"))
+    planes = reproject(pixels, placed, also=("target", "filter")).select("target", "filter", "image_id", "oy", "ox", "value")
+    none = asked.where("image_id is null").select("target", "filter", "image_id", "oy", "ox", F.lit(None).cast("double").alias("value"))
+    return planes.unionByName(none)
+
+
+def reproject(pixels: DataFrame, targets: DataFrame, value: str = "sci", also: tuple[str, ...] = ()) -> DataFrame:
     """Bilinear values at (image_id, oy, ox, in_x, in_y): weighted mean of the valid of four neighbours; missing if none has weight.
 
-    Positions outside the image are missing.
+    Positions outside the image are missing. Columns in ``also`` tell apart grids that ask the same image.
     """
+    place = [*also, "image_id", "oy", "ox"]
     shape = pixels.groupBy("image_id").agg((F.max("x")).alias("mx"), (F.max("y")).alias("my"))
-    t = targets.join(F.broadcast(shape), "image_id")
+    t = targets.join(shape, "image_id")
     inside = F.col("in_x").between(0, F.col("mx")) & F.col("in_y").between(0, F.col("my"))
     fx, fy = F.floor("in_x"), F.floor("in_y")
     wx, wy = F.col("in_x") - fx, F.col("in_y") - fy
     near = F.array(*[F.struct((fx + i).alias("x"), (fy + j).alias("y"), ((wx if i else 1 - wx) * (wy if j else 1 - wy)).alias("w")) for j in (0, 1) for i in (0, 1)])
-    four = t.where(inside).select("image_id", "oy", "ox", F.explode(near).alias("n")).select("image_id", "oy", "ox", "n.x", "n.y", "n.w").where("w > 0")
+    four = t.where(inside).select(*place, F.explode(near).alias("n")).select(*place, "n.x", "n.y", "n.w").where("w > 0")
     got = four.join(pixels.select("image_id", "x", "y", F.col(value).alias("v")).where("v is not null"), ["image_id", "x", "y"])
-    s = got.groupBy("image_id", "oy", "ox").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("value"))
-    return targets.select("image_id", "oy", "ox").join(s, ["image_id", "oy", "ox"], "left")
+    s = got.groupBy(*place).agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("value"))
+    return targets.select(*place).join(s, place, "left")

@@ -261,10 +261,13 @@ def catalog_in_footprint(spark, d):
     return spatial.points_in_footprints(view(spark, d, "v_catalog"), _fps(spark, d)).select("id", "fp_id", "ra", "dec")
 
 
-@query()
+@query("""
+with p as (select distinct id, ra, dec from v_catalog), c as (select fp_id, (x0 + x1) / 2 as cx, (y0 + y1) / 2 as cy from v_footprints),
+r as (select id, ra, dec, min(round(power(cx - ra, 2) + power(cy - dec, 2), 12)) as d2 from p, c group by id, ra, dec)
+select id, ra, dec, round(d2, 9) as d2 from r""")
 def nearest_footprint(spark, d):
-    """All sources: the SQL would compare each with all footprints, so tests do it on a small table."""
-    return spatial.nearest_footprint(view(spark, d, "v_catalog"), _fps(spark, d)).select("id", "ra", "dec", "fp_id", "d2")
+    """The distance to the nearest footprint; which of several at the same distance is tested on a small table."""
+    return spatial.nearest_footprint(view(spark, d, "v_catalog"), _fps(spark, d)).select("id", "ra", "dec", F.round("d2", 9).alias("d2"))
 
 
 _REACH = """
@@ -336,10 +339,11 @@ def stage_footprints(spark, d):
     return boxes.stage_footprints(covers).select("ord", "basename", "stage")
 
 
-@query("select cast(floor(fp_id / 10) as bigint) as pair, round(2 * (x1 - x0) * (y1 - y0) - greatest(x1 - x0 - 3.5e-3, 0e0) * greatest(y1 - y0 - 3.5e-3, 0e0), 9) as area from v_footprints where fp_id % 10 = 0 and fp_id + 1 in (select fp_id from v_footprints)")
+@query("select fp_id as pair, round(2 * (x1 - x0) * (y1 - y0) - greatest(x1 - x0 - 3.5e-3, 0e0) * greatest(y1 - y0 - 3.5e-3, 0e0), 9) as area from v_footprints where floor(fp_id / 10) = floor((fp_id + 1) / 10) and fp_id + 1 in (select fp_id from v_footprints)")
 def union_outlines(spark, d):
-    """Area of two neighbouring dithers together."""
-    f = _fps(spark, d).where("fp_id % 10 < 2").withColumn("pair", F.floor(F.col("fp_id") / 10))
+    """Area of each footprint and the next dither of its tile together."""
+    f = _fps(spark, d)
+    f = f.withColumn("pair", F.explode(F.array(F.col("fp_id") - 1, F.col("fp_id")))).where("floor(pair / 10) = floor((pair + 1) / 10)")
     two = f.join(f.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).where("n = 2"), "pair")
     return pointing.union_outline(two.select("pair", "vertices"), "pair").select("pair", F.round("area", 9).alias("area"))
 
@@ -366,9 +370,9 @@ def product_names(spark, d):
     return pointing.product_name(_members(spark, d), "grp")
 
 
-@query(f"with {_MEMBERS}, k as (select exposure_id % 50 as g, string_agg(distinct fileset, ',' order by fileset) as filesets, min(substr(detector, 1, 4)) as module from m group by 1) select filesets, module, string_agg(cast(g as string), ',' order by g) as groups from k group by filesets, module")
+@query(f"with {_MEMBERS}, k as (select cast(floor(exposure_id / 8) as bigint) as g, string_agg(distinct fileset, ',' order by fileset) as filesets, min(substr(detector, 1, 4)) as module from m group by 1) select filesets, module, string_agg(cast(g as string), ',' order by g) as groups from k group by filesets, module")
 def product_groups(spark, d):
-    out = pointing.product_groups(_members(spark, d).withColumn("g", F.col("exposure_id") % 50), "g")
+    out = pointing.product_groups(_members(spark, d).withColumn("g", F.floor(F.col("exposure_id") / 8)), "g")
     return out.select(F.array_join("filesets", ",").alias("filesets"), "module", F.array_join(F.col("groups").cast("array<string>"), ",").alias("groups"))
 
 
@@ -607,23 +611,51 @@ def sky_to_pixel(spark, d):
     return s.select("image_id", "y", "x", r6("p.pix_x").alias("pix_x"), r6("p.pix_y").alias("pix_y"))
 
 
-@query()
+@query("""
+with i as (select distinct image_id from v_pixels), c as (select image_id, unnest([0, 1, 2, 3]) as corner, unnest([0, 63, 63, 0]) as px, unnest([0, 0, 39, 39]) as py from i),
+u as (select *, px + 1 - 3.25e1 as u, py + 1 - 2.05e1 as v, 1e1 + image_id * 1e-1 as a0, radians(-5e0 + image_id * 2e-1) as d0 from c),
+p as (select *, radians(-1e-4 * u + 2e-5 * v) as xi, radians(2e-5 * u + 1e-4 * v) as eta from u)
+select image_id, corner, cast(px as bigint) as px, cast(py as bigint) as py, round(a0 + degrees(atan2(xi, cos(d0) - eta * sin(d0))), 6) as ra,
+  round(degrees(atan2(sin(d0) + eta * cos(d0), sqrt(xi * xi + power(cos(d0) - eta * sin(d0), 2)))), 6) as dec from p""")
 def wcs_footprints(spark, d):
-    return wcs.footprints(_wcs(_px(spark, d))).select("image_id", "vertices", "vertex_marker")
+    f = wcs.footprints(_wcs(_px(spark, d))).select("image_id", F.posexplode(F.arrays_zip("vertices", "vertex_marker")).alias("corner", "c"))
+    return f.select("image_id", "corner", F.col("c.vertex_marker")[0].alias("px"), F.col("c.vertex_marker")[1].alias("py"), r6("c.vertices.x").alias("ra"), r6("c.vertices.y").alias("dec"))
 
 
-@query()
+@query("""
+with i as (select distinct image_id, 1e1 + image_id * 1e-1 as a0, radians(-5e0 + image_id * 2e-1) as d0 from v_pixels),
+s as (select id, ra, dec, image_id, radians(ra - a0) as a, radians(dec) as d, d0 from v_catalog join i on abs(ra - a0) < 1e-1 and abs(dec - degrees(d0)) < 1e-1),
+t as (select *, sin(d0) * sin(d) + cos(d0) * cos(d) * cos(a) as c from s),
+x as (select id, ra, dec, image_id, degrees(cos(d) * sin(a) / c) as xi, degrees((cos(d0) * sin(d) - sin(d0) * cos(d) * cos(a)) / c) as eta from t),
+p as (select id, ra, dec, image_id, (1e-4 * xi - 2e-5 * eta) / (-1e-4 * 1e-4 - 2e-5 * 2e-5) + 3.15e1 as pix_x, (-1e-4 * eta - 2e-5 * xi) / (-1e-4 * 1e-4 - 2e-5 * 2e-5) + 1.95e1 as pix_y from x)
+select id, ra, dec, image_id, round(pix_x, 4) as pix_x, round(pix_y, 4) as pix_y from p where pix_x > 0 and pix_x < 63 and pix_y > 0 and pix_y < 39""")
 def catalog_pixels(spark, d):
     w = _wcs(_px(spark, d))
-    return wcs.catalog_pixels(view(spark, d, "v_catalog"), wcs.footprints(w), w)
+    out = wcs.catalog_pixels(view(spark, d, "v_catalog"), wcs.footprints(w), w)
+    return out.select("id", "ra", "dec", "image_id", F.round("pix_x", 4).alias("pix_x"), F.round("pix_y", 4).alias("pix_y"))
+
+
+def _fields(p: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All images as grism fields of the two modules in turn, and as direct images of three filters, the third without a partner nearby."""
+    w = _wcs(p)
+    module = F.when(F.col("image_id") % 2 == 0, "NRCALONG").otherwise("NRCBLONG")
+    images = wcs.footprints(w).withColumn("filter", F.concat(F.lit("F"), (F.col("image_id") % 3).cast("string"))).withColumn("pupil", F.lit("CLEAR"))
+    return w.withColumn("detector", module), images
 
 
 @query()
 def counterparts(spark, d):
-    """Direct images that overlap the extended field of the first image, by filter."""
-    w = _wcs(_px(spark, d))
-    images = wcs.footprints(w).withColumn("filter", F.concat(F.lit("F"), (F.col("image_id") % 3).cast("string"))).withColumn("pupil", F.lit("CLEAR"))
-    return wcs.counterparts(w.where("image_id = 0"), images, images)
+    """Direct images that overlap the extended field of each image, by filter; tests hold it against a brute-force version."""
+    return wcs.counterparts(*_fields(_px(spark, d)))
+
+
+@query()
+def counterpart_planes(spark, d):
+    """Those images on the grids of the fields, extended by a few pixels."""
+    p = _px(spark, d)
+    near = {"A": {"left": 110, "bottom": 10, "right": 20, "top": 10}, "B": {"left": 20, "bottom": 10, "right": 110, "top": 10}}
+    grism, images = _fields(p)
+    return wcs.counterpart_planes(grism, images, _wcs(p), p, near)
 
 
 @query("""
@@ -644,13 +676,13 @@ def reproject_bilinear(spark, d):
 
 @query()
 def extract_spectra(spark, d):
-    """Cut-outs at a sky position over all grism exposures whose footprint it crosses."""
+    """Cut-outs of every source whose id is divisible by 100, over all grism exposures that its spectrum crosses."""
     p = _px(spark, d)
     w = _wcs(p)
     exposures = wcs.footprints(w).select(F.col("image_id").alias("ord"), "image_id", F.lit("GRISMR").alias("pupil"), "vertices")
     trace = _trace(p).join(w, "image_id").withColumn("s", wcs.pixel_to_sky(F.col("x").cast("double"), F.col("y_trace")))
     trace = trace.select("image_id", "source_id", "x", "y_trace", "wavelength", F.col("s.ra").alias("sx"), F.col("s.dec").alias("sy"))
-    return spectra.extract(exposures, p, trace, 10.2, -4.6, 5)
+    return spectra.extract(exposures, p, trace, view(spark, d, "v_catalog").where("id % 100 = 0"), 5)
 
 
 def queries() -> dict[str, Query]:

@@ -60,6 +60,19 @@ def test_sample_has_every_combination(box):
     assert len(boxes.sample(box, 2).collect()) == 2 and len(boxes.sample(box, 99).collect()) == 9
 
 
+def test_sample_keeps_nulls_and_repeats_as_they_are(spark):
+    rows = [("a", "X", None)] * 3 + [("b", None, None), ("c", "Y", "f")]
+    df = spark.createDataFrame(rows, "basename string, pupil string, filepath string")
+    for seed in range(4):
+        assert sorted(map(str, boxes.sample(df, 99, ("pupil",), seed).collect())) == sorted(map(str, df.collect()))
+        assert {r["pupil"] for r in boxes.sample(df, 3, ("pupil",), seed).collect()} == {"X", None, "Y"}
+
+
+def test_random_target_and_length(box):
+    got = boxes.random_target(box, 3).collect()
+    assert len(got) == 1 and got[0]["basename"] in {r["basename"] for r in box.collect()}
+
+
 def test_merge(spark, box):
     right = box.where("ord >= 5").withColumn("filepath", F.lit("new")).unionByName(box.where("ord = 0").withColumn("basename", F.lit("extra")).withColumn("ord", F.lit(9).cast("long")))
     left = box.where("ord <= 6")
@@ -102,6 +115,21 @@ def test_saved_boxes(spark, box, tmp_path):
     assert got["basename"] == "n" and got["stage"] == "2b" and got["footprint"]["area"] == 1.0
 
 
+def test_saved_footprints_come_back_and_a_box_replaces_its_own_file(spark, box, tmp_path):
+    path = str(tmp_path / "whole.json")
+    fp = F.struct(F.array(F.array(F.lit(0.0), F.lit(1.0))).alias("vertices"), F.array(F.array(F.lit(0).cast("long"))).alias("vertex_marker"), F.array(F.lit(0.5)).alias("center"), F.col("ord").cast("double").alias("area"), F.lit(2.0).alias("radius"))
+    full = box.withColumn("footprint", F.when(F.col("ord") != 4, fp)).drop("ord")
+    full = full.unionByName(full.withColumn("stage", F.lit("3a")))
+    order = ["basename", "stage"]
+    want = full.orderBy(*order).collect()
+    saved.save(full, path)
+    got = saved.load(spark, path)
+    assert got.select(*full.columns).orderBy(*order).collect() == want
+    saved.save(saved.update_from_folder(got, got.where("stage = '3a'").withColumn("filepath", F.lit("new"))), path)
+    again = saved.load(spark, path).select(*full.columns).orderBy(*order).collect()
+    assert [r["filepath"] for r in again if r["stage"] == "3a"] == ["new"] * 9 and [r["footprint"] for r in again] == [r["footprint"] for r in want]
+
+
 def test_listing_files(spark, tmp_path):
     p = spark.createDataFrame([("d1_cal.fits", "d1", "2b", "_cal", "public", "NIRCAM", 2_000_000), ("d1_x.fits", "d1", "2b", "_x", "public", "NIRCAM", None)], "filename string, dataset string, category string, file_suffix string, access string, instrument_name string, size long")
     saved.save_products(p, str(tmp_path / "p"))

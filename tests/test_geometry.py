@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenfield.functions import polygon
-from lumenfield.operators import pointing, spatial
+from lumenfield.operators import pointing, spatial, wcs
 from lumenfield.operators.graph import connected_components
 
 TYPE = "array<struct<x:double,y:double>>"
@@ -137,3 +137,105 @@ def test_unions_of_all_components_against_brute_force(spark, sf):
     assert set(got) == set(want) and sum(n for n, *_ in got.values()) == len(boxes) and max(n for n, *_ in got.values()) > 2
     for c, w in want.items():
         assert got[c][0] == w[0] and all(abs(x - y) < 1e-7 for x, y in zip(got[c][1:], w[1:]))
+
+
+def test_components_that_do_not_settle_are_an_error(spark):
+    df = spark.createDataFrame([(i, i + 1) for i in range(64)], "src long, dst long")
+    with pytest.raises(RuntimeError, match="unfinished"):
+        connected_components(df, max_rounds=1)
+
+
+def test_points_without_a_place_have_no_nearest_footprint(spark):
+    f = spark.createDataFrame([(1, [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)])], f"fp_id long, vertices {TYPE}")
+    p = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 0.0), (3, 1.0, None), (None, 1.0, 1.0)], "id long, ra double, dec double")
+    got = {r["id"]: (r["fp_id"], r["d2"]) for r in spatial.nearest_footprint(p, f).collect()}
+    assert got == {1: (1, 0.5), 2: (None, None), 3: (None, None), None: (None, None)}
+    assert {r["id"] for r in spatial.nearest_footprint(p, f.limit(0)).collect()} == {2, 3, None}
+
+
+SCALE = 1e-4
+
+
+def fields(spark, rows, height=40, width=64):
+    """wcs rows of images without rotation, one pixel being SCALE degrees."""
+    names = "image_id long, detector string, crval1 double, crval2 double, crpix1 double, crpix2 double, cd11 double, cd12 double, cd21 double, cd22 double, width long, height long"
+    return spark.createDataFrame([(i, d, a, b, 1.0, 1.0, SCALE, 0.0, 0.0, SCALE, width, height) for i, d, a, b in rows], names)
+
+
+def test_counterparts_of_both_modules(spark):
+    a, b = 10.0, 0.0
+    at = lambda x, y: (a + x * SCALE, b + y * SCALE)
+    # direct images by where their first pixel is on the field's grid: only the long sides of each module reach them
+    places = {1: at(-1050, 0), 2: at(1000, 0), 3: at(180, -80), 4: at(-180, 110), 5: at(0, -230)}
+    direct = fields(spark, [(i, "", *p) for i, p in places.items()])
+    images = wcs.footprints(direct).withColumn("filter", F.when(F.col("image_id") < 3, "F1").otherwise("F2")).withColumn("pupil", F.lit("CLEAR"))
+    images = images.unionByName(images.where("image_id = 5").withColumn("filter", F.lit("F9")))
+    grism = fields(spark, [(100, "NRCALONG", a, b), (101, "NRCBLONG", a, b)])
+    got = {(r["target"], r["filter"], r["image_id"]) for r in wcs.counterparts(grism, images).collect()}
+    assert got == {(100, "F1", 1), (100, "F2", 3), (100, "F2", 4), (100, "F9", None), (101, "F1", 2), (101, "F2", 3), (101, "F2", 4), (101, "F9", None)}
+    with pytest.raises(ValueError, match="CLEAR"):
+        wcs.counterparts(grism, images.withColumn("pupil", F.lit("GRISMR")))
+
+
+def test_counterpart_planes_are_on_the_grid_of_the_field(spark):
+    grism = fields(spark, [(100, "NRCALONG", 10.0, 0.0)], 4, 6)
+    direct = fields(spark, [(1, "", 10.0 - 3 * SCALE, 0.0 + SCALE)], 4, 6)
+    images = wcs.footprints(direct).withColumn("filter", F.lit("F1")).withColumn("pupil", F.lit("CLEAR"))
+    images = images.unionByName(images.withColumn("image_id", F.lit(7).cast("long")).withColumn("filter", F.lit("F2")).withColumn("vertices", F.transform("vertices", lambda v: polygon.point(v["x"] + 5, v["y"]))))
+    px = spark.createDataFrame([(1, y, x, float(10 * y + x)) for y in range(4) for x in range(6)], "image_id long, y long, x long, sci double")
+    near = {"A": {"left": 4, "bottom": 1, "right": 2, "top": 1}}
+    got = wcs.counterpart_planes(grism, images, direct, px, near).collect()
+    one = {(r["oy"], r["ox"]): r["value"] for r in got if r["filter"] == "F1"}
+    assert set(one) == {(y, x) for y in range(-1, 5) for x in range(-4, 8)} and {r["image_id"] for r in got if r["filter"] == "F1"} == {1}
+    for (y, x), v in one.items():
+        iy, ix = y - 1, x + 3
+        if 0 < iy < 3 and 0 < ix < 5:
+            assert v == pytest.approx(10 * iy + ix, abs=1e-3)
+        elif not (0 <= iy <= 3 and 0 <= ix <= 5):
+            assert v is None
+    none = [r for r in got if r["filter"] == "F2"]
+    assert len(none) == len(one) and all(r["value"] is None and r["image_id"] is None for r in none)
+
+
+def _clipped(subject, clip):
+    """Area of two convex counter-clockwise polygons together."""
+    for (ax, ay), (bx, by) in zip(clip, clip[1:] + clip[:1]):
+        side = lambda p: (bx - ax) * (p[1] - ay) - (by - ay) * (p[0] - ax)  # noqa: E731, B023
+        out = []
+        for p, q in zip(subject, subject[1:] + subject[:1]):
+            s, t = side(p), side(q)
+            if s >= 0:
+                out.append(p)
+            if (s >= 0) != (t >= 0):
+                out.append((p[0] + s / (s - t) * (q[0] - p[0]), p[1] + s / (s - t) * (q[1] - p[1])))
+        subject = out
+        if not subject:
+            return 0.0
+    return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(subject, subject[1:] + subject[:1]))) / 2
+
+
+def test_counterparts_query_against_brute_force(spark, sf):
+    from lumenfield.plans import queries as plans
+
+    grism, images = plans._fields(plans._px(spark, sf))
+    shape = {"A": (1100, 100, 200, 100), "B": (200, 100, 1100, 100)}
+
+    def sky(r, x, y):
+        u, v = x + 1 - r["crpix1"], y + 1 - r["crpix2"]
+        xi, eta, d0 = math.radians(r["cd11"] * u + r["cd12"] * v), math.radians(r["cd21"] * u + r["cd22"] * v), math.radians(r["crval2"])
+        den = math.cos(d0) - eta * math.sin(d0)
+        return r["crval1"] + math.degrees(math.atan2(xi, den)), math.degrees(math.atan2(math.sin(d0) + eta * math.cos(d0), math.hypot(xi, den)))
+
+    def corners(r, left=0, bottom=0, right=0, top=0):
+        x, y = r["width"] - 1 + right, r["height"] - 1 + top
+        v = [sky(r, *c) for c in ((-left, -bottom), (x, -bottom), (x, y), (-left, y))]
+        return v if sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(v, v[1:] + v[:1])) > 0 else v[::-1]
+
+    area = lambda v: abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(v, v[1:] + v[:1]))) / 2
+    ims = [(r["image_id"], r["filter"], corners(r)) for r in images.collect()]
+    want = set()
+    for g in grism.collect():
+        v = corners(g, *shape[g["detector"][3]])
+        hit = {(f, i) for i, f, w in ims if _clipped(w, v) >= 0.01 * min(area(w), area(v))}
+        want |= {(g["image_id"], f, i) for f, i in hit} | {(g["image_id"], f, None) for f in {f for _, f, _ in ims} - {f for f, _ in hit}}
+    assert {(r["target"], r["filter"], r["image_id"]) for r in plans.queries()["counterparts"](spark, sf).collect()} == want and len(want) > 10
