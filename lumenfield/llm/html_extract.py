@@ -8,7 +8,8 @@ with a marginal of a half or more is the page's main text.
 The potentials are counts over labelled pages. Where no labels are given, pages that mark their parts themselves
 (an article or main element) label their own nodes: what is in it is content, but for menus, notices, forms and the like, and
 what is outside is not. The model then serves all pages, also those without such marks. Counts are summed in each task and then by key;
-the model has at most some thousand numbers, as class words are hashed into ``BUCKETS`` buckets.
+the model has at most some thousand numbers, as class words and unknown tags are hashed into buckets. Without labels and without pages that
+mark their parts, fixed weights of length, links and sentence marks stand in for the counts.
 
 Text: blocks are in page order, character references are decoded, white space inside a block is one space (a line
 break element is white space), blocks are joined by one space. Scripts, styles, comments, heads and hidden parts are never text.
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BUCKETS = 1024
+TAG_BUCKETS = 64
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>]+)))?""")
 NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
@@ -43,6 +45,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl dt dd fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th", "tbody"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPE = frozenset("ul ol dl table article section main aside nav body html div form blockquote".split())
+TAGS = VOID | RAW | INLINE | CLOSES_P | SCOPE | frozenset(SIBLINGS)
 #: Words by which pages name what is not their article; tags and roles of the same meaning.
 NOT_CONTENT = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer form header legal login masthead menu nav navbar navigation newsletter notice pager pagination popup promo promotion related reply replies share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget".split())
 NOT_TAGS = frozenset("nav footer aside form button dialog menu fieldset search".split())
@@ -159,8 +162,13 @@ def parse(page: str) -> list[Node]:
     return nodes
 
 
+def tag_name(tag: str) -> str:
+    """Tags of the standard, and a bucket for any other."""
+    return tag if tag in TAGS or tag == "#" else f"other{zlib.crc32(tag.encode()) % TAG_BUCKETS}"
+
+
 def features(node: Node) -> list[str]:
-    out = [f"tag {node.tag}", f"length {min(9, int(math.log2(node.chars + 1)))}", f"links {0 if not node.links else 1 + int(3 * node.links / max(1, node.chars))}", f"marks {min(4, node.marks)}", f"depth {min(node.depth, 8)}"]
+    out = [f"tag {tag_name(node.tag)}", f"length {min(9, int(math.log2(node.chars + 1)))}", f"links {0 if not node.links else 1 + int(3 * node.links / max(1, node.chars))}", f"marks {min(4, node.marks)}", f"depth {min(node.depth, 8)}"]
     out += {f"name {zlib.crc32(w.encode()) % BUCKETS}" for w in node.names}
     out += [f"word {w}" for w in node.names if w in NOT_CONTENT]
     if node.role:
@@ -180,30 +188,48 @@ def seeds(nodes: list[Node]) -> list[int] | None:
     return state
 
 
+def labelled(nodes: list[Node], main: str) -> list[int]:
+    """States of the nodes of a page whose main text is known: a block is content if its text stands there, an element without text of
+    its own if most of the text in it is."""
+    main = " ".join(main.split())
+    state, good, whole = [0] * len(nodes), [0] * len(nodes), [0] * len(nodes)
+    for i in range(len(nodes) - 1, -1, -1):  # children come after their parents
+        x = nodes[i]
+        size = sum(len(t) for _, t in x.texts)
+        here = sum(len(t) for _, t in x.texts if t in main)
+        state[i] = int(not x.hidden and (2 * here > size if size else 2 * good[i] > whole[i]))
+        if x.parent >= 0:
+            good[x.parent] += good[i] + here
+            whole[x.parent] += whole[i] + size
+    return state
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter = Counter()
     for batch in batches:
-        for page in batch.column(0):
+        for page, main in zip(batch.column(0), batch.column(1).to_pylist()):
             nodes = parse(page.as_py() or "")
-            state = seeds(nodes)
+            state = seeds(nodes) if main is None else labelled(nodes, main)
             for i, x in enumerate(nodes if state else ()):
                 for f in features(x):
                     seen[f"{f}|{state[i]}"] += 1
                 if x.parent >= 0:
-                    seen[f"edge {x.tag} {state[x.parent]}|{state[i]}"] += 1
+                    seen[f"edge {tag_name(x.tag)} {state[x.parent]}|{state[i]}"] += 1
                     seen[f"any {state[x.parent]}|{state[i]}"] += 1
                 seen[f"all|{state[i]}"] += 1
     yield pa.RecordBatch.from_pydict({"key": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
 
 
-def train(pages: DataFrame) -> dict[str, int]:
-    """Potentials as counts, from the pages that mark their parts."""
-    counted = pages.select("html").mapInArrow(_counts, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return {r["key"]: r["n"] for r in counted.collect()}  # tags are few in practice; class words are hashed
+def train(pages: DataFrame, main: str | None = None) -> dict[str, int]:
+    """Potentials as counts, from pages whose main text is in the column ``main``, and where that is null or not given, from pages that mark their parts."""
+    label = F.lit(None).cast("string") if main is None else F.col(main)
+    counted = pages.select("html", label.alias("main")).mapInArrow(_counts, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return {r["key"]: r["n"] for r in counted.collect()}  # tags and class words are hashed: at most some thousand keys
 
 
 class Model:
-    """Log potentials. What counts don't cover falls back on what the tags and words mean."""
+    """Log potentials. What counts don't cover falls back on what the tags and words mean; without any counts, text that is long, has the
+    marks of sentences and few links is content."""
 
     def __init__(self, counts: dict[str, int]):
         self.counts = counts
@@ -217,12 +243,13 @@ class Model:
             kind, _, word = f.partition(" ")
             off = (kind == "tag" and word in NOT_TAGS) or kind == "word" or (kind == "role" and word != "other")
             a, b = self.counts.get(f"{f}|1", 0) + 0.5, self.counts.get(f"{f}|0", 0) + 0.5 + 20 * off
-            w = math.log(a / self.all[1] * self.all[0] / b) if min(self.all) > 1 or off else 0.0
+            w = math.log(a / self.all[1] * self.all[0] / b) if min(self.all) > 1 or off else untrained(kind, word)
             self.unary[f] = max(-12.0, min(4.0, w)) if off else max(-4.0, min(4.0, w))
         return self.unary[f]
 
     def edge(self, tag: str, up: int) -> tuple[float, float]:
         """log P(not | parent), log P(content | parent)"""
+        tag = tag_name(tag)
         if (tag, up) not in self.edges:
             base = [self.counts.get(f"any {up}|{s}", 0) + 2.0 * (s == up) + 0.5 for s in (0, 1)]
             n = [self.counts.get(f"edge {tag} {up}|{s}", 0) + 2 * base[s] / sum(base) for s in (0, 1)]
@@ -255,6 +282,13 @@ class Model:
         return out
 
 
+def untrained(kind: str, value: str) -> float:
+    """The weight of a feature that no page was counted for."""
+    if kind == "length":
+        return 0.7 * (int(value) - 5) if int(value) else 0.0
+    return {"marks": 0.6, "links": -1.5}.get(kind, 0.0) * (int(value) if kind in ("marks", "links") else 0)
+
+
 def _add(a: float, b: float) -> float:
     return a + math.log1p(math.exp(b - a)) if a > b else b + math.log1p(math.exp(a - b))
 

@@ -63,3 +63,27 @@ def test_only_attributes_hide_not_words_in_their_values(spark):
     rows = [(1, page)] + [(10 + i, MARKED) for i in range(50)]
     got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, html string")).collect()}
     assert got[1] == got[10] != ""
+
+
+LABELLED = """<html><body><zz-top><a href=x>Home</a> <a href=y>News of today</a></zz-top><div class="k1"><h2>{0}</h2><p>{1}, as they say. It went on, and on, for a day or so.</p><p>Then {2}, which nobody saw. The end, really.</p></div>
+<div class="k2"><p>Buy {0} today, it is cheap. Really, it is a bargain, and more so now.</p></div></body></html>"""
+
+
+def test_labelled_pages_train_what_marks_do_not_show(spark):
+    """No page marks its article; an advert has the form of prose, and only labels tell it apart."""
+    words = [("Rain", "It rained", "the sun came"), ("Snow", "It snowed", "a thaw set in"), ("Wind", "It blew", "calm came")]
+    text = lambda a, b, c: f"{a} {b}, as they say. It went on, and on, for a day or so. Then {c}, which nobody saw. The end, really."
+    rows = [(i, LABELLED.format(*words[i % 2]), text(*words[i % 2])) for i in range(40)]
+    counts = html_extract.train(spark.createDataFrame(rows, "page_id long, html string, main string"), "main")
+    asked = spark.createDataFrame([(9, LABELLED.format(*words[2]))], "page_id long, html string")
+    assert html_extract.extract(asked, counts).first()["text"] == text(*words[2])
+
+
+def test_pages_without_marks_or_labels_give_their_long_texts(spark):
+    prose = "It rained all day, and the river rose. Nobody had seen so much water, not even the old. " * 3
+    page = f"<html><body><ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul><div><p>{prose}</p><p>{prose}</p></div><div><a href=z>More of this</a></div></body></html>"
+    df = spark.createDataFrame([(1, page), (2, "<p>" + "<b x='" * 2000), (3, "<x-1><x-2>" * 3000)], "page_id long, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
+    assert got == {1: " ".join([prose.strip()] * 2), 2: "", 3: ""}
+    keys = html_extract.train(spark.createDataFrame([(i, f"<article><y-{i}>text, text.</y-{i}></article>") for i in range(3000)], "page_id long, html string"))
+    assert sum(k.startswith("tag ") for k in keys) < 200
