@@ -197,26 +197,27 @@ def _basis(t: np.ndarray, knots: int) -> np.ndarray:
     return b
 
 
-def background(pixels: DataFrame, mask: Column | None = None, block: int = 128, size_x: int | None = None, size_y: int | None = None, fraction: float = 0.5, value: str = "sci", origin_x: float | None = None, origin_y: float | None = None) -> DataFrame:
-    """(image_id, y, x, background): a bicubic least-squares surface through tile medians, at every pixel.
+def background(pixels: DataFrame, mask: Column | None = None, block: int = 128, size_x: int | None = None, size_y: int | None = None, fraction: float = 0.5, value: str = "sci", origin_x: float | None = None, origin_y: float | None = None, knots: int = 1, partial: bool = True) -> DataFrame:
+    """(image_id, y, x, background): a bicubic least-squares surface with ``knots`` intervals on each axis through tile medians, at every pixel.
 
     Tile medians are Spark's; the fit is one small solve per image (a number per tile); pixels are evaluated in batches. Images
-    with fewer than 16 usable tiles have no background. The first tile's place is half its number of tiles unless given.
+    with fewer usable tiles than the surface has coefficients, (``knots`` + 3)^2, have no background. Without ``partial`` an image whose
+    sides are not multiples of the tile's is an error. The first tile's place is half its number of tiles unless given.
     """
     sx, sy = size_x or block, size_y or block
     if mask is None:
         pixels = pixels.join(segmentation(pixels, value=value), ["image_id", "y", "x"], "left")
         mask = F.coalesce("segment", F.lit(False))
-    med = stats.tile_medians(pixels, mask, block, sx, sy, fraction, value)
+    med = stats.tile_medians(pixels, mask, block, sx, sy, fraction, value, partial)
     shape = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         w, h = int(pdf["w"].iloc[0]), int(pdf["h"].iloc[0])
         ox = (w // sx) // 2 if origin_x is None else origin_x
         oy = (h // sy) // 2 if origin_y is None else origin_y
-        if len(pdf) < 16:
+        if len(pdf) < (knots + 3) ** 2:
             return pd.DataFrame({"image_id": pdf["image_id"][:0], "coef": pd.Series([], dtype=object), "sx": pd.Series([], dtype=float), "sy": pd.Series([], dtype=float)})
-        bx, by = _basis((ox + sx * pdf["tx"].to_numpy(float)) / max(w, 1), 1), _basis((oy + sy * pdf["ty"].to_numpy(float)) / max(h, 1), 1)
+        bx, by = _basis((ox + sx * pdf["tx"].to_numpy(float)) / max(w, 1), knots), _basis((oy + sy * pdf["ty"].to_numpy(float)) / max(h, 1), knots)
         a = (by[:, :, None] * bx[:, None, :]).reshape(len(pdf), -1)
         coef = np.linalg.lstsq(a, pdf["med"].to_numpy(float), rcond=None)[0]
         return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "coef": [coef.tolist()], "sx": [float(max(w, 1))], "sy": [float(max(h, 1))]})
@@ -230,8 +231,8 @@ def background(pixels: DataFrame, mask: Column | None = None, block: int = 128,
             for _, at in pdf.groupby("image_id").indices.items():
                 c = pdf["coef"].iloc[at[0]]
                 if c is not None:
-                    bx = _basis(pdf["x"].to_numpy(float)[at] / pdf["sx"].iloc[at[0]], 1)
-                    by = _basis(pdf["y"].to_numpy(float)[at] / pdf["sy"].iloc[at[0]], 1)
+                    bx = _basis(pdf["x"].to_numpy(float)[at] / pdf["sx"].iloc[at[0]], knots)
+                    by = _basis(pdf["y"].to_numpy(float)[at] / pdf["sy"].iloc[at[0]], knots)
                     out[at] = np.einsum("ni,ij,nj->n", by, np.asarray(c, float).reshape(by.shape[1], bx.shape[1]), bx)
             yield pd.DataFrame({"image_id": pdf["image_id"], "y": pdf["y"], "x": pdf["x"], "background": out})
 

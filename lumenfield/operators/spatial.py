@@ -55,11 +55,12 @@ def same_pointing(a: Column, b: Column, min_fraction: float = 0.6) -> Column:
     return polygon.overlap_fraction(a, b) >= min_fraction
 
 
-def search(fps: DataFrame, targets: DataFrame, same: tuple[str, ...] = (), min_fraction: float = 0.6, key: str = "fp_id", cell: float = 0.05) -> DataFrame:
+def search(fps: DataFrame, targets: DataFrame, same: tuple[str, ...] = (), min_fraction: float = 0.6, key: str = "fp_id", cell: float = 0.05, must_find: bool = False) -> DataFrame:
     """Footprints at the pointing of each of ``targets`` (rows with ``key``, vertices, and the attributes in ``same``): the columns of
     ``fps``, target (the target's key) and fraction.
 
-    Boxes meet in grid cells as in ``overlap_pairs``; a footprint that is a target itself is found too.
+    Boxes meet in grid cells as in ``overlap_pairs``; a footprint that is a target itself is found too. With ``must_find``
+    it is an error if nothing is found.
     """
     if min_fraction <= 0:
         raise ValueError("min_fraction must be positive")
@@ -68,7 +69,10 @@ def search(fps: DataFrame, targets: DataFrame, same: tuple[str, ...] = (), min_f
     near = (x <= F.least("bb.x1", "tb.x1")) & (y <= F.least("bb.y1", "tb.y1"))
     home = (F.floor(x / cell) == F.col("gx")) & (F.floor(y / cell) == F.col("gy"))
     hit = gridded(fps, cell).join(t, ["gx", "gy", *same]).where(near & home).withColumn("fraction", polygon.overlap_fraction(F.col("vertices"), F.col("tv")))
-    return hit.where(F.col("fraction") >= min_fraction).select(*fps.columns, "target", "fraction")
+    hit = hit.where(F.col("fraction") >= min_fraction).select(*fps.columns, "target", "fraction")
+    if must_find and hit.isEmpty():
+        raise ValueError("no footprint is at the pointing of any target")
+    return hit
 
 
 def points_in_footprints(points: DataFrame, fps: DataFrame, x: str = "ra", y: str = "dec", cell: float = 0.05) -> DataFrame:

@@ -43,9 +43,14 @@ def divisible(pixels: DataFrame, size_x: int, size_y: int) -> DataFrame:
     return shape.withColumn("width", F.when(bad, F.raise_error(F.lit("image sides are not multiples of the tile"))).otherwise(F.col("width")))
 
 
-def tile_medians(pixels: DataFrame, mask: Column, block: int = 128, size_x: int | None = None, size_y: int | None = None, fraction: float = 0.5, value: str = "sci") -> DataFrame:
-    """(image_id, ty, tx, med) of tiles with at most ``fraction`` of block^2 pixels masked (also where tiles have other sides)."""
+def tile_medians(pixels: DataFrame, mask: Column, block: int = 128, size_x: int | None = None, size_y: int | None = None, fraction: float = 0.5, value: str = "sci", partial: bool = True) -> DataFrame:
+    """(image_id, ty, tx, med) of tiles with at most ``fraction`` of block^2 pixels masked (also where tiles have other sides).
+
+    Without ``partial`` an image whose sides are not multiples of the tile's is an error; with it, tiles at its ends are smaller.
+    """
     sx, sy = size_x or block, size_y or block
+    if not partial:
+        pixels = pixels.join(divisible(pixels, sx, sy).where("width > 0 and height > 0").select("image_id"), "image_id")
     bad = F.coalesce(mask, F.lit(False)) | F.col(value).isNull()
     t = pixels.groupBy("image_id", F.floor(F.col("y") / sy).alias("ty"), F.floor(F.col("x") / sx).alias("tx"))
     t = t.agg(F.count_if(bad).alias("masked"), F.median(F.when(~bad, F.col(value))).alias("med"))

@@ -171,3 +171,76 @@ def test_files_and_stream(spark, tmp_path, image):
     sync()
     sync()
     assert spark.read.parquet(str(tmp_path / "table/v=1")).count() == 3
+
+
+def test_stripe_noise_of_the_whole_image_masks_sources_and_bad_pixels(spark):
+    """The mask is bad pixels or segments of the smoothed image; medians are numpy's."""
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=(32, 32)) * 0.1 + rng.normal(size=32) + rng.normal(size=32)[:, None]
+    a[8:14, 8:14] += 40
+    bad = rng.random(a.shape) < 0.05
+    df = frame(spark, np.where(bad, a + 300, a)).withColumn("dq", F.when(F.col("sci") > 150, 1).otherwise(0))
+    seg = pixels.segmentation(pixels.smooth(df, 1, 1).withColumnRenamed("smooth", "sci"))
+    off = bad | (plane(seg.withColumn("s", F.col("segment").cast("double")), "s", a.shape) == 1)
+    assert off[8:14, 8:14].all() and off.mean() < 0.9
+    left = np.where(off, np.nan, a)
+    left = left - np.nanmedian(left)
+    cols = np.nanmedian(left, axis=0)
+    rows = np.nanmedian(left - cols, axis=1)
+    want = np.nan_to_num(cols)[None, :] + np.nan_to_num(rows)[:, None]
+    got = plane(pixels.stripe_noise_full(df), "noise", a.shape)
+    assert np.allclose(got, want)
+
+
+def test_tiles_that_do_not_fit_are_an_error_on_demand(spark, image):
+    df = frame(spark, image)  # 24 x 30
+    assert stats.tile_medians(df, F.lit(False), 6, partial=False).count() == 20
+    assert stats.tile_medians(df, F.lit(False), 8).count() == 12
+    for work in (stats.tile_medians, pixels.background):
+        with pytest.raises(Exception, match="multiples"):
+            work(df, F.lit(False), 8, partial=False).collect()
+
+
+def test_background_with_more_knots_follows_a_bent_surface(spark):
+    y, x = np.mgrid[0:64, 0:64]
+    a = np.abs(x - 32.0) + 0.1 * y
+    df = frame(spark, a)
+    off = [np.abs(plane(pixels.background(df, F.lit(False), 4, origin_x=1.5, origin_y=1.5, knots=k), "background", a.shape) - a).mean() for k in (1, 4)]
+    assert off[1] < off[0] / 2
+
+
+def test_extraction_for_targets_against_brute_force(spark):
+    """Exposures in a row; the spectrum of a target in its nearest exposure ends in the next one too."""
+    square = lambda c: [(c - 0.5, -0.5), (c + 0.5, -0.5), (c + 0.5, 0.5), (c - 0.5, 0.5)]
+    exposures = spark.createDataFrame([(i, i, "GRISMR", square(0.8 * i)) for i in range(5)] + [(9, 9, "CLEAR", square(0.0))], "ord long, image_id long, pupil string, vertices array<struct<x:double,y:double>>")
+    px = spark.createDataFrame([(i, y, x, float(100 * i + 10 * y + x), 0.5) for i in range(5) for y in range(6) for x in range(4)], "image_id long, y long, x long, sci double, err double")
+    traces = spark.createDataFrame([(i, 7, x, 2.5, 5.0 - 0.1 * x, 0.8 * i + 0.3 * (x - 1.5), 0.0) for i in range(5) for x in range(4)], "image_id long, source_id long, x long, y_trace double, wavelength double, sx double, sy double")
+    targets = spark.createDataFrame([(1, 0.1, 0.1), (2, 1.7, 0.0), (3, 3.3, -0.2)], "id long, ra double, dec double")
+    got = {(r["id"], r["image_id"], r["x"], r["row"]): (r["wave_no"], r["wavelength"], r["flux"]) for r in spectra.extract(exposures, px, traces, targets, 3).collect()}
+    want = {}
+    for t, ra in ((1, 0.1), (2, 1.7), (3, 3.3)):
+        near = min(range(5), key=lambda i: ((0.8 * i - ra) ** 2, i))
+        ends = [0.8 * near + 0.3 * (x - 1.5) for x in (0, 3)]
+        for i in range(5):
+            if any(abs(e - 0.8 * i) < 0.5 for e in ends):
+                for x in range(4):
+                    for row in range(3):
+                        want[t, i, x, row] = (3 - x, pytest.approx(5.0 - 0.1 * x), 100.0 * i + 10 * (1 + row) + x)
+    assert got == want and len({k[:2] for k in want}) > 3
+    with pytest.raises(ValueError, match="GRISMR"):
+        spectra.extract(exposures.where("pupil = 'CLEAR'"), px, traces, targets, 3)
+
+
+def test_associations_list_their_members(spark):
+    import json
+
+    from lumenfield.operators import pointing
+
+    rows = [("g1", f"jw01895002001_0201{i}_00001", "F115W", "NRCALONG", f"b{2 - i}.fits") for i in range(3)] + [("g2", "jw01895002001_02010_00002", "F200W", "NRCB1", "x.fits")]
+    m = spark.createDataFrame(rows, "grp string, fileset string, filter string, detector string, filename string")
+    got = {r["grp"]: json.loads(r["json"]) for r in pointing.associations(m.join(pointing.product_name(m, "grp"), "grp"), "grp").collect()}
+    member = lambda n: {"expname": n, "exptype": "science"}
+    assert got == {
+        "g1": {"products": [{"name": "jw01895002001_02010+02011+02012_F115W_nrca", "members": [member(f"b{i}.fits") for i in range(3)]}]},
+        "g2": {"products": [{"name": "jw01895002001_02010_F200W_nrcb", "members": [member("x.fits")]}]},
+    }
