@@ -162,6 +162,8 @@ def _alike(k: int, threshold: float):
 
 
 SKETCH = 1 << 21
+#: How many elements before its own a row of a text's front carries.
+EARLIER = 8
 
 
 def _elements(text: bytes, k: int, hashes: WordHashes) -> np.ndarray:
@@ -186,7 +188,7 @@ def _frequencies(k: int):
 
 
 def _rare_first(k: int, threshold: float, sketch):
-    schema = pa.schema([("node", pa.binary()), ("component", pa.binary()), ("element", pa.int64()), ("place", pa.int32()), ("size", pa.int32()), *((f"s{i}", pa.int64()) for i in range(4))])
+    schema = pa.schema([("node", pa.binary()), ("component", pa.binary()), ("element", pa.int64()), ("place", pa.int32()), ("size", pa.int32()), ("earlier", pa.list_(pa.int64())), *((f"s{i}", pa.int64()) for i in range(4))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -198,7 +200,9 @@ def _rare_first(k: int, threshold: float, sketch):
                 n = len(e)
                 head = e[: n - int(np.ceil(threshold * n - 1e-9)) + 1].view(np.int64)
                 m = len(head)
-                cols = (pa.array([node.as_py()] * m, pa.binary()), pa.array([comp.as_py()] * m, pa.binary()), pa.array(head), pa.array(np.arange(m, dtype=np.int32)), pa.array(np.full(m, n, np.int32)), *(pa.array(np.full(m, b)) for b in parity))
+                back = np.arange(m)[:, None] - np.arange(EARLIER, 0, -1)
+                earlier = pa.ListArray.from_arrays(np.append(0, np.cumsum((back >= 0).sum(axis=1))).astype(np.int32), head[back[back >= 0]])
+                cols = (pa.array([node.as_py()] * m, pa.binary()), pa.array([comp.as_py()] * m, pa.binary()), pa.array(head), pa.array(np.arange(m, dtype=np.int32)), pa.array(np.full(m, n, np.int32)), earlier, *(pa.array(np.full(m, b)) for b in parity))
                 yield pa.RecordBatch.from_arrays(list(cols), schema=schema)
 
     return run
@@ -211,13 +215,14 @@ def rare_pairs(texts: DataFrame, k: int, threshold: float) -> DataFrame:
     only what comes after it, so it stands near the front of both if they are alike. The order is by
     a sketch of the elements' frequencies (of fixed size, rare ones first): what sets a text apart
     comes first, and texts with too much of it meet nothing. 256 parities of the elements bound, from below and
-    exactly, how many elements only one of the two has; the join drops the pair where that is too many.
+    exactly, how many elements only one of the two has; the join drops the pair where that is too many. A pair need come only once, by
+the first element of both fronts: it is passed over where one of the few elements before is in both.
     """
     counts = np.zeros(SKETCH, np.int64)
     seen = texts.select("text").mapInArrow(_frequencies(k), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SKETCH rows
     counts[seen.column("slot").to_numpy()] = seen.column("n").to_numpy()
     sketch = texts.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32))
-    front = written(texts.select("node", "component", "text").mapInArrow(_rare_first(k, threshold, sketch), "node binary, component binary, element long, place int, size int, s0 long, s1 long, s2 long, s3 long"), "front")
+    front = written(texts.select("node", "component", "text").mapInArrow(_rare_first(k, threshold, sketch), "node binary, component binary, element long, place int, size int, earlier array<long>, s0 long, s1 long, s2 long, s3 long"), "front")
     shared = front.groupBy("element").agg(F.min("component").alias("x"), F.max("component").alias("y")).where(F.col("x") != F.col("y")).select("element")
     front = written(front.join(shared, "element", "left_semi"), "front")
     a, b = front.alias("a"), front.alias("b")
@@ -227,6 +232,7 @@ def rare_pairs(texts: DataFrame, k: int, threshold: float) -> DataFrame:
     # each element that only one of them has flips one bit of the difference of their parities
     apart = sum((F.bit_count(F.col(f"a.s{i}").bitwiseXOR(F.col(f"b.s{i}"))) for i in range(1, 4)), F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))))
     meet = meet & (apart <= (1 - threshold) / (1 + threshold) * (F.col("a.size") + F.col("b.size")) + 1e-6)
+    meet = meet & ~F.arrays_overlap("a.earlier", "b.earlier")
     return a.join(b, meet).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
 
 
