@@ -257,8 +257,16 @@ def classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = 24
         both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb")
         return written(both.mapInArrow(_alike(k, threshold), "a binary, b binary"), "links")
 
-    def pieces(links: DataFrame) -> DataFrame:
-        return written(connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "components")
+    def pieces(links: DataFrame, comp: DataFrame | None = None) -> DataFrame:
+        """Components of ``links`` and of what ``comp`` (node, component) holds together already."""
+        if comp is None:
+            return written(connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "components")
+        named = lambda n, to: comp.select(F.col("node").alias(n), F.col("component").alias(to))
+        edges = links.join(named("a", "src"), "a", "left").join(named("b", "dst"), "b", "left").select(F.coalesce("src", "a").alias("src"), F.coalesce("dst", "b").alias("dst"))
+        more = written(connected_components(edges.where("src <> dst").distinct()), "components")
+        own = comp.join(more.select(F.col("node").alias("component"), F.col("component").alias("_to")), "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+        fresh = more.join(comp.select("node"), "node", "left_anti").select("node", "component")
+        return written(own.unionByName(fresh), "components", spent=[comp, more])
 
     def apart(comp: DataFrame) -> DataFrame:
         """Members of the buckets that hold more than one component."""
@@ -270,18 +278,17 @@ def classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = 24
     first = written(met.where(F.col("least") != F.col("node")).groupBy(F.col("node").alias("b")).agg(F.min("least").alias("a")), "pairs")
     links = linked(first)
     # 2: with the least node of each of its buckets
-    left = apart(pieces(links))
+    comp = pieces(links)
+    left = apart(comp)
     heads = left.select(F.col("node").alias("least"), F.col("component").alias("head")).distinct()
     second = left.join(heads, "least").where(F.col("component") != F.col("head")).select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     second = written(second.join(first, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(linked(second))
+    comp = pieces(linked(second), comp)
     # 3: across the components of a bucket that are still apart
-    left = apart(pieces(links)).select("node", "component").distinct()
+    left = apart(comp).select("node", "component").distinct()
     third = rare_pairs(left.join(texts, "node"), k, threshold)
     third = third.join(first.unionByName(second), ["a", "b"], "left_anti")
-    links = links.unionByName(linked(third))
-    comp = pieces(links)
-    return _with_classes(docs, comp)
+    return _with_classes(docs, pieces(linked(third), comp))
 
 
 def _with_classes(docs: DataFrame, comp: DataFrame) -> DataFrame:
