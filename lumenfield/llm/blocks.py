@@ -7,7 +7,7 @@ of their bucket, where each distinct word of the corpus is looked at once (``by_
 back to the blocks (``assemble``), where the positions put the documents together again.
 
 Give ``by_word`` and ``assemble`` one exchange by block (or a written table), so that texts are split once. No
-row, group or task holds more than one block or one bucket; there are as many buckets as shuffle partitions.
+row, group or task holds more than one block or one bucket; the number of buckets follows the bytes of the texts (``buckets_for``).
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPLIT = T.StructType(
@@ -31,11 +32,12 @@ SPLIT = T.StructType(
         T.StructField("flags", T.ArrayType(T.BooleanType())),
         T.StructField("sizes", T.ArrayType(T.IntegerType())),
         T.StructField("buckets", T.BinaryType()),
+        T.StructField("facts", T.BinaryType()),
         T.StructField("payload", T.BinaryType()),
     ]
 )
 SPLIT_ARROW = pa.schema(
-    [("block", pa.int64()), ("bucket", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("flags", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("buckets", pa.binary()), ("payload", pa.binary())]
+    [("block", pa.int64()), ("bucket", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("flags", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("buckets", pa.binary()), ("facts", pa.binary()), ("payload", pa.binary())]
 )
 BACK = T.StructType([T.StructField("block", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("payload", T.BinaryType())])
 BACK_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())])
@@ -89,27 +91,34 @@ class _Numbers(dict):
         return n
 
 
-def split(docs: DataFrame, tokenizer: Callable[[], Callable[[str], list]], buckets: int, block_bytes: int = 8 << 20, counted: bool = False) -> DataFrame:
-    """Rows of a block's word numbers (bucket -1) and of its distinct words (payload: words, and with
-    ``counted`` how often documents with a true flag hold them). ``docs``: doc_id, flag, text."""
+def buckets_for(docs: DataFrame, bucket_bytes: int = 16 << 20) -> int:
+    """As many buckets as give each the words of about ``bucket_bytes`` of text, but no fewer than shuffle partitions."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
+
+
+def split(docs: DataFrame, tokenizer: Callable[[], Callable[[str], list]], buckets: int, block_bytes: int = 8 << 20, counted: bool = False, facts: Callable[[list[bytes]], bytes] | None = None) -> DataFrame:
+    """Rows of a block's word numbers (bucket -1; ``facts``: what it says of the block's words) and of its distinct words (payload: words,
+    and with ``counted`` how often documents with a true flag hold them). ``docs``: doc_id, flag, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, pid, made = tokenizer(), TaskContext.get().partitionId(), 0
-        numbers, codes, ids, flags, size = _Numbers(), [], [], [], 0
+        texts, ids, flags, size = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal made, numbers, codes, ids, flags, size
-            flat = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
-            often = np.bincount(flat, minlength=len(numbers))
+            nonlocal made, texts, ids, flags, size
+            sizes = [len(t) for t in texts]
+            numbered = pa.concat_arrays(texts).dictionary_encode()
+            flat, distinct = numbered.indices.to_numpy(), numbered.dictionary
+            often = np.bincount(flat, minlength=len(distinct))
             by_rank = np.argsort(-often, kind="stable")
-            rank = np.empty(len(numbers), np.uint32)
-            rank[by_rank] = np.arange(len(numbers), dtype=np.uint32)
-            words = list(numbers)
-            words = [w if isinstance(w, bytes) else w.encode() for w in map(words.__getitem__, by_rank.tolist())]
+            rank = np.empty(len(distinct), np.uint32)
+            rank[by_rank] = np.arange(len(distinct), dtype=np.uint32)
+            words = distinct.take(pa.array(by_rank)).to_pylist()
             held = np.fromiter((zlib.crc32(w) % buckets for w in words), np.uint32, len(words))
             seen = None
             if counted:
-                there = np.repeat(np.array(flags, bool), [len(c) for c in codes])
+                there = np.repeat(np.array(flags, bool), sizes)
                 seen = np.bincount(rank[flat[there]], minlength=len(words))
             order = np.argsort(held, kind="stable")
             found, first = np.unique(held[order], return_index=True)
@@ -120,12 +129,12 @@ def split(docs: DataFrame, tokenizer: Callable[[], Callable[[str], list]], bucke
                 for n in rows:
                     rows[n].append(x.get(n))
 
-            row(block=block, bucket=-1, doc_ids=ids, flags=flags, sizes=[len(c) for c in codes], buckets=put_numbers(held), payload=put_numbers(rank[flat]))
+            row(block=block, bucket=-1, doc_ids=ids, flags=flags, sizes=sizes, buckets=put_numbers(held), facts=facts and facts(words), payload=put_numbers(rank[flat]))
             for b, at in zip(found.tolist(), np.split(order, first[1:])):
                 part = put_words([words[k] for k in at.tolist()])
                 row(block=block, bucket=b, payload=put_parts(part, put_numbers(seen[at])) if counted else put_parts(part))
             made += 1
-            numbers, codes, ids, flags, size = _Numbers(), [], [], [], 0
+            texts, ids, flags, size = [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in SPLIT_ARROW], schema=SPLIT_ARROW)
 
         for batch in batches:
@@ -133,8 +142,7 @@ def split(docs: DataFrame, tokenizer: Callable[[], Callable[[str], list]], bucke
                 text = text.as_py() or ""
                 if ids and size + len(text) > block_bytes:
                     yield flush()
-                found = tokens(text)
-                codes.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
+                texts.append(pa.array(tokens(text), pa.binary()))
                 ids.append(doc_id)
                 flags.append(bool(flag))
                 size += len(text)
@@ -144,8 +152,9 @@ def split(docs: DataFrame, tokenizer: Callable[[], Callable[[str], list]], bucke
     return docs.select(docs["doc_id"].cast("long"), "flag", "text").mapInArrow(run, SPLIT)
 
 
-def by_word(parts: DataFrame, work: Callable[[list[list[bytes]], list[list[np.ndarray]]], Iterable[bytes]]) -> DataFrame:
-    """``work(words, extras)`` gets all word lists of a bucket and yields a payload for each list."""
+def by_word(parts: DataFrame, work: Callable[[list[list[bytes]], list[list[np.ndarray]]], Iterable[bytes]], total: bool = False) -> DataFrame:
+    """``work(words, extras)`` gets all word lists of a bucket and yields a payload for each list, and with ``total`` one more for the
+    bucket itself (block -1)."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,7 +168,10 @@ def by_word(parts: DataFrame, work: Callable[[list[list[bytes]], list[list[np.nd
             lists.append(get_words(words))
             extras.append([get_numbers(e) for e in extra])
         out = list(work(lists, extras))
-        return pa.table([table.column("block"), table.column("bucket"), pa.array(out, pa.binary())], schema=BACK_ARROW)
+        block, held = table.column("block").to_pylist(), table.column("bucket").to_pylist()
+        if total:
+            block, held = [*block, -1], [*held, held[0]]
+        return pa.table([pa.array(block, pa.int64()), pa.array(held, pa.int32()), pa.array(out, pa.binary())], schema=BACK_ARROW)
 
     return parts.mapInArrow(pick, BACK).groupBy("bucket").applyInArrow(bucket, BACK)
 
@@ -175,6 +187,7 @@ class Block:
         self.doc_ids, self.flags, self.sizes = docs["doc_ids"], docs["flags"], np.array(docs["sizes"], np.int64)
         self.ends = np.cumsum(self.sizes)
         self.codes = get_numbers(docs["payload"])
+        self.facts = docs["facts"]
         order = np.argsort(held, kind="stable")
         self.place = np.empty(len(order), np.int64)
         self.place[order] = np.arange(len(order))

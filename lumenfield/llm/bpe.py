@@ -2,8 +2,9 @@
 
 Encoding: texts are split by the vocabulary's pattern; each block's distinct pre-tokens are shuffled by word,
 each distinct word of the corpus is encoded once, its ids are joined back to the blocks, and the blocks put
-their documents together by position (see ``blocks``). Decoding joins the ids with the token-byte table, whose
-size is that of the vocabulary.
+their documents together by position (see ``blocks``). Decoding takes the ids apart, with their positions, and joins them with the
+token-byte table, which is broadcast, as its size is that of the vocabulary; a document's rows stay together and in order,
+so that its bytes are joined up without a shuffle.
 
 Defined results: a null text is an empty one (no ids); repeated rows are encoded each; an empty table gives an
 empty result; strings of special tokens are ordinary text; words of any length are merged in n log n.
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blocks, tokens
+from .common import unused
 
 LONG = 256
 NONE = np.int64(1) << 40
@@ -134,7 +136,7 @@ def _pretokens():
 
 
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit), one row for each row of ``docs`` (doc_id, text)."""
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and tokens (the same as an array), one row for each row of ``docs`` (doc_id, text)."""
 
     def once(lists: list[list[bytes]], _: list) -> Iterator[bytes]:
         number = blocks._Numbers()
@@ -151,17 +153,19 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
         ids = np.concatenate([g[1] for g in got]) if got else np.zeros(0, np.uint32)
         starts = (np.cumsum(sizes) - sizes)[b.place]
         sizes = sizes[b.place]
-        out, counts = [], []
+        out, counts, flat = [], [], []
         for end, n in zip(b.ends.tolist(), b.sizes.tolist()):
             c = b.codes[end - n : end]
             doc = ids[ragged(starts[c], sizes[c])]
             counts.append(len(doc))
+            flat.append(doc)
             out.append(doc.astype("<u4").tobytes())
-        return pa.table({"doc_id": pa.array(b.doc_ids, pa.int64()), "n_tokens": pa.array(counts, pa.int64()), "ids": pa.array(out, pa.binary())})
+        tokens_ = pa.ListArray.from_arrays(np.append(0, np.cumsum(counts)).astype(np.int32), pa.array(np.concatenate(flat).astype(np.int32)))
+        return pa.table({"doc_id": pa.array(b.doc_ids, pa.int64()), "n_tokens": pa.array(counts, pa.int64()), "ids": pa.array(out, pa.binary()), "tokens": tokens_})
 
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = blocks.buckets_for(docs)
     parts = blocks.split(docs.select("doc_id", F.lit(True).alias("flag"), "text"), _pretokens, buckets).repartition("block")
-    return blocks.assemble(parts, blocks.by_word(parts, once), join, "doc_id long, n_tokens long, ids binary")
+    return blocks.assemble(parts, blocks.by_word(parts, once), join, "doc_id long, n_tokens long, ids binary, tokens array<int>")
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -171,15 +175,41 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
-    """``encoded`` with the column decoded: the bytes of its ids."""
+    """``encoded`` with the column decoded, the bytes of its tokens, in place of the array tokens."""
+    rest = [f for f in encoded.schema.fields if f.name != "tokens"]
+    pos, token, part = unused(encoded, "_pos", "_token", "_bytes")
+    table = encoded.sparkSession.createDataFrame([(i, bytearray(b)) for b, i in tokens.ranks(vocabulary).items()], f"{token} int, {part} binary")
+    apart = encoded.select(*[f.name for f in rest], F.posexplode_outer("tokens").alias(pos, token))
+    apart = apart.join(F.broadcast(table), token, "left")  # as many rows as the vocabulary has tokens
+    first = F.coalesce(F.col(pos), F.lit(0)) == 0
+    apart = apart.select(*[F.when(first, F.col(f.name)).alias(f.name) for f in rest], F.coalesce(F.col(pos), F.lit(0)).alias(pos), part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = tokens.ranks(vocabulary)
-        table = [b""] * (max(ranks.values()) + 1)
-        for token, i in ranks.items():
-            table[i] = token
-        for batch in batches:
-            text = [None if x is None else b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in (v.as_py() for v in batch.column("ids"))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.binary())], names=[*batch.schema.names, "decoded"])
+        row, data, seen = None, [], 0
+
+        def whole(rows: list[pa.RecordBatch], texts: list[bytes]) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(rows).combine_chunks()
+            return pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in rows.columns), pa.array(texts, pa.binary())], names=[*(f.name for f in rest), "decoded"])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
+        for batch in batches:
+            at, part = batch.column(len(rest)).to_numpy(), batch.column(len(rest) + 1)
+            starts = np.flatnonzero(at == 0)
+            if (at != np.arange(len(at)) - np.repeat(np.append(-seen, starts), np.diff(np.append(np.append(0, starts), len(at))))).any():
+                raise RuntimeError("a document's tokens have come apart")
+            ends = np.frombuffer(part.buffers()[1], np.int32)[part.offset : part.offset + len(part) + 1]
+            raw = memoryview(part.buffers()[2] or b"")
+            rows, texts = [], []
+            for a, b in zip([0, *starts.tolist()], [*starts.tolist(), len(at)]):
+                if at[a : a + 1] == 0 and a < b:
+                    if row is not None:
+                        rows.append(row)
+                        texts.append(b"".join(data))
+                    row, data = batch.slice(a, 1).select(range(len(rest))), []
+                data.append(bytes(raw[ends[a] : ends[b]]))
+            seen = int(at[-1]) + 1 if len(at) else seen
+            if rows:
+                yield whole(rows, texts)
+        if row is not None:
+            yield whole([row], [b"".join(data)])
+
+    return apart.mapInArrow(run, T.StructType([*rest, T.StructField("decoded", T.BinaryType())]))
