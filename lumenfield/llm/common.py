@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import scratch_dir, written  # noqa: F401
+from ..scratch import discard, scratch_dir, written  # noqa: F401
 
 #: ASCII white space, the separators of words and what is stripped from lines.
 SPACE = " \t\n\x0b\x0c\r"

@@ -22,15 +22,16 @@ empty table gives an empty result. With 24 bands of 5 a pair at 0.8 is missed wi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..operators.graph import connected_components
-from .common import unused, written
+from .common import unused
 
 U = np.uint64
 _K1, _K2, _K3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -208,7 +209,7 @@ def _rare_first(k: int, threshold: float, sketch):
     return run
 
 
-def rare_pairs(texts: DataFrame, k: int, threshold: float) -> DataFrame:
+def rare_pairs(texts: DataFrame, k: int, threshold: float, written: Callable[[DataFrame, str], DataFrame] = scratch.written) -> DataFrame:
     """Pairs (a, b) of texts (node, component, text) of different components that can reach the threshold.
 
     Exact prefix filter: in an order that all texts share, the first element that two texts have in common leaves each
@@ -243,6 +244,12 @@ def node_of(text: Column) -> Column:
 
 def classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 5) -> DataFrame:
     """``docs`` with class_id and kept (whether the document is its class's least)."""
+    made: list[DataFrame] = []
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        made.append(scratch.written(df, name))
+        return made[-1]
+
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     signed = docs.select(node_of(F.col("text")).alias("node"), text.alias("text")).mapInArrow(_signed(k, bands, rows), "node binary, keys array<long>")
     keyed = written(signed.dropDuplicates(["node"]), "keys").select("node", F.explode("keys").alias("key"))
@@ -266,7 +273,7 @@ def classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = 24
         more = written(connected_components(edges.where("src <> dst").distinct()), "components")
         own = comp.join(more.select(F.col("node").alias("component"), F.col("component").alias("_to")), "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
         fresh = more.join(comp.select("node"), "node", "left_anti").select("node", "component")
-        return written(own.unionByName(fresh), "components", spent=[comp, more])
+        return written(own.unionByName(fresh), "components")
 
     def apart(comp: DataFrame) -> DataFrame:
         """Members of the buckets that hold more than one component."""
@@ -280,24 +287,30 @@ def classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = 24
     # 2: with the least node of each of its buckets
     comp = pieces(links)
     left = apart(comp)
-    heads = left.select(F.col("node").alias("least"), F.col("component").alias("head")).distinct()
+    heads = written(left.select(F.col("node").alias("least"), F.col("component").alias("head")).distinct(), "heads")
     second = left.join(heads, "least").where(F.col("component") != F.col("head")).select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     second = written(second.join(first, ["a", "b"], "left_anti"), "pairs")
     comp = pieces(linked(second), comp)
     # 3: across the components of a bucket that are still apart
     left = apart(comp).select("node", "component").distinct()
-    third = rare_pairs(left.join(texts, "node"), k, threshold)
+    third = rare_pairs(left.join(texts, "node"), k, threshold, written)
     third = third.join(first.unionByName(second), ["a", "b"], "left_anti")
-    return _with_classes(docs, pieces(linked(third), comp))
+    named = _named(docs, pieces(linked(third), comp))
+    scratch.discard(*made)
+    return _with_classes(docs, named)
 
 
-def _with_classes(docs: DataFrame, comp: DataFrame) -> DataFrame:
-    key, = unused(docs, "_node")
-    docs = docs.drop("class_id", "kept")
+def _named(docs: DataFrame, comp: DataFrame) -> DataFrame:
+    """(node, class_id) of the texts that others equal or resemble."""
     least = docs.groupBy(node_of(F.col("text")).alias("node")).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).join(comp, "node", "left")
-    least = written(least.where((F.col("n") > 1) | F.col("component").isNotNull()), "least")
+    least = scratch.written(least.where((F.col("n") > 1) | F.col("component").isNotNull()), "least")
     group = F.coalesce("component", "node")
     whole = least.groupBy(group.alias("component")).agg(F.min("least").alias("class_id"))
-    named = written(least.select("node", group.alias("component")).join(whole, "component").select(F.col("node").alias(key), "class_id"), "classes")
-    out = docs.withColumn(key, node_of(F.col("text"))).join(named, key, "left").drop(key)
+    return scratch.written(least.select("node", group.alias("component")).join(whole, "component").select("node", "class_id"), "classes", spent=[least])
+
+
+def _with_classes(docs: DataFrame, named: DataFrame) -> DataFrame:
+    key, = unused(docs, "_node")
+    docs = docs.drop("class_id", "kept")
+    out = docs.withColumn(key, node_of(F.col("text"))).join(named.withColumnRenamed("node", key), key, "left").drop(key)
     return out.withColumn("class_id", F.coalesce("class_id", "doc_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
