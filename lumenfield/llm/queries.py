@@ -38,8 +38,9 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    out = suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"), passage_words=suffix_dedup.PASSAGE_WORDS)
+    passages = F.size("passages").cast("long").alias("n_passages")  # what 400 bytes leave: repeated passages of over 50 words
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), passages)
 
 
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
