@@ -73,3 +73,23 @@ def test_pair_probabilities_sum_to_one_and_follow_the_counts():
     p = language_model.pair_probabilities(np.array([7, 7, 7, 7, 9, 9]), np.array([0, 50, 0, 1, 0, 0.0]), base, 100)
     assert np.allclose([p[:4].sum(), p[4:].sum()], 1) and np.allclose(p[4:], 0.5)
     assert p[1] > 0.85 and abs(p[0] / p[2] - 1 / 3) < 1e-9
+
+
+def test_summary_and_scores_do_not_depend_on_the_number_of_buckets(spark):
+    import random
+
+    rng = random.Random(2)
+    words = [f"w{int(rng.paretovariate(0.7)) % 900}" for _ in range(6000)]
+    df = spark.createDataFrame([(i, " ".join(words[20 * i : 20 * i + 20])) for i in range(300)], "doc_id long, text string")
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (3, 37):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            got.append({r["doc_id"]: (r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in language_model.score(df, head=63, tails=16).collect()})
+            totals = spark.createDataFrame([(language_model.blocks.put_parts(language_model.blocks.put_words([w.encode() for w in sorted(set(words)) if hash(w) % n == b]), *map(language_model.blocks.put_numbers, language_model._halves(np.array([words.count(w) for w in sorted(set(words)) if hash(w) % n == b])))),) for b in range(n)], "payload binary")
+            often, per_tail, kinds = language_model.summary(totals, 63, 16)
+            want = sorted(Counter(words).items(), key=lambda x: (-x[1], x[0].encode()))[:63]
+            assert often == [(w.encode(), c) for w, c in want] and per_tail.sum() == len(words) and kinds.sum() == len(set(words))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0].keys() == got[1].keys() and all(np.allclose(got[0][d], got[1][d], rtol=1e-3) for d in got[0])
