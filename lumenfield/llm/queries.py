@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, html_extract, language_model, line_dedup, near_dup, packing, quality_classifier, quality_rules, suffix_dedup
+from . import bpe, embedding_dedup, exact_dedup, html_extract, language_model, line_dedup, near_dup, packing, quality_classifier, quality_rules, suffix_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -65,8 +65,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_minhash_near_dedup, op4_best_fit_packing, op5_suffix_array_dedup, op6_language_model, op7_quality_classifier, op8_embedding_near_dedup, op9_html_extraction, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_minhash_near_dedup, op4_best_fit_packing, op5_suffix_array_dedup, op6_language_model, op7_quality_classifier, op8_embedding_near_dedup, op9_html_extraction, op10_line_dedup, op13_exact_dedup)}
 
 
 _OP1 = r"""
@@ -122,5 +126,12 @@ from embeddings v join m on v.vec_id = m.node left join (select src, count(*) as
 """
 
 
+_OP13 = r"""
+with d as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents)
+select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = min(doc_id) over w as kept, text_sha256
+from d window w as (partition by text_sha256)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _OP1, "op8_embedding_near_dedup": _OP8, "op10_line_dedup": _OP10}
+    return {"op1_quality_rules": _OP1, "op8_embedding_near_dedup": _OP8, "op10_line_dedup": _OP10, "op13_exact_dedup": _OP13}
