@@ -242,7 +242,8 @@ def dedup(docs: DataFrame, carry: list[str] | None = None, batches: int = 4, sha
         if hi is not None:
             part = part.where(F.col("ord") <= hi)
         index.insert(part)
-    found = index.entries().select("digest", F.col("first.rid").alias("_first"), F.col("first.ord").alias("_keep"), F.col("n").alias("group_size"))
+    found = written(index.entries(), "entries")  # a table, so that Spark can split the join with it
+    found = found.select("digest", F.col("first.rid").alias("_first"), F.col("first.ord").alias("_keep"), F.col("n").alias("group_size"))
     out = rows.join(found, F.col(digest) == F.col("digest"))
     return out.select(
         *(F.col(n).alias(c) for c, n in names.items()),
