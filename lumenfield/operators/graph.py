@@ -34,3 +34,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         raise RuntimeError(f"components are unfinished after {max_rounds} rounds")
     stars = e.groupBy("src").agg(F.min("dst").alias("component")).select(F.col("src").alias("node"), "component")
     return stars.unionByName(e.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct().join(stars.select("node"), "node", "left_anti"))
+
+
+def extended_components(forest: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+    """``forest`` (node, component) with new ``edges``: what ``connected_components`` gives for all edges so far.
+
+    An edge between components is one between their smallest nodes, so only the new edges, at most, take part in the rounds; the
+    stored rows are read once, to look up the ends and to move the components that joined. Null ends and loops are left out.
+    """
+    e = edges.select("src", "dst").where(F.col("src") != F.col("dst"))
+    e = written(e.distinct(), "new_edges")
+    root = lambda side: forest.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
+    known = e.join(root("src"), "src", "left").join(root("dst"), "dst", "left")
+    short = written(known.select(F.coalesce("_src", "src").alias("src"), F.coalesce("_dst", "dst").alias("dst")), "short_edges")
+    moved = connected_components(short, max_rounds).select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    fresh = e.select("src").union(e.select("dst")).distinct().toDF("node").join(forest.select("node"), "node", "left_anti")
+    nodes = forest.select("node", "component").unionByName(fresh.withColumn("component", F.col("node")))
+    return nodes.join(moved, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))

@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import written
-from . import stats
+from . import stats, surface, tiles
 from .graph import connected_components
 
 
@@ -21,97 +22,94 @@ def gaussian_kernel(radius: int, sigma: float) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-def _mirror(i: Column, n: Column) -> Column:
-    """Index reflected at the border without repeating the edge."""
-    last = n - 1
-    period = F.greatest(2 * last, F.lit(1))
-    m = F.pmod(i, period)
-    return F.when(last == 0, F.lit(0)).otherwise(F.when(m > last, period - m).otherwise(m))
-
-
 def data_box(pixels: DataFrame, value: str = "sci") -> DataFrame:
     """(image_id, x0, x1, y0, y1) of the pixels that are not missing."""
     return pixels.where(F.col(value).isNotNull()).groupBy("image_id").agg(*[f(c).alias(n) for c in "xy" for f, n in ((F.min, f"{c}0"), (F.max, f"{c}1"))])
 
 
-def _convolve(rows: DataFrame, weights: list[float], axis: str, extent: str) -> DataFrame:
-    """One pass over an axis: a line of an image is an array, and each output is a dot product of its neighbours.
-
-    ``rows``: image_id, the other axis, ``axis`` from 0, num, den, extent. Lines have one image's width or height.
-    """
-    other = "y" if axis == "x" else "x"
-    line = rows.groupBy("image_id", other, extent).agg(F.sort_array(F.collect_list(F.struct(axis, "num", "den"))).alias("line"))
-    radius = len(weights) // 2
-    w = F.array(*[F.lit(x) for x in weights])
-    n = F.col(extent)
-
-    def blurred(i: Column) -> Column:
-        def add(acc: Column, k: Column) -> Column:
-            at = F.get("line", _mirror(i + k - radius, n).cast("int"))
-            f = F.get(w, k)
-            return F.struct((acc["num"] + f * at["num"]).alias("num"), (acc["den"] + f * at["den"]).alias("den"))
-
-        zero = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"))
-        return F.struct(i.alias(axis), F.aggregate(F.sequence(F.lit(0), F.lit(2 * radius)), zero, add).alias("s"))
-
-    out = line.select("image_id", other, F.explode(F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), blurred)).alias("p"))
-    return out.select("image_id", other, F.col(f"p.{axis}").cast("long").alias(axis), F.col("p.s.num").alias("num"), F.col("p.s.den").alias("den"))
-
-
-def smooth(pixels: DataFrame, radius_x: int = 15, radius_y: int | None = None, sigma_x: float | None = None, sigma_y: float | None = None, value: str = "sci", invalid: Column | None = None, fill: str = "nan") -> DataFrame:
+def smooth(pixels: DataFrame, radius_x: int = 15, radius_y: int | None = None, sigma_x: float | None = None, sigma_y: float | None = None, value: str = "sci", invalid: Column | None = None, fill: str = "nan", side: int = tiles.SIDE) -> DataFrame:
     """(image_id, y, x, smooth): normalised Gaussian convolution inside the box of the data, every pixel replaced.
 
     Missing pixels have no weight; where no weight reaches, the image's median stands. Both axes blur with the
     x width unless ``sigma_y`` is given. ``invalid`` may only mark missing pixels. ``fill`` says what stands outside the box: nan
     (missing), zero, mean or median; nearest changes nothing.
+
+    Work is by tiles of ``side`` pixels, each with a margin of the radius from its neighbours, in one shuffle; borders of the box are
+    mirrored without repeating the edge.
     """
     radius_y = radius_x if radius_y is None else radius_y
     sigma_x = radius_x / 2 if sigma_x is None else sigma_x
     sigma_y = sigma_x if sigma_y is None else sigma_y
-    v = F.col(value)
+    side = max(side, radius_x, radius_y)
+    v = F.col(value).cast("double")
     if invalid is not None:
         v = F.when(invalid & v.isNotNull(), F.raise_error(F.lit("the mask covers pixels that have data")).cast("double")).otherwise(v)
     src = pixels.select("image_id", "y", "x", v.alias("v"))
-    stat = src.groupBy("image_id").agg(F.median("v").alias("median"), F.avg("v").alias("mean"))
-    box = data_box(src, "v").join(stat, "image_id")
-    inner = src.join(box.select("image_id", "x0", "x1", "y0", "y1"), "image_id").where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
-    w, h = (F.col("x1") - F.col("x0") + 1).alias("w"), (F.col("y1") - F.col("y0") + 1).alias("h")
-    rows = inner.select("image_id", (F.col("y") - F.col("y0")).alias("y"), (F.col("x") - F.col("x0")).alias("x"), F.coalesce("v", F.lit(0.0)).alias("num"), F.col("v").isNotNull().cast("double").alias("den"), w, h)
-    rows = _complete(rows)
-    sides = box.select("image_id", w, h)
-    one = _convolve(rows, gaussian_kernel(radius_x, sigma_x), "x", "w").join(sides, "image_id").drop("w")
-    two = _convolve(one, gaussian_kernel(radius_y, sigma_y), "y", "h").join(box, "image_id")
-    value_ = F.when(F.col("den") > 1e-12, F.col("num") / F.col("den")).otherwise(F.col("median"))
-    out = two.select("image_id", (F.col("y") + F.col("y0")).alias("y"), (F.col("x") + F.col("x0")).alias("x"), value_.alias("smooth"))
-    outside = {"zero": F.lit(0.0), "mean": F.col("mean"), "median": F.col("median")}.get(fill)
-    all_ = src.select("image_id", "y", "x").join(out, ["image_id", "y", "x"], "left")
-    if outside is None:
-        return all_
-    return all_.join(stat, "image_id").select("image_id", "y", "x", F.coalesce("smooth", outside).alias("smooth"))
-
-
-def _complete(rows: DataFrame) -> DataFrame:
-    """Every place of each image's box, absent pixels with no weight."""
-    grid = rows.select("image_id", "w", "h").distinct().withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("h") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("w") - 1)))
-    return grid.join(rows.drop("w", "h"), ["image_id", "y", "x"], "left").fillna({"num": 0.0, "den": 0.0})
-
-
-def segments(bright: DataFrame, min_pixels: int = 10) -> DataFrame:
+    stat = src.groupBy("image_id").agg(F.avg("v").alias("mean")).join(stats.quantiles(src, ("image_id",), "v", {"median": 0.5}), "image_id", "left")
+    box = stat.join(data_box(src, "v"), "image_id", "left")
+    outside = {"zero": F.lit(0.0), "mean": F.col("mean"), "median": F.col("median")}.get(fill, F.lit(None).cast("double"))
+    rows = tiles.dealt(src.join(box.withColumn("out", outside).drop("mean"), "image_id"), radius_x, radius_y, side)
+    wx, wy = np.array(gaussian_kernel(radius_x, sigma_x)), np.array(gaussian_kernel(radius_y, sigma_y))
+
+    def tile(key: tuple, t: pa.Table) -> pa.Table:
+        column = lambda c: t.column(c).to_numpy()
+        y, x, own_y, own_x = column("y"), column("x"), key[1].as_py() * side, key[2].as_py() * side
+        own = (y >= own_y) & (y < own_y + side) & (x >= own_x) & (x < own_x + side)
+        out = np.full(len(y), np.nan if t.column("out")[0].as_py() is None else t.column("out")[0].as_py())
+        if t.column("x0")[0].is_valid:
+            x0, x1, y0, y1 = (t.column(c)[0].as_py() for c in ("x0", "x1", "y0", "y1"))
+            inside = (x >= x0) & (x <= x1) & (y >= y0) & (y <= y1)
+            first_y, first_x = max(y0, own_y), max(x0, own_x)
+            last_y, last_x = min(y1, own_y + side - 1), min(x1, own_x + side - 1)
+            mine = own & inside
+            if mine.any():
+                oy, ox = max(y0, own_y - radius_y), max(x0, own_x - radius_x)
+                num = np.zeros((min(y1, own_y + side - 1 + radius_y) - oy + 1, min(x1, own_x + side - 1 + radius_x) - ox + 1))
+                den = num.copy()
+                value = column("v")
+                some = inside & ~np.isnan(value)
+                num[y[some] - oy, x[some] - ox] = value[some]
+                den[y[some] - oy, x[some] - ox] = 1
+                rows = tiles.mirrored(np.arange(first_y - radius_y, last_y + radius_y + 1) - y0, y1 - y0 + 1) + y0 - oy
+                cols = tiles.mirrored(np.arange(first_x - radius_x, last_x + radius_x + 1) - x0, x1 - x0 + 1) + x0 - ox
+                num, den = (tiles.blurred(a, wx, rows, cols, wy) for a in (num, den))
+                made = np.where(den > 1e-12, num / np.maximum(den, 1e-300), t.column("median")[0].as_py())
+                out[mine] = made[y[mine] - first_y, x[mine] - first_x]
+        image, out = t.column("image_id").filter(pa.array(own)), out[own]
+        return pa.table({"image_id": image, "y": y[own], "x": x[own], "smooth": pa.array(out, mask=np.isnan(out))})
+
+    kind = src.schema["image_id"].dataType.simpleString()
+    rows = rows.withColumns({c: F.col(c).cast("long") for c in ("y", "x", "x0", "x1", "y0", "y1")})
+    return rows.groupBy("image_id", "ty", "tx").applyInArrow(tile, f"image_id {kind}, y long, x long, smooth double")
+
+
+def segments(bright: DataFrame, min_pixels: int = 10, side: int = tiles.SIDE) -> DataFrame:
     """Pixels (image_id, y, x) of 8-connected regions of at least ``min_pixels``.
 
-    Rows are cut into runs; runs of neighbouring rows that touch are edges, and components are of runs, not pixels.
+    Regions are labelled inside tiles; touching pixels on the two sides of a tile's border are the edges, and components are of
+    labels that reach a border, not of pixels.
     """
-    w = Window.partitionBy("image_id", "y").orderBy("x")
-    runs = bright.select("image_id", "y", "x").withColumn("g", F.col("x") - F.row_number().over(w))
-    runs = runs.groupBy("image_id", "y", "g").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
-    runs = written(runs.select("image_id", "y", "x0", "x1", F.concat_ws("/", F.col("image_id").cast("string"), F.lpad(F.col("y").cast("string"), 9, "0"), F.lpad(F.col("x0").cast("string"), 9, "0")).alias("run")), "runs")
-    a, b = runs.alias("a"), runs.alias("b")
-    touch = (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.y") + 1 == F.col("b.y")) & (F.col("a.x0") <= F.col("b.x1") + 1) & (F.col("b.x0") <= F.col("a.x1") + 1)
-    comp = connected_components(a.join(b, touch).select(F.col("a.run").alias("src"), F.col("b.run").alias("dst")))
-    own = runs.join(comp.withColumnRenamed("node", "run"), "run", "left").withColumn("component", F.coalesce("component", "run"))
-    size = own.groupBy("component").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("n")).where(F.col("n") >= min_pixels)
-    kept = own.join(size, "component", "left_semi")
-    return kept.select("image_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
+
+    def tile(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("y", "ascending"), ("x", "ascending")])
+        y, x = (t.column(c).to_numpy() for c in ("y", "x"))
+        root = tiles.labelled(y, x)
+        return t.append_column("ly", pa.array(y[root])).append_column("lx", pa.array(x[root]))
+
+    kind = bright.schema["image_id"].dataType.simpleString()
+    spots = bright.select("image_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
+    own = tiles.dealt(spots, side=side).groupBy("image_id", "ty", "tx").applyInArrow(tile, f"image_id {kind}, y long, x long, ty long, tx long, ly long, lx long")
+    place = [F.lpad(F.col(c).cast("string"), 12, "0") for c in ("ly", "lx")]
+    own = written(own.select("image_id", "y", "x", F.concat_ws("/", F.col("image_id").cast("string"), *place).alias("label")), "labels")
+    last = lambda c: F.pmod(F.col(c), F.lit(side)).isin(0, side - 1)
+    border = own.where(last("y") | last("x"))
+    beyond = border.select("image_id", F.col("label").alias("src"), F.explode(tiles.neighbours(side)).alias("p")).select("image_id", "src", "p.y", "p.x")
+    edges = beyond.join(border.withColumnRenamed("label", "dst"), ["image_id", "y", "x"]).select("src", "dst").distinct()
+    comp = connected_components(edges).withColumnRenamed("node", "label")
+    sizes = own.groupBy("label").agg(F.count(F.lit(1)).alias("n")).join(comp, "label", "left").withColumn("component", F.coalesce("component", "label"))
+    large = sizes.groupBy("component").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pixels)
+    kept = sizes.join(large.select("component"), "component", "left_semi").select("label")
+    return own.join(kept, "label", "left_semi").select("image_id", "y", "x")
 
 
 def segmentation(pixels: DataFrame, factor: float = 2.0, min_pixels: int = 10, radius: int = 4, sigma: float | None = None, value: str = "sci") -> DataFrame:
@@ -185,24 +183,14 @@ def mask_plane(pixels: DataFrame, mask: Column, value: str = "sci") -> DataFrame
     return pixels.join(p, "image_id").withColumn("shown", F.when(mask, F.col("p_high")).otherwise(F.col("p_low"))).drop("p_low", "p_high")
 
 
-def _basis(t: np.ndarray, knots: int) -> np.ndarray:
-    """Cubic B-spline basis on [0, 1] with equal knots, one column per function."""
-    k = np.concatenate([[0.0] * 3, np.linspace(0, 1, knots + 1), [1.0] * 3])
-    t = np.clip(t, 0, 1 - 1e-12)
-    b = np.array([(k[i] <= t) & (t < k[i + 1]) for i in range(len(k) - 1)], float).T
-    for d in (1, 2, 3):
-        left = [(t - k[i]) / (k[i + d] - k[i]) * b[:, i] if k[i + d] > k[i] else 0 * t for i in range(b.shape[1] - 1)]
-        right = [(k[i + d + 1] - t) / (k[i + d + 1] - k[i + 1]) * b[:, i + 1] if k[i + d + 1] > k[i + 1] else 0 * t for i in range(b.shape[1] - 1)]
-        b = np.array(left).T + np.array(right).T
-    return b
-
-
-def background(pixels: DataFrame, mask: Column | None = None, block: int = 128, size_x: int | None = None, size_y: int | None = None, fraction: float = 0.5, value: str = "sci", origin_x: float | None = None, origin_y: float | None = None, knots: int = 1, partial: bool = True) -> DataFrame:
-    """(image_id, y, x, background): a bicubic least-squares surface with ``knots`` intervals on each axis through tile medians, at every pixel.
+def background(pixels: DataFrame, mask: Column | None = None, block: int = 128, size_x: int | None = None, size_y: int | None = None, fraction: float = 0.5, value: str = "sci", origin_x: float | None = None, origin_y: float | None = None, smoothing: float | None = None, bounds: tuple[float, float, float, float] | None = None, knots: int | None = None, partial: bool = True) -> DataFrame:
+    """(image_id, y, x, background): a bicubic smoothing spline through tile medians, at every pixel.
 
-    Tile medians are Spark's; the fit is one small solve per image (a number per tile); pixels are evaluated in batches. Images
-    with fewer usable tiles than the surface has coefficients, (``knots`` + 3)^2, have no background. Without ``partial`` an image whose
-    sides are not multiples of the tile's is an error. The first tile's place is half its number of tiles unless given.
+    ``smoothing`` is the sum of squared residuals that the spline may leave (default: the number of tiles); ``bounds`` (x0, x1, y0, y1) its
+    domain (default: of the tiles used), beyond which its border values stand; ``knots`` asks for a least-squares surface with as many
+    equal intervals on each axis instead. Tile medians are Spark's; the fit is one small solve per image (a number per tile); pixels are
+    evaluated in batches. Images with fewer usable tiles than the first surface has coefficients (16) have no background. Without
+    ``partial`` an image whose sides are not multiples of the tile's is an error. The first tile's place is half its number of tiles unless given.
     """
     sx, sy = size_x or block, size_y or block
     if mask is None:
@@ -212,28 +200,26 @@ def background(pixels: DataFrame, mask: Column | None = None, block: int = 128,
     shape = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, h = int(pdf["w"].iloc[0]), int(pdf["h"].iloc[0])
-        ox = (w // sx) // 2 if origin_x is None else origin_x
-        oy = (h // sy) // 2 if origin_y is None else origin_y
-        if len(pdf) < (knots + 3) ** 2:
-            return pd.DataFrame({"image_id": pdf["image_id"][:0], "coef": pd.Series([], dtype=object), "sx": pd.Series([], dtype=float), "sy": pd.Series([], dtype=float)})
-        bx, by = _basis((ox + sx * pdf["tx"].to_numpy(float)) / max(w, 1), knots), _basis((oy + sy * pdf["ty"].to_numpy(float)) / max(h, 1), knots)
-        a = (by[:, :, None] * bx[:, None, :]).reshape(len(pdf), -1)
-        coef = np.linalg.lstsq(a, pdf["med"].to_numpy(float), rcond=None)[0]
-        return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "coef": [coef.tolist()], "sx": [float(max(w, 1))], "sy": [float(max(h, 1))]})
+        ox = (int(pdf["w"].iloc[0]) // sx) // 2 if origin_x is None else origin_x
+        oy = (int(pdf["h"].iloc[0]) // sy) // 2 if origin_y is None else origin_y
+        pdf = pdf.sort_values(["ty", "tx"])  # the order of rows in a group must not show
+        x, y, z = ox + sx * pdf["tx"].to_numpy(float), oy + sy * pdf["ty"].to_numpy(float), pdf["med"].to_numpy(float)
+        made = surface.fitted(x, y, z, smoothing, bounds, knots)
+        rows = [] if made is None else [(pdf["image_id"].iloc[0], made.coef.ravel().tolist(), made.kx.tolist(), made.ky.tolist())]
+        return pd.DataFrame(rows, columns=["image_id", "coef", "kx", "ky"])
 
     key = pixels.schema["image_id"].dataType.simpleString()
-    coef = med.join(shape, "image_id").groupBy("image_id").applyInPandas(fit, f"image_id {key}, coef array<double>, sx double, sy double")
+    coef = med.join(shape, "image_id").groupBy("image_id").applyInPandas(fit, f"image_id {key}, coef array<double>, kx array<double>, ky array<double>")
 
     def evaluate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = np.full(len(pdf), np.nan)
             for _, at in pdf.groupby("image_id").indices.items():
-                c = pdf["coef"].iloc[at[0]]
-                if c is not None:
-                    bx = _basis(pdf["x"].to_numpy(float)[at] / pdf["sx"].iloc[at[0]], knots)
-                    by = _basis(pdf["y"].to_numpy(float)[at] / pdf["sy"].iloc[at[0]], knots)
-                    out[at] = np.einsum("ni,ij,nj->n", by, np.asarray(c, float).reshape(by.shape[1], bx.shape[1]), bx)
+                row = pdf.iloc[at[0]]
+                if row["coef"] is not None:
+                    kx, ky = np.asarray(row["kx"], float), np.asarray(row["ky"], float)
+                    c = np.asarray(row["coef"], float).reshape(len(ky) - surface.DEGREE - 1, -1)
+                    out[at] = surface.Surface(kx, ky, c).at(pdf["x"].to_numpy(float)[at], pdf["y"].to_numpy(float)[at])
             yield pd.DataFrame({"image_id": pdf["image_id"], "y": pdf["y"], "x": pdf["x"], "background": out})
 
     placed = pixels.select("image_id", "y", "x").join(coef, "image_id", "left")

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import polygon
+from ..scratch import written
 from . import spatial
 from .graph import connected_components
 from .order import numbered
+from .outline import union_outline
 
 
 def components_of(items: DataFrame, edges: DataFrame, key: str) -> DataFrame:
@@ -17,51 +19,6 @@ def components_of(items: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     return items.join(comp, key, "left").withColumn("component", F.coalesce("component", key))
 
 
-def union_outline(fps: DataFrame, group: str) -> DataFrame:
-    """Area and centre of the union of each group's footprints, holes not filled: (group, area, cx, cy).
-
-    Vertical slabs between all vertices and edge crossings; in a slab the polygons' parts are trapezoids whose
-    order does not change, so the union is that of intervals, found by a running maximum, and the moments add up.
-    """
-    v = fps.select(group, F.monotonically_increasing_id().alias("poly"), polygon.oriented(F.col("vertices")).alias("v"))
-    n = F.size("v")
-    ring = v.select(group, "poly", F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get("v", i).alias("p"), F.get("v", (i + 1) % n).alias("q")))).alias("e"))
-    flip = F.col("e.p.x") > F.col("e.q.x")
-    from ..scratch import written
-
-    edge = ring.select(group, "poly", F.when(flip, F.col("e.q")).otherwise(F.col("e.p")).alias("l"), F.when(flip, F.col("e.p")).otherwise(F.col("e.q")).alias("r"))
-    edge = written(edge.select(group, "poly", F.col("l.x").alias("x0"), F.col("l.y").alias("y0"), F.col("r.x").alias("x1"), F.col("r.y").alias("y1")), "edges")
-    a, b = edge.alias("a"), edge.alias("b")
-    meet = (F.col("a.x0") < F.col("b.x1")) & (F.col("b.x0") < F.col("a.x1")) & (F.col("a.poly") < F.col("b.poly"))
-    sa = (F.col("a.y1") - F.col("a.y0")) / F.nullif(F.col("a.x1") - F.col("a.x0"), F.lit(0.0))
-    sb = (F.col("b.y1") - F.col("b.y0")) / F.nullif(F.col("b.x1") - F.col("b.x0"), F.lit(0.0))
-    x = F.try_divide(F.col("b.y0") - F.col("a.y0") + sa * F.col("a.x0") - sb * F.col("b.x0"), sa - sb)
-    pairs = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & meet)
-    crossing = pairs.select(F.col(f"a.{group}").alias(group), x.alias("x"), *[F.col(f"{s}.{c}").alias(s + c) for s in "ab" for c in ("x0", "x1")])
-    crossing = crossing.where((F.col("x") > F.greatest("ax0", "bx0")) & (F.col("x") < F.least("ax1", "bx1"))).select(group, "x")
-    events = edge.select(group, F.explode(F.array("x0", "x1")).alias("x")).unionByName(crossing).distinct()
-    slab = events.withColumn("xr", F.lead("x").over(Window.partitionBy(group).orderBy("x"))).where(F.col("xr").isNotNull()).withColumnRenamed("x", "xl")
-    # each polygon's lower and upper line in each slab it spans
-    at = lambda s: F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col(s) - F.col("x0")) / (F.col("x1") - F.col("x0"))
-    spans = slab.join(edge.where("x1 > x0"), group).where((F.col("x0") <= F.col("xl")) & (F.col("x1") >= F.col("xr")))
-    spans = spans.select(group, "xl", "xr", "poly", at("xl").alias("yl"), at("xr").alias("yr")).withColumn("ym", (F.col("yl") + F.col("yr")) / 2)
-    order = F.row_number().over(Window.partitionBy(group, "xl", "poly").orderBy("ym"))
-    spans = spans.withColumn("k", F.floor((order - 1) / 2))  # a concave polygon has more than one part in a slab
-    iv = spans.groupBy(group, "xl", "xr", "poly", "k").agg(F.min_by(F.struct("yl", "yr", "ym"), "ym").alias("lo"), F.max_by(F.struct("yl", "yr", "ym"), "ym").alias("hi"))
-    w = Window.partitionBy(group, "xl").orderBy("lo.ym", "hi.ym")
-    reach = F.max("hi.ym").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    iv = iv.withColumn("new", (reach.isNull() | (F.col("lo.ym") > reach)).cast("int")).withColumn("run", F.sum("new").over(w))
-    runs = iv.groupBy(group, "xl", "xr", "run").agg(F.min_by("lo", "lo.ym").alias("lo"), F.max_by("hi", "hi.ym").alias("hi"))
-    hl, hr = F.col("hi.yl") - F.col("lo.yl"), F.col("hi.yr") - F.col("lo.yr")
-    dx = F.col("xr") - F.col("xl")
-    sq = lambda s, p, q: F.col(f"{s}.{p}") * F.col(f"{s}.{q}")
-    area = dx * (hl + hr) / 2
-    mx = dx * (hl * (2 * F.col("xl") + F.col("xr")) + hr * (F.col("xl") + 2 * F.col("xr"))) / 6
-    my = dx * (sq("hi", "yl", "yl") + sq("hi", "yl", "yr") + sq("hi", "yr", "yr") - sq("lo", "yl", "yl") - sq("lo", "yl", "yr") - sq("lo", "yr", "yr")) / 6
-    out = runs.groupBy(group).agg(F.sum(area).alias("area"), F.sum(mx).alias("mx"), F.sum(my).alias("my"))
-    return out.select(group, "area", (F.col("mx") / F.col("area")).alias("cx"), (F.col("my") / F.col("area")).alias("cy"))
-
-
 def ordered(centres: DataFrame, key: str = "id", component: str = "component", x: str = "ra", y: str = "dec") -> DataFrame:
     """``centres`` with place: components by their highest declination, downwards; inside by declination downwards,
     then by right ascension about the component's circular mean; ties by the least key.
@@ -84,11 +41,12 @@ def sort_pointings(centres: DataFrame, eps: float = 0.1, key: str = "id", x: str
 
 
 def group_by_pointing(fps: DataFrame, key: str = "fp_id", same: tuple[str, ...] = ("filter",), min_fraction: float = 0.6, eps: float = 0.1, cell: float = 0.05) -> DataFrame:
-    """(key, component, group_no): groups of overlapping footprints, numbered in the order of ``sort_pointings``."""
+    """(key, component, group_no): groups of overlapping footprints, numbered in the order of ``sort_pointings`` by the centres of their
+    outlines (holes filled, see ``union_outline``). A row without a footprint is an error."""
+    fps = fps.withColumn("vertices", F.coalesce("vertices", F.raise_error(F.concat(F.lit("no footprint: "), F.col(key).cast("string"))).cast(polygon.TYPE)))
+    fps = written(fps.select(key, *[c for c in same if c != key], "vertices"), "footprints")
     pairs = spatial.overlap_pairs(fps, key, same, min_fraction, cell)
     groups = components_of(fps.select(key, "vertices"), pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")), key)
-    from ..scratch import written
-
     groups = written(groups, "groups")
     centres = union_outline(groups, "component").select(F.col("component").alias("id"), F.col("cx").alias("ra"), F.col("cy").alias("dec"))
     placed = sort_pointings(centres, eps).select(F.col("id").alias("component"), F.col("place").alias("group_no"))

@@ -24,26 +24,76 @@ def gridded(fps: DataFrame, cell: float) -> DataFrame:
     return out.withColumn("gx", F.explode(_cells(F.col("bb.x0"), F.col("bb.x1"), cell))).withColumn("gy", F.explode(_cells(F.col("bb.y0"), F.col("bb.y1"), cell)))
 
 
-def overlap_pairs(fps: DataFrame, key: str = "fp_id", same: tuple[str, ...] = (), min_fraction: float = 0.6, cell: float = 0.05) -> DataFrame:
+LEAF = ["sx", "sy", "li", "ri"]
+
+
+def leaves(left: DataFrame, right: DataFrame, on: list[str], cell: float, most: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on grid cells (rows with ``on``, which holds gx and gy, and bb) with the leaf of the cell that each row goes to, in LEAF.
+
+    A cell in which both sides have many rows is divided into sub-cells, as long as these are no smaller than the boxes in it, so that
+    the rows of one have fewer to meet. A sub-cell that still has more than ``most`` rows of a side is dealt: a side's rows are numbered off
+    into parts of about ``most``, and each part meets each part of the other side in a leaf of its own. No leaf has many more rows
+    than ``most`` of either side, and two rows of a sub-cell meet exactly once.
+    """
+    width = F.greatest(F.col("bb.x1") - F.col("bb.x0"), F.col("bb.y1") - F.col("bb.y0"))
+
+    def counted(own: list[str], *sides: DataFrame) -> DataFrame:
+        rows = [side.select(*own, width.alias("w"), F.lit(1 - i).alias("l"), F.lit(i).alias("r")) for i, side in enumerate(sides)]
+        return rows[0].unionByName(rows[1]).groupBy(*own).agg(F.sum("l").alias("l"), F.sum("r").alias("r"), F.avg("w").alias("w"))
+
+    hot = counted(on, left, right).where((F.col("l") > most) | (F.col("r") > most)).where((F.col("l") > 0) & (F.col("r") > 0))
+    wanted = F.ceil(F.sqrt(F.greatest("l", "r") / most))
+    parts = F.greatest(F.least(wanted, F.floor(F.lit(cell) / F.greatest("w", F.lit(cell / 1024)))), F.lit(1)).cast("long")
+    hot = written(hot.select(*on, parts.alias("_parts")), "hot_cells")  # a row for each cell with over ``most`` rows
+
+    def divided(side: DataFrame) -> DataFrame:
+        side = side.join(hot, on, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1).cast("long")))
+        sub = lambda c, g: sub_cell(F.col(f"bb.{c}"), F.col(g), cell)
+        spread = lambda axis: F.explode(F.sequence(sub(f"{axis}0", f"g{axis}"), sub(f"{axis}1", f"g{axis}")))
+        return side.withColumn("sx", spread("x")).withColumn("sy", spread("y"))
+
+    left, right = divided(left), divided(right)
+    own = [*on, "sx", "sy"]
+    deal = counted(own, left, right).where((F.col("l") > 0) & (F.col("r") > 0)).where((F.col("l") > most) | (F.col("r") > most))
+    deal = written(deal.select(*own, F.ceil(F.col("l") / most).cast("long").alias("_kl"), F.ceil(F.col("r") / most).cast("long").alias("_kr")), "dealt_cells")
+
+    def numbered_off(side: DataFrame, mine: str, mine_k: str, others: str, others_k: str) -> DataFrame:
+        one, row = F.lit(1).cast("long"), F.xxhash64(*side.columns)  # by content: a task that runs again deals alike
+        side = side.withColumn("_row", row).join(deal, own, "left").withColumns({"_kl": F.coalesce("_kl", one), "_kr": F.coalesce("_kr", one)})
+        side = side.withColumn(mine, F.pmod(F.col("_row"), F.col(mine_k)))
+        return side.withColumn(others, F.explode(F.sequence(F.lit(0).cast("long"), F.col(others_k) - 1))).drop("_kl", "_kr", "_row")
+
+    return numbered_off(left, "li", "_kl", "ri", "_kr"), numbered_off(right, "ri", "_kr", "li", "_kl").drop("_parts")
+
+
+def sub_cell(at: Column, g: Column, cell: float) -> Column:
+    """Which of a cell's ``_parts`` holds a coordinate; what lies beyond the cell counts to its ends."""
+    return F.least(F.greatest(F.floor((at / cell - g) * F.col("_parts")), F.lit(0)), F.col("_parts") - 1)
+
+
+def overlap_pairs(fps: DataFrame, key: str = "fp_id", same: tuple[str, ...] = (), min_fraction: float = 0.6, cell: float = 0.05, most: int = 1000) -> DataFrame:
     """Unordered pairs of footprints that share at least ``min_fraction`` of the smaller: (a, b, inter_area, fraction).
 
     Boxes meet in grid cells by an equi-join; a pair counts only in the cell of the lower left corner of
-    its common box, so none comes twice. Attributes in ``same`` are join keys, not filters.
+    its common box, so none comes twice. Attributes in ``same`` are join keys, not filters. Cells with more than ``most`` footprints are
+    split (``leaves``), so that a crowded field is dealt over tasks.
     """
     if min_fraction <= 0:
         raise ValueError("min_fraction must be positive")
     # what a footprint says of itself is computed once for each, before the cells
     facts = with_bounds(fps.select(key, "vertices", *same)).withColumn("v", polygon.oriented(F.col("vertices")))
     facts = facts.select(key, *same, "bb", F.struct("v", polygon.convex(F.col("v")).alias("convex"), polygon.area(F.col("v")).alias("area")).alias("q"))
-    g = gridded(facts, cell)
-    left = g.select("gx", "gy", *same, F.col(key).alias("a"), F.col("q").alias("qa"), F.col("bb").alias("ba"))
-    right = g.select("gx", "gy", *same, F.col(key).alias("b"), F.col("q").alias("qb"), F.col("bb").alias("b_"))
+    g, on = written(gridded(facts, cell), "gridded"), ["gx", "gy", *same]
+    left, right = leaves(g, g, on, cell, most)
+    left = left.select(*on, *LEAF, "_parts", F.col(key).alias("a"), F.col("q").alias("qa"), F.col("bb").alias("ba"))
+    right = right.select(*on, *LEAF, F.col(key).alias("b"), F.col("q").alias("qb"), F.col("bb").alias("b_"))
     meet = (F.col("a") < F.col("b")) & (F.greatest("ba.x0", "b_.x0") <= F.least("ba.x1", "b_.x1")) & (F.greatest("ba.y0", "b_.y0") <= F.least("ba.y1", "b_.y1"))
-    home = (F.floor(F.greatest("ba.x0", "b_.x0") / cell) == F.col("gx")) & (F.floor(F.greatest("ba.y0", "b_.y0") / cell) == F.col("gy"))
+    x, y = F.greatest("ba.x0", "b_.x0"), F.greatest("ba.y0", "b_.y0")
+    home = (F.floor(x / cell) == F.col("gx")) & (F.floor(y / cell) == F.col("gy")) & (sub_cell(x, F.col("gx"), cell) == F.col("sx")) & (sub_cell(y, F.col("gy"), cell) == F.col("sy"))
     # the shared area is no larger than that of the common box
     common = (F.least("ba.x1", "b_.x1") - F.greatest("ba.x0", "b_.x0")) * (F.least("ba.y1", "b_.y1") - F.greatest("ba.y0", "b_.y0"))
     enough = common * (1 + 1e-9) >= min_fraction * F.least("qa.area", "qb.area")
-    pairs = left.join(right, ["gx", "gy", *same]).where(meet & home & enough)
+    pairs = left.join(right, [*on, *LEAF]).where(meet & home & enough)
     inter = polygon.oriented_intersection(F.col("qa.v"), F.col("qb.v"), F.col("qa.convex") & F.col("qb.convex"))
     shared = let(inter, lambda i: F.struct(i.alias("inter_area"), F.greatest(i / F.col("qa.area"), i / F.col("qb.area")).alias("fraction")))
     # the generator keeps the planner from copying the geometry into the filter
@@ -55,28 +105,30 @@ def same_pointing(a: Column, b: Column, min_fraction: float = 0.6) -> Column:
     return polygon.overlap_fraction(a, b) >= min_fraction
 
 
-def search(fps: DataFrame, targets: DataFrame, same: tuple[str, ...] = (), min_fraction: float = 0.6, key: str = "fp_id", cell: float = 0.05, must_find: bool = False) -> DataFrame:
+def search(fps: DataFrame, targets: DataFrame, same: tuple[str, ...] = (), min_fraction: float = 0.6, key: str = "fp_id", cell: float = 0.05, must_find: bool = False, most: int = 1000) -> DataFrame:
     """Footprints at the pointing of each of ``targets`` (rows with ``key``, vertices, and the attributes in ``same``): the columns of
     ``fps``, target (the target's key) and fraction.
 
-    Boxes meet in grid cells as in ``overlap_pairs``; a footprint that is a target itself is found too. With ``must_find``
+    Boxes meet in grid cells, crowded ones split, as in ``overlap_pairs``; a footprint that is a target itself is found too. With ``must_find``
     it is an error if nothing is found.
     """
     if min_fraction <= 0:
         raise ValueError("min_fraction must be positive")
-    t = gridded(targets.select(key, "vertices", *same), cell).select("gx", "gy", *same, F.col(key).alias("target"), F.col("vertices").alias("tv"), F.col("bb").alias("tb"))
+    on = ["gx", "gy", *same]
+    left, right = leaves(written(gridded(fps, cell), "gridded"), written(gridded(targets.select(key, "vertices", *same), cell), "gridded"), on, cell, most)
+    t = right.select(*on, *LEAF, F.col(key).alias("target"), F.col("vertices").alias("tv"), F.col("bb").alias("tb"))
     x, y = F.greatest("bb.x0", "tb.x0"), F.greatest("bb.y0", "tb.y0")
     near = (x <= F.least("bb.x1", "tb.x1")) & (y <= F.least("bb.y1", "tb.y1"))
-    home = (F.floor(x / cell) == F.col("gx")) & (F.floor(y / cell) == F.col("gy"))
-    hit = gridded(fps, cell).join(t, ["gx", "gy", *same]).where(near & home).withColumn("fraction", polygon.overlap_fraction(F.col("vertices"), F.col("tv")))
+    home = (F.floor(x / cell) == F.col("gx")) & (F.floor(y / cell) == F.col("gy")) & (sub_cell(x, F.col("gx"), cell) == F.col("sx")) & (sub_cell(y, F.col("gy"), cell) == F.col("sy"))
+    hit = left.join(t, [*on, *LEAF]).where(near & home).withColumn("fraction", polygon.overlap_fraction(F.col("vertices"), F.col("tv")))
     hit = hit.where(F.col("fraction") >= min_fraction).select(*fps.columns, "target", "fraction")
     if must_find and hit.isEmpty():
         raise ValueError("no footprint is at the pointing of any target")
     return hit
 
 
-def points_in_footprints(points: DataFrame, fps: DataFrame, x: str = "ra", y: str = "dec", cell: float = 0.05) -> DataFrame:
-    """Points with each footprint that strictly contains them; a point has one cell, so no pair comes twice."""
+def points_in_footprints(points: DataFrame, fps: DataFrame, x: str = "ra", y: str = "dec", cell: float = 0.05, most: int = 10_000) -> DataFrame:
+    """Points with each footprint that strictly contains them; a point has one cell, so no pair comes twice. Crowded cells are split (``leaves``)."""
     p = points.withColumn("gx", F.floor(F.col(x) / cell)).withColumn("gy", F.floor(F.col(y) / cell))
     v, p_ = F.col("_v"), polygon.point(F.col(x), F.col(y))
     # convex quadrilaterals, the common ones, have their corners as columns: four comparisons for a pair
@@ -84,7 +136,10 @@ def points_in_footprints(points: DataFrame, fps: DataFrame, x: str = "ra", y: st
     g = g.withColumns({f"_p{i}": F.get(v, F.lit(i)) for i in range(4)})
     inside = F.when(F.col("_quad"), all_of([polygon.cross(F.col(f"_p{i}"), F.col(f"_p{(i + 1) % 4}"), p_) > 0 for i in range(4)])).otherwise(polygon.contains(F.col("vertices"), F.col(x), F.col(y)))
     box = F.col(x).between(F.col("bb.x0"), F.col("bb.x1")) & F.col(y).between(F.col("bb.y0"), F.col("bb.y1"))
-    return p.join(g, ["gx", "gy"]).where(box & inside).drop("gx", "gy", "bb", "vertices", "_v", "_quad", "_p0", "_p1", "_p2", "_p3")
+    on = ["gx", "gy"]
+    at = F.struct(F.col(x).alias("x0"), F.col(y).alias("y0"), F.col(x).alias("x1"), F.col(y).alias("y1"))
+    p, g = leaves(p.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("bb", at), written(g, "gridded"), on, cell, most)
+    return p.drop("bb", "_parts").join(g, [*on, *LEAF]).where(box & inside).drop(*on, *LEAF, "bb", "vertices", "_v", "_quad", "_p0", "_p1", "_p2", "_p3")
 
 
 def nearest_footprint(points: DataFrame, fps: DataFrame, id_: str = "id", x: str = "ra", y: str = "dec", key: str = "fp_id", cell: float = 0.2, max_rings: int = 30) -> DataFrame:

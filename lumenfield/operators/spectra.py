@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import order as order_
-from .stats import MAD_ROUNDED
+from .stats import HELD, MAD_ROUNDED, quantiles
 
 
 def edges(centers: DataFrame, by: str = "spec_id", wave: str = "wavelength") -> DataFrame:
@@ -101,11 +101,15 @@ def combine_mean(spectra: DataFrame, sigma_clip: float = 3.0, by: tuple[str, ...
     return kept.groupBy(*by).agg((F.sum(F.col("w") * F.col("flux")) / F.sum("w")).alias("flux"), F.sqrt(1 / F.sum("w")).alias("err"), F.count(F.lit(1)).alias("n"))
 
 
-def combine_median(spectra: DataFrame, by: tuple[str, ...] = ("y", "bin")) -> DataFrame:
-    """Median, with the scaled MAD over the root of the count as error."""
-    med = spectra.groupBy(*by).agg(F.median("flux").alias("m"), F.count("flux").alias("n"))
-    dev = spectra.select(*by, "flux").join(med, list(by)).groupBy(*by).agg(F.first("m").alias("flux"), F.first("n").alias("n"), F.median(F.abs(F.col("flux") - F.col("m"))).alias("mad"))
-    return dev.select(*by, "flux", F.when(F.col("n") > 0, F.col("mad") * MAD_ROUNDED / F.sqrt("n")).alias("err"), "n")
+def combine_median(spectra: DataFrame, by: tuple[str, ...] = ("y", "bin"), held: int = HELD) -> DataFrame:
+    """Median, with the scaled MAD over the root of the count as error; bins without a value are missing."""
+    keys = list(by)
+    n = spectra.groupBy(*by).agg(F.count("flux").alias("n"))
+    largest = n.agg(F.max("n")).first()[0] or 0
+    med = quantiles(spectra, by, "flux", {"m": 0.5}, held, largest)
+    dev = spectra.select(*by, "flux").join(med, keys).withColumn("d", F.abs(F.col("flux") - F.col("m")))
+    out = n.join(med, keys, "left").join(quantiles(dev, by, "d", {"mad": 0.5}, held, largest), keys, "left")
+    return out.select(*by, F.col("m").alias("flux"), F.when(F.col("n") > 0, F.col("mad") * MAD_ROUNDED / F.sqrt("n")).alias("err"), "n")
 
 
 def resample_and_combine(spectra: DataFrame, method: str = "mean", strategy: str = "median", sigma_clip: float = 3.0) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from lumenfield.functions import polygon
 from lumenfield.operators import pointing, spatial, wcs
-from lumenfield.operators.graph import connected_components
+from lumenfield.operators.graph import connected_components, extended_components
+from lumenfield.scratch import written
 
 TYPE = "array<struct<x:double,y:double>>"
 SQUARE = [(0, 0), (1, 0), (1, 1), (0, 1)]
@@ -64,6 +65,80 @@ def test_union_outlines(spark):
     assert got["squares"] == pytest.approx((7, 1.5, 1.5)) and got["diamond"] == pytest.approx((8, 1, 1)) and got["one"] == pytest.approx((1, 0.5, 0.5))
 
 
+def outlines(spark, groups, **options):
+    df = spark.createDataFrame([(g, [(float(x), float(y)) for x, y in v]) for g, vs in groups.items() for v in vs], f"g string, vertices {TYPE}")
+    return {r["g"]: r for r in pointing.union_outline(df, "g", **options).collect()}
+
+
+def rect(x0, y0, x1, y1):
+    return [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+
+
+def test_outer_ring_fills_holes(spark):
+    ring = [rect(0, 0, 3, 1), rect(0, 2, 3, 3), rect(0, 0, 1, 3), rect(2, 0, 3, 3)]
+    cee = [rect(0, 0, 3, 1), rect(0, 2, 3, 3), rect(0, 0, 1, 3)]
+    tip = [*ring[:3], [(2, 1), (3, 0.5), (3, 2.5)]]  # a triangle closes the ring
+    turned = [[(x - y, x + y) for x, y in v] for v in ring]
+    for strip in (0.37, 50.0):
+        got = outlines(spark, {"ring": ring, "cee": cee, "turned": turned, "squares": [box(0, 2), box(1, 3)], "one": [SQUARE], "twice": [SQUARE, SQUARE[::-1]]}, strip=strip)
+        at = lambda g: [(round(p["x"], 9), round(p["y"], 9)) for p in got[g]["vertices"]]
+        assert at("ring") == rect(0, 0, 3, 3) and got["ring"]["area"] == pytest.approx(9) and got["ring"]["holes"] == 1
+        assert (got["ring"]["cx"], got["ring"]["cy"]) == pytest.approx((1.5, 1.5))
+        assert at("cee") == [(0, 0), (3, 0), (3, 1), (1, 1), (1, 2), (3, 2), (3, 3), (0, 3)] and got["cee"]["area"] == pytest.approx(7) and got["cee"]["holes"] == 0
+        assert at("squares") == [(0, 0), (2, 0), (2, 1), (3, 1), (3, 3), (1, 3), (1, 2), (0, 2)]
+        assert at("one") == at("twice") == rect(0, 0, 1, 1)
+        assert len(at("turned")) == 4 and got["turned"]["area"] == pytest.approx(18) and got["turned"]["holes"] == 1
+    assert outlines(spark, {"tip": tip}, strip=1.0)["tip"]["pieces"] == 1
+
+
+def test_unions_of_several_pieces_are_errors(spark):
+    apart = {"apart": [box(0, 2), box(3, 5)], "corner": [box(0, 1), box(1, 2)], "inside": [rect(0, 0, 5, 1), rect(0, 4, 5, 5), rect(0, 0, 1, 5), rect(4, 0, 5, 5), box(2, 3)]}
+    with pytest.raises(Exception, match="not one piece"):
+        outlines(spark, apart, strip=1.0)
+    got = outlines(spark, apart | {"side": [rect(0, 0, 1, 1), rect(1, 0, 2, 1)]}, strip=1.0, one_piece=False)
+    assert {g: (r["pieces"], r["area"], r["vertices"] is None) for g, r in got.items()} == {"apart": (2, None, True), "corner": (2, None, True), "inside": (2, None, True), "side": (1, pytest.approx(2), False)}
+    assert got["inside"]["holes"] == 1 and [(p["x"], p["y"]) for p in got["side"]["vertices"]] == rect(0, 0, 2, 1)
+
+
+def test_outlines_of_random_boxes_against_a_grid(spark):
+    """Pieces, holes, area with holes filled and the vertices of the outer ring, from the cells of a grid."""
+    rng, groups, want = random.Random(8), {}, {}
+    for g in range(40):
+        members = [rect(x, y, x + rng.randint(1, 6), y + rng.randint(1, 6)) for x, y in ((rng.randint(0, 8), rng.randint(0, 8)) for _ in range(rng.randint(2, 12)))]
+        groups[str(g)] = members
+        full = {(x, y) for v in members for x in range(v[0][0], v[2][0]) for y in range(v[0][1], v[2][1])}
+
+        def parts(cells, steps):
+            cells, n = set(cells), 0
+            while cells:
+                todo, n = [cells.pop()], n + 1
+                while todo:
+                    x, y = todo.pop()
+                    for dx, dy in steps:
+                        if (x + dx, y + dy) in cells:
+                            cells.remove((x + dx, y + dy)), todo.append((x + dx, y + dy))
+            return n
+
+        four = [(0, 1), (1, 0), (0, -1), (-1, 0)]
+        empty = {(x, y) for x in range(-1, 16) for y in range(-1, 16)} - full
+        outside, todo = {(-1, -1)}, [(-1, -1)]
+        while todo:
+            x, y = todo.pop()
+            for dx, dy in four:
+                if (x + dx, y + dy) in empty - outside:
+                    outside.add((x + dx, y + dy)), todo.append((x + dx, y + dy))
+        pieces, filled = parts(full, four), 17 * 17 - len(outside)
+        corner = lambda x, y: [(x - a, y - b) in outside for a in (0, 1) for b in (0, 1)]  # noqa: B023, E731
+        turns = {(x, y) for x in range(16) for y in range(16) if sum(corner(x, y)) in (1, 3) or corner(x, y) in ([True, False, False, True], [False, True, True, False])}
+        want[str(g)] = (pieces, filled, turns) if pieces == 1 else (pieces, None, None)
+    got = outlines(spark, groups, strip=2.5, one_piece=False)
+    assert set(got) == set(want) and sum(w[0] == 1 for w in want.values()) > 9 and any(r["holes"] for r in got.values())
+    for g, (pieces, filled, turns) in want.items():
+        assert got[g]["pieces"] == pieces
+        if pieces == 1:
+            assert got[g]["area"] == pytest.approx(filled) and {(round(p["x"], 9), round(p["y"], 9)) for p in got[g]["vertices"]} == turns
+
+
 def test_components_do_not_depend_on_order_or_partitions(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for c in range(40) for i in range(c * 100, c * 100 + rng.randrange(1, 30))] + [(9000 + i, 9000) for i in range(1, 300)]
@@ -78,6 +153,62 @@ def test_components_do_not_depend_on_order_or_partitions(spark):
     assert connected_components(df.limit(0)).collect() == []
 
 
+def test_a_forest_kept_up_to_date_equals_the_components_of_all_edges(spark):
+    rng = random.Random(6)
+    batches = [[(rng.randrange(300), rng.randrange(300)) for _ in range(40)] for _ in range(4)] + [[(299, 0), (5, 5), (None, 7)], []]
+    forest, seen = spark.createDataFrame([], "node long, component long"), []
+    for batch in batches:
+        seen += batch
+        forest = written(extended_components(forest, spark.createDataFrame(batch, "src long, dst long").repartition(3)))
+        want = connected_components(spark.createDataFrame(seen, "src long, dst long"))
+        assert sorted(map(tuple, forest.collect())) == sorted(map(tuple, want.collect()))
+
+
+def crowded(rng, n, size):
+    """A field with two thirds of all footprints, half of these in one spot of it; the others are spread."""
+    out = []
+    for i in range(n):
+        x, y = (rng.uniform(0.0, 3.0), rng.uniform(-2, 2)) if i % 3 == 0 else (1.0 + rng.random() * 0.05, 0.5 + rng.random() * 0.05) if i % 3 == 1 else (1.02 + rng.random() * 0.002, 0.52 + rng.random() * 0.002)
+        out.append((i, x, y, x + size * rng.uniform(0.5, 1), y + size * rng.uniform(0.5, 1)))
+    return out
+
+
+def test_crowded_cells_are_split_and_no_pair_is_lost(spark):
+    rng = random.Random(11)
+    for size, most in ((0.004, 10), (0.04, 25), (0.2, 40)):
+        boxes = crowded(rng, 240, size)
+        df = spark.createDataFrame([(i, "AB"[i % 7 == 0], rect(*b)) for i, *b in boxes], f"fp_id long, filter string, vertices {TYPE}").repartition(4)
+
+        def share(a, b):
+            w, h = min(a[3], b[3]) - max(a[1], b[1]), min(a[4], b[4]) - max(a[2], b[2])
+            return 0 if w <= 0 or h <= 0 else w * h / min((a[3] - a[1]) * (a[4] - a[2]), (b[3] - b[1]) * (b[4] - b[2]))
+
+        alike = [(a[0], b[0]) for a in boxes for b in boxes if (a[0] % 7 == 0) == (b[0] % 7 == 0) and share(a, b) >= 0.3]
+        got = [(r["a"], r["b"]) for r in spatial.overlap_pairs(df, same=("filter",), min_fraction=0.3, most=most).collect()]
+        assert sorted(got) == sorted((a, b) for a, b in alike if a < b) and len(got) > 200
+        found = [(r["target"], r["fp_id"]) for r in spatial.search(df, df.where("fp_id % 5 = 0"), ("filter",), 0.3, most=most).collect()]
+        assert sorted(found) == sorted((a, b) for a, b in alike if a % 5 == 0)
+        points = [(1000 + i, x + 1e-5, y + 1e-5) for i, x, y, *_ in boxes] + [(1, None, 0.0)]
+        inside = [(r["id"], r["fp_id"]) for r in spatial.points_in_footprints(spark.createDataFrame(points, "id long, ra double, dec double"), df, most=most).collect()]
+        assert sorted(inside) == sorted((k, b[0]) for k, x, y in points[:-1] for b in boxes if b[1] < x < b[3] and b[2] < y < b[4])
+
+
+def test_leaves_of_a_crowded_field_are_even(spark):
+    boxes = crowded(random.Random(3), 6000, 0.004)
+    df = spark.createDataFrame([(i, rect(*b)) for i, *b in boxes], f"fp_id long, vertices {TYPE}")
+    g = written(spatial.gridded(df, 0.05))
+    sides = spatial.leaves(g, g, ["gx", "gy"], 0.05, 100)
+    for side in sides:
+        n = side.groupBy("gx", "gy", *spatial.LEAF).count()
+        assert n.agg(F.max("count")).first()[0] <= 200 < 2000 < g.groupBy("gx", "gy").count().agg(F.max("count")).first()[0]
+    # as tasks get them: leaves by hash over 16 partitions
+    at = ["gx", "gy", *spatial.LEAF]
+    count = lambda s, name: s.groupBy(*at).agg(F.count(F.lit(1)).alias(name))
+    tasks = count(sides[0], "l").join(count(sides[1], "r"), at).repartition(16, *at).groupBy(F.spark_partition_id()).agg(F.sum(F.col("l") * F.col("r")).alias("n"))
+    work = sorted(r["n"] for r in tasks.collect())
+    assert len(work) == 16 and work[-1] < 4 * work[8]
+
+
 def test_nearest_footprint_against_brute_force(spark):
     rng = random.Random(2)
     fps = [(i, rng.uniform(0, 3), rng.uniform(-2, 2)) for i in range(40)]
@@ -93,6 +224,8 @@ def test_groups_by_pointing_in_order(spark):
     df = spark.createDataFrame(fps, f"fp_id long, filter string, vertices {TYPE}")
     got = {r["fp_id"]: (r["component"], r["group_no"]) for r in pointing.group_by_pointing(df).collect()}
     assert got == {3: (3, 0), 5: (3, 0), 4: (4, 1), 1: (1, 2), 2: (1, 2)}
+    with pytest.raises(Exception, match="no footprint: 9"):
+        pointing.group_by_pointing(df.unionByName(spark.createDataFrame([(9, "F1", None)], df.schema))).collect()
 
 
 def test_search_answers_every_target(spark):
