@@ -1,9 +1,10 @@
 """How the sources of a language differ in their terms: distances between sources, and each source's own terms.
 
-Terms are late materialised. Each task counts the terms of its documents by (lang, source) and writes those rows, text and
-64-bit digest, where it stands (the *fragments*: no shuffle). What is shuffled for counting is the fixed-width part of them:
-digest, occurrences, documents. Digests that enough documents of their language hold are then looked up in the fragments:
-the minimum and the maximum of their strings differ just where two terms share a digest, and only those digests are counted
+Terms are late materialised. Each task counts the terms of its documents and writes, where it stands, a row for each term of a
+language: text, 64-bit digest, documents, and occurrences by source (the *fragments*: no shuffle). What is shuffled to find the
+terms that enough documents of their language hold is digests and counts alone. A filter of fixed size, ``FILTER_BITS`` bits, then lets the
+fragments of those terms pass (and few others, which an exact join takes out), so that the text of a rare term never leaves its task's file.
+The minimum and the maximum of a digest's strings differ just where two terms share it, and only those digests are counted
 again by their text. Kept terms have a number from then on; texts come back for the rows of the result alone.
 
 Scale: a task's counts are flushed at ``flush`` entries, so its memory does not grow with the input. A source or term with a
@@ -27,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import written
 
 UNIT = 1_000_000_000
 BLOCK, TILE = 256, 48
+FILTER_BITS = 1 << 24
 #: Bytes of terms stay (letters in lower case, all of non-ASCII characters), every other byte becomes a space.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -40,20 +42,27 @@ def terms(text: bytes) -> list[bytes]:
 
 
 def _fragments(batches: Iterator[pa.RecordBatch], flush: int) -> Iterator[pa.RecordBatch]:
-    groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    held: dict[str, Counter] = {}
+    groups: dict[tuple[str, str], Counter] = {}
 
     def rows() -> Iterator[pa.RecordBatch]:
-        for (lang, source), (n, docs) in groups.items():
-            words = list(n)
-            fixed = [pa.array([x] * len(words), pa.string()) for x in (lang, source)]
-            counts = [pa.array([c[w] for w in words], pa.int64()) for c in (n, docs)]
-            yield pa.RecordBatch.from_arrays([*fixed, pa.array(words, pa.binary()), *counts], ["lang", "source", "term", "n", "docs"])
+        for lang, docs in held.items():
+            place = dict(zip(docs, range(len(docs))))
+            own = [(source, n) for (x, source), n in groups.items() if x == lang]
+            row = np.concatenate([np.fromiter((place[w] for w in n), np.int64, len(n)) for _, n in own])
+            order = np.argsort(row, kind="stable")
+            count = np.concatenate([np.fromiter(n.values(), np.int64, len(n)) for _, n in own])[order]
+            source = pa.array([s for s, _ in own], pa.string()).take(pa.array(np.repeat(np.arange(len(own)), [len(n) for _, n in own])[order]))
+            ends = pa.array(np.r_[0, np.cumsum(np.bincount(row, minlength=len(docs)))], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, x) for x in (source, pa.array(count))]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(docs), pa.string()), pa.array(list(docs), pa.binary()), pa.array(list(docs.values()), pa.int64()), *lists], ["lang", "term", "docs", "sources", "ns"])
+        held.clear()
         groups.clear()
 
     size = 0
     for batch in batches:
         for lang, source, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            n, docs = groups.setdefault((lang, source), (Counter(), Counter()))
+            docs, n = held.setdefault(lang, Counter()), groups.setdefault((lang, source), Counter())
             found, size = terms(text), size - len(n)
             n.update(found)
             docs.update(set(found))
@@ -64,12 +73,49 @@ def _fragments(batches: Iterator[pa.RecordBatch], flush: int) -> Iterator[pa.Rec
     yield from rows()
 
 
-def fragments(docs: DataFrame, flush: int = 100_000, bits: int = 64) -> DataFrame:
-    """(lang, source, h, n, docs, term): what each task counted, written in the shared folder. ``bits`` of the digest are used."""
+def fragments(docs: DataFrame, flush: int = 400_000, bits: int = 64) -> DataFrame:
+    """(lang, h, docs, term, sources, ns): what each task counted, written in the shared folder. ``bits`` of the digest are used."""
     text = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    out = text.mapInArrow(lambda it: _fragments(it, flush), "lang string, source string, term binary, n long, docs long")
+    out = text.mapInArrow(lambda it: _fragments(it, flush), "lang string, term binary, docs long, sources array<string>, ns array<long>")
     h = F.xxhash64("term")
-    return written(out.select("lang", "source", (h if bits == 64 else h.bitwiseAND((1 << bits) - 1)).alias("h"), "n", "docs", F.col("term").cast("string").alias("term")), "fragments")
+    return written(out.select("lang", (h if bits == 64 else h.bitwiseAND((1 << bits) - 1)).alias("h"), "docs", F.col("term").cast("string").alias("term"), "sources", "ns"), "fragments")
+
+
+def _passing(parts: DataFrame, often: DataFrame) -> DataFrame:
+    """Fragments whose digest may be one of ``often``: two bits of each digest in a filter of fixed size."""
+    places = F.array(F.pmod("h", F.lit(FILTER_BITS)), F.pmod(F.shiftrightunsigned("h", 32), F.lit(FILTER_BITS)))
+    place = often.select(F.explode(places).alias("p"))
+    word = place.groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 32 as int))")).alias("b"))  # at most FILTER_BITS / 32 rows
+    filled = np.zeros(FILTER_BITS // 32, np.uint32)
+    for w, b in word.toLocalIterator():
+        filled[w] = b
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(1).to_numpy().view(np.uint64)
+            at = [(h % np.uint64(FILTER_BITS)).astype(np.int64), (h >> np.uint64(32)).astype(np.int64) % FILTER_BITS]
+            yield batch.filter(pa.array(np.logical_and(*[(filled[a >> 5] >> (a & 31).astype(np.uint32) & np.uint32(1)).astype(bool) for a in at])))
+
+    return parts.select("lang", "h", "docs", "term", "sources", "ns").mapInArrow(passing, parts.schema)
+
+
+def kept_terms(parts: DataFrame, min_docs: int = 30) -> tuple[DataFrame, DataFrame]:
+    """(lang, tid, item) of each language's terms in at least ``min_docs`` documents, and their (lang, source, tid, n)."""
+    often = written(parts.groupBy("lang", "h").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("lang", "h"), "often")
+    near = written(_passing(parts, often).join(often, ["lang", "h"], "left_semi"), "near", [parts])
+    strings = written(near.groupBy("lang", "h").agg(F.min("term").alias("lo"), F.max("term").alias("hi")), "strings")
+    shared = near.join(strings.where("lo <> hi").select("lang", "h"), ["lang", "h"], "left_semi")
+    split = shared.groupBy("lang", "h", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
+    kept = strings.where("lo = hi").select("lang", "h", F.col("lo").alias("item"), F.lit(False).alias("split"))
+    kept = kept.unionByName(split.select("lang", "h", F.col("term").alias("item"), F.lit(True).alias("split")))
+    kept = written(kept.withColumn("tid", F.monotonically_increasing_id()), "kept", [strings])  # numbered once, then fixed
+    by_source = F.explode(F.arrays_zip("sources", "ns")).alias("c")
+    plain = near.select("lang", "h", by_source).groupBy("lang", F.col("c.sources").alias("source"), "h").agg(F.sum("c.ns").alias("n"))
+    plain = plain.join(kept.where("not split").select("lang", "h", "tid"), ["lang", "h"])
+    again = near.join(kept.where("split").select("lang", "h", F.col("item").alias("term"), "tid"), ["lang", "h", "term"])
+    again = again.select("lang", "tid", by_source).groupBy("lang", F.col("c.sources").alias("source"), "tid").agg(F.sum("c.ns").alias("n"))
+    cells = plain.select("lang", "source", "tid", "n").unionByName(again.select("lang", "source", "tid", "n"))
+    return kept.select("lang", "tid", "item"), written(cells, "cells", [often, near])
 
 
 def _part(count: str, total: str, distinct: str) -> Column:
@@ -78,26 +124,6 @@ def _part(count: str, total: str, distinct: str) -> Column:
     return F.when(F.col(distinct) > 0, 1 + whole)
 
 
-def kept_terms(parts: DataFrame, min_docs: int = 30) -> tuple[DataFrame, DataFrame]:
-    """(lang, tid, item, lang_n) of each language's terms in at least ``min_docs`` documents, and their (lang, source, tid, n)."""
-    counts = written(parts.groupBy("lang", "source", "h").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "counts")
-    often = counts.groupBy("lang", "h").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).where(F.col("docs") >= min_docs).select("lang", "h", "lang_n")
-    often = written(often, "often")
-    strings = parts.join(often, ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("term").alias("lo"), F.max("term").alias("hi"))
-    strings = written(strings, "strings")
-    shared = strings.where("lo <> hi").select("lang", "h")
-    again = parts.join(shared, ["lang", "h"], "left_semi").groupBy("lang", "source", "h", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    again = written(again, "split")
-    split = again.groupBy("lang", "h", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).where(F.col("docs") >= min_docs)
-    plain = strings.where("lo = hi").join(often, ["lang", "h"]).select("lang", "h", F.col("lo").alias("item"), "lang_n", F.lit(False).alias("split"))
-    kept = plain.unionByName(split.select("lang", "h", F.col("term").alias("item"), "lang_n", F.lit(True).alias("split")))
-    kept = written(kept.withColumn("tid", F.monotonically_increasing_id()), "kept")  # numbered once, then fixed
-    number = kept.select("lang", "h", "tid", "item", "split")
-    cells = counts.join(number.where("not split").select("lang", "h", "tid"), ["lang", "h"]).select("lang", "source", "tid", "n")
-    cells = cells.unionByName(again.join(number.where("split").select("lang", "h", "tid", F.col("item").alias("term")), ["lang", "h", "term"]).select("lang", "source", "tid", "n"))
-    return kept.select("lang", "tid", "item", "lang_n"), written(cells, "cells", [counts, often, strings, again])
-
-
 def _distances(rows: pa.Table) -> pa.Table:
     """Summed differences of a tile pair over the terms of one block that some source here has; rows without tid give each source's p0."""
     lang, lo, hi = (rows.column(c)[0].as_py() for c in ("lang", "lo", "hi"))
@@ -138,12 +164,11 @@ def source_distances(groups: DataFrame, cells: DataFrame) -> DataFrame:
     return pairs.select("lang", "source", "item", (F.coalesce("total", F.lit(0)) + F.coalesce(rest, F.lit(0))).alias("value"))
 
 
-def audit(docs: DataFrame, min_docs: int = 30, top: int = 50, flush: int = 100_000, bits: int = 64) -> DataFrame:
+def audit(docs: DataFrame, min_docs: int = 30, top: int = 50, flush: int = 400_000, bits: int = 64) -> DataFrame:
     """(lang, source, part, item, value, rank): part ``pair``, distances to the other sources; part ``term``, terms over the language's share."""
-    parts = fragments(docs, flush, bits)
-    kept, cells = kept_terms(parts, min_docs)
-    discard(parts)
-    langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total"))
+    kept, cells = kept_terms(fragments(docs, flush, bits), min_docs)
+    whole = written(cells.groupBy("lang", "tid").agg(F.sum("n").alias("lang_n")), "languages")
+    langs = whole.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total"))
     groups = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source"))).distinct()
     groups = groups.join(cells.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left").join(langs, "lang", "left")
     groups = groups.select("lang", "source", F.coalesce("v", F.lit(0)).cast("long").alias("v"), F.coalesce("total", F.lit(0)).cast("long").alias("total"), "lang_total").withColumn("zero", F.lit(0).cast("long"))
@@ -152,7 +177,7 @@ def audit(docs: DataFrame, min_docs: int = 30, top: int = 50, flush: int = 100_0
     pairs = source_distances(groups, shares.select("lang", "source", "tid", "p"))
     by_value = Window.partitionBy("lang", "source").orderBy(F.col("value").desc())
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(by_value.orderBy(F.col("value").desc(), "item")).alias("rank"))
-    over = shares.join(kept.select("lang", "tid", "lang_n"), ["lang", "tid"]).select("lang", "source", "tid", (F.col("p") - _part("lang_n", "lang_total", "v")).alias("value")).where("value > 0")
+    over = shares.join(whole, ["lang", "tid"]).select("lang", "source", "tid", (F.col("p") - _part("lang_n", "lang_total", "v")).alias("value")).where("value > 0")
     over = over.withColumn("place", F.rank().over(by_value)).where(F.col("place") <= top).drop("place")  # ties of the last place are settled by text
     over = over.join(kept.select("lang", "tid", "item"), ["lang", "tid"]).withColumn("rank", F.row_number().over(by_value.orderBy(F.col("value").desc(), "item"))).where(F.col("rank") <= top)
     return pairs.unionByName(over.select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank"))
