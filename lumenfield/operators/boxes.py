@@ -105,6 +105,12 @@ def holds(box: DataFrame, key: str) -> bool:
     return not box.where(F.col("basename") == key).isEmpty()
 
 
+def held(box: DataFrame, keys: DataFrame) -> DataFrame:
+    """``keys`` (name, any columns) with found: whether the exact name is in the box. A null name is not."""
+    names_ = box.select(F.col("basename").alias("name")).where("name is not null").distinct().withColumn("found", F.lit(True))
+    return keys.join(names_, "name", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def example(box: DataFrame, target: str) -> DataFrame:
     """Exposures of the target's visit and sequence."""
     return box.where(F.col("basename").contains(names.visit_prefix(F.lit(target))))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import polygon
 from ..functions.columns import all_of, let
 from ..scratch import written
+from .order import numbered
 
 
 def _cells(lo: Column, hi: Column, size: float) -> Column:
@@ -24,7 +29,7 @@ def gridded(fps: DataFrame, cell: float) -> DataFrame:
     return out.withColumn("gx", F.explode(_cells(F.col("bb.x0"), F.col("bb.x1"), cell))).withColumn("gy", F.explode(_cells(F.col("bb.y0"), F.col("bb.y1"), cell)))
 
 
-LEAF = ["sx", "sy", "li", "ri"]
+LEAF = ["_sx", "_sy", "_li", "_ri"]
 
 
 def leaves(left: DataFrame, right: DataFrame, on: list[str], cell: float, most: int) -> tuple[DataFrame, DataFrame]:
@@ -50,10 +55,10 @@ def leaves(left: DataFrame, right: DataFrame, on: list[str], cell: float, most:
         side = side.join(hot, on, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1).cast("long")))
         sub = lambda c, g: sub_cell(F.col(f"bb.{c}"), F.col(g), cell)
         spread = lambda axis: F.explode(F.sequence(sub(f"{axis}0", f"g{axis}"), sub(f"{axis}1", f"g{axis}")))
-        return side.withColumn("sx", spread("x")).withColumn("sy", spread("y"))
+        return side.withColumn("_sx", spread("x")).withColumn("_sy", spread("y"))
 
     left, right = divided(left), divided(right)
-    own = [*on, "sx", "sy"]
+    own = [*on, "_sx", "_sy"]
     deal = counted(own, left, right).where((F.col("l") > 0) & (F.col("r") > 0)).where((F.col("l") > most) | (F.col("r") > most))
     deal = written(deal.select(*own, F.ceil(F.col("l") / most).cast("long").alias("_kl"), F.ceil(F.col("r") / most).cast("long").alias("_kr")), "dealt_cells")
 
@@ -63,7 +68,7 @@ def leaves(left: DataFrame, right: DataFrame, on: list[str], cell: float, most:
         side = side.withColumn(mine, F.pmod(F.col("_row"), F.col(mine_k)))
         return side.withColumn(others, F.explode(F.sequence(F.lit(0).cast("long"), F.col(others_k) - 1))).drop("_kl", "_kr", "_row")
 
-    return numbered_off(left, "li", "_kl", "ri", "_kr"), numbered_off(right, "ri", "_kr", "li", "_kl").drop("_parts")
+    return numbered_off(left, "_li", "_kl", "_ri", "_kr"), numbered_off(right, "_ri", "_kr", "_li", "_kl").drop("_parts")
 
 
 def sub_cell(at: Column, g: Column, cell: float) -> Column:
@@ -89,7 +94,7 @@ def overlap_pairs(fps: DataFrame, key: str = "fp_id", same: tuple[str, ...] = ()
     right = right.select(*on, *LEAF, F.col(key).alias("b"), F.col("q").alias("qb"), F.col("bb").alias("b_"))
     meet = (F.col("a") < F.col("b")) & (F.greatest("ba.x0", "b_.x0") <= F.least("ba.x1", "b_.x1")) & (F.greatest("ba.y0", "b_.y0") <= F.least("ba.y1", "b_.y1"))
     x, y = F.greatest("ba.x0", "b_.x0"), F.greatest("ba.y0", "b_.y0")
-    home = (F.floor(x / cell) == F.col("gx")) & (F.floor(y / cell) == F.col("gy")) & (sub_cell(x, F.col("gx"), cell) == F.col("sx")) & (sub_cell(y, F.col("gy"), cell) == F.col("sy"))
+    home = (F.floor(x / cell) == F.col("gx")) & (F.floor(y / cell) == F.col("gy")) & (sub_cell(x, F.col("gx"), cell) == F.col("_sx")) & (sub_cell(y, F.col("gy"), cell) == F.col("_sy"))
     # the shared area is no larger than that of the common box
     common = (F.least("ba.x1", "b_.x1") - F.greatest("ba.x0", "b_.x0")) * (F.least("ba.y1", "b_.y1") - F.greatest("ba.y0", "b_.y0"))
     enough = common * (1 + 1e-9) >= min_fraction * F.least("qa.area", "qb.area")
@@ -119,7 +124,7 @@ def search(fps: DataFrame, targets: DataFrame, same: tuple[str, ...] = (), min_f
     t = right.select(*on, *LEAF, F.col(key).alias("target"), F.col("vertices").alias("tv"), F.col("bb").alias("tb"))
     x, y = F.greatest("bb.x0", "tb.x0"), F.greatest("bb.y0", "tb.y0")
     near = (x <= F.least("bb.x1", "tb.x1")) & (y <= F.least("bb.y1", "tb.y1"))
-    home = (F.floor(x / cell) == F.col("gx")) & (F.floor(y / cell) == F.col("gy")) & (sub_cell(x, F.col("gx"), cell) == F.col("sx")) & (sub_cell(y, F.col("gy"), cell) == F.col("sy"))
+    home = (F.floor(x / cell) == F.col("gx")) & (F.floor(y / cell) == F.col("gy")) & (sub_cell(x, F.col("gx"), cell) == F.col("_sx")) & (sub_cell(y, F.col("gy"), cell) == F.col("_sy"))
     hit = left.join(t, [*on, *LEAF]).where(near & home).withColumn("fraction", polygon.overlap_fraction(F.col("vertices"), F.col("tv")))
     hit = hit.where(F.col("fraction") >= min_fraction).select(*fps.columns, "target", "fraction")
     if must_find and hit.isEmpty():
@@ -142,34 +147,94 @@ def points_in_footprints(points: DataFrame, fps: DataFrame, x: str = "ra", y: st
     return p.drop("bb", "_parts").join(g, [*on, *LEAF]).where(box & inside).drop(*on, *LEAF, "bb", "vertices", "_v", "_quad", "_p0", "_p1", "_p2", "_p3")
 
 
-def nearest_footprint(points: DataFrame, fps: DataFrame, id_: str = "id", x: str = "ra", y: str = "dec", key: str = "fp_id", cell: float = 0.2, max_rings: int = 30) -> DataFrame:
+def _spread(v: Column) -> Column:
+    """The low 30 bits of a long with a free bit between each two."""
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+    return v
+
+
+def curve(x: Column, y: Column, box: tuple[float, float, float, float]) -> Column:
+    """Place along the Z-order curve over ``box`` (x0, y0, x1, y1); what lies outside counts to its border."""
+    steps = (1 << 30) - 1
+    at = lambda c, lo, hi: F.floor(F.greatest(F.least((c - lo) / ((hi - lo) or 1.0), F.lit(1.0)), F.lit(0.0)) * steps).cast("long")
+    return _spread(at(x, box[0], box[2])).bitwiseOR(F.shiftleft(_spread(at(y, box[1], box[3])), 1))
+
+
+def nearest_footprint(points: DataFrame, fps: DataFrame, id_: str = "id", x: str = "ra", y: str = "dec", key: str = "fp_id", leaf: int = 256, most_leaves: int = 65_536, most_points: int = 50_000) -> DataFrame:
     """Each point with the footprint whose centre is nearest by planar squared distance; ties by the least key.
 
-    Points look into the 3 x 3 cells about theirs; those whose best is farther than the ring is wide look into wider
-    rings, doubling the cell, until all are answered, so no point is compared with all footprints but the last, sparse ones.
-    Points with a null id or coordinate have no footprint; without footprints there are answers for such points only.
+    Centres are cut along a space-filling curve into leaves of equal numbers of them (``leaf``, or as many more as keep it to
+    ``most_leaves``), so that leaves are small where centres are dense. In a first pass a point asks the leaf at its own place on
+    the curve; its best there is a bound. The leaves' boxes, at most ``most_leaves`` of them, say which others can hold a centre within that bound, and these
+    are asked in the second pass. Points of a crowded leaf are dealt over several tasks. Points with a null id or coordinate have no
+    footprint; without footprints there are answers for such points only.
     """
-    left = points.select(F.col(id_).alias("_id"), F.col(x).alias("_x"), F.col(y).alias("_y")).distinct()
+    left = points.select(F.col(id_).alias("_id"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).distinct()
     placed = F.col("_id").isNotNull() & F.col("_x").isNotNull() & F.col("_y").isNotNull()
-    answers = left.where(~placed).select(F.col("_id").alias(id_), F.col("_x").alias(x), F.col("_y").alias(y), F.lit(None).cast(fps.schema[key].dataType).alias(key), F.lit(None).cast("double").alias("d2"))
-    c = fps.withColumn("c", polygon.centroid(F.col("vertices"))).select(key, F.col("c.x").alias("cx"), F.col("c.y").alias("cy"))
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    c = c.where("cx is not null and cy is not null")
-    todo = written(left.where(placed), "points")
-    for _ in range(max_rings):
-        cells = todo.select("_id", "_x", "_y", F.explode(around).alias("o")).select("_id", "_x", "_y", (F.floor(F.col("_x") / cell) + F.col("o.i")).alias("gx"), (F.floor(F.col("_y") / cell) + F.col("o.j")).alias("gy"))
-        homes = c.withColumn("gx", F.floor(F.col("cx") / cell)).withColumn("gy", F.floor(F.col("cy") / cell))
-        d2 = F.pow(F.col("cx") - F.col("_x"), 2) + F.pow(F.col("cy") - F.col("_y"), 2)
-        best = cells.join(homes, ["gx", "gy"]).groupBy("_id", "_x", "_y").agg(F.min(F.struct(d2.alias("d2"), F.col(key).alias(key))).alias("best"))
-        # a centre outside the ring is at least one cell away
-        best = written(todo.join(best, ["_id", "_x", "_y"], "left").withColumn("done", F.coalesce(F.col("best.d2") <= cell * cell, F.lit(False))), "nearest")
-        found = best.where("done").select(F.col("_id").alias(id_), F.col("_x").alias(x), F.col("_y").alias(y), F.col(f"best.{key}").alias(key), F.col("best.d2").alias("d2"))
-        answers = answers.unionByName(found)
-        todo = best.where(~F.col("done")).select("_id", "_x", "_y")
-        if todo.isEmpty() or c.isEmpty():
-            return answers
-        cell *= 2
-    raise ValueError("points are too far from all footprints")
+    kind, id_kind = fps.schema[key].dataType.simpleString(), points.schema[id_].dataType.simpleString()
+    answers = left.where(~placed).select(F.col("_id").alias(id_), F.col("_x").alias(x), F.col("_y").alias(y), F.lit(None).cast(kind).alias(key), F.lit(None).cast("double").alias("d2"))
+    c = fps.withColumn("c", polygon.centroid(F.col("vertices"))).select(F.col(key).alias("_key"), F.col("c.x").alias("cx"), F.col("c.y").alias("cy")).where("cx is not null and cy is not null")
+    c = written(c, "centres")
+    n, *box = c.agg(F.count(F.lit(1)), F.min("cx"), F.min("cy"), F.max("cx"), F.max("cy")).first()
+    if not n:
+        return answers
+    size = max(leaf, -(-n // most_leaves))
+    c = numbered(c.withColumn("z", curve(F.col("cx"), F.col("cy"), box)), "z", "_key")
+    c = written(c.withColumn("leaf", F.floor(F.col("ord") / size).cast("long")).drop("ord"), "leaves", [c])
+    edges = c.groupBy("leaf").agg(F.min("z").alias("z"), *(f(v).alias(a) for v in ("cx", "cy") for f, a in ((F.min, f"{v}0"), (F.max, f"{v}1")))).orderBy("leaf").toArrow()  # ``most_leaves`` rows at most
+    first, x0, x1, y0, y1 = (edges.column(i).to_numpy() for i in range(1, 6))
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.clip(np.searchsorted(first, batch.column(3).to_numpy(), "right") - 1, 0, None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(at.astype(np.int64))], ["_id", "_x", "_y", "leaf"])
+
+    todo = left.where(placed).select("_id", "_x", "_y", curve(F.col("_x"), F.col("_y"), box).alias("z"))
+    todo = written(todo.mapInArrow(home, f"_id {id_kind}, _x double, _y double, leaf long"), "points")
+
+    def best_in(p: pa.Table, t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Least squared distance of each point to a leaf's centres, and which; centres are in the order of their keys."""
+        px, py, cx, cy = (v.to_numpy() for v in (p.column("_x"), p.column("_y"), t.column("cx"), t.column("cy")))
+        d, at = np.empty(len(px)), np.empty(len(px), np.int64)
+        rows = max(1, (1 << 20) // len(cx))
+        for lo in range(0, len(px), rows):
+            s = slice(lo, lo + rows)
+            d2 = (cx[None, :] - px[s, None]) ** 2 + (cy[None, :] - py[s, None]) ** 2
+            at[s] = d2.argmin(axis=1)
+            d[s] = d2[np.arange(len(d2)), at[s]]
+        return d, at
+
+    def ask(p: pa.Table, t: pa.Table, others: bool) -> pa.Table:
+        if not p.num_rows or not t.num_rows:
+            return p.slice(0, 0).select(["_id", "_x", "_y"]).append_column("_key", pa.array([], t.schema.field("_key").type)).append_column("d2", pa.array([], pa.float64())).append_column("ask", pa.array([], pa.list_(pa.int64())))
+        t = t.sort_by("_key")
+        d, at = best_in(p, t)
+        lists: list = [[]] * len(d)
+        if others:
+            px, py, own = p.column("_x").to_numpy(), p.column("_y").to_numpy(), p.column("leaf")[0].as_py()
+            for s in (slice(i, i + 256) for i in range(0, len(d), 256)):
+                gap = lambda lo, hi, a, b: np.maximum(np.maximum(lo - b, a - hi), 0)
+                far = np.sqrt(d[s].max()) * (1 + 1e-9)
+                near = np.flatnonzero((gap(x0, x1, px[s].min(), px[s].max()) <= far) & (gap(y0, y1, py[s].min(), py[s].max()) <= far))
+                near = near[near != own]
+                d2 = gap(x0[near], x1[near], px[s, None], px[s, None]) ** 2 + gap(y0[near], y1[near], py[s, None], py[s, None]) ** 2
+                lists[s] = [near[row].tolist() for row in d2 <= d[s, None] * (1 + 1e-9)]
+        out = p.select(["_id", "_x", "_y"]).append_column("_key", t.column("_key").take(pa.array(at)))
+        return out.append_column("d2", pa.array(d)).append_column("ask", pa.array(lists, pa.list_(pa.int64())))
+
+    schema = f"_id {id_kind}, _x double, _y double, _key {kind}, d2 double, ask array<long>"
+
+    def passed(asking: DataFrame, others: bool) -> DataFrame:
+        parts = written(asking.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / most_points).cast("long").alias("_k")), "leaf_parts")
+        own = asking.join(parts, "leaf").withColumn("part", F.pmod(F.xxhash64("_id", "_x", "_y"), F.col("_k"))).drop("_k")
+        centres = c.join(parts, "leaf").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1))).select("leaf", "part", "_key", "cx", "cy")
+        return own.groupBy("leaf", "part").cogroup(centres.groupBy("leaf", "part")).applyInArrow(lambda p, t: ask(p, t, others), schema)
+
+    one = written(passed(todo, True), "first_pass", [todo])
+    two = passed(one.select("_id", "_x", "_y", F.explode("ask").alias("leaf")), False)
+    best = one.unionByName(two).groupBy("_id", "_x", "_y").agg(F.min(F.struct("d2", "_key")).alias("b"))
+    return answers.unionByName(best.select(F.col("_id").alias(id_), F.col("_x").alias(x), F.col("_y").alias(y), F.col("b._key").alias(key), F.col("b.d2").alias("d2")))
 
 
 def near_pairs(points: DataFrame, eps: float = 0.1, key: str = "id", x: str = "ra", y: str = "dec") -> DataFrame:

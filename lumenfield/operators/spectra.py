@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
 from . import order as order_
 from .stats import HELD, MAD_ROUNDED, quantiles
 
@@ -25,9 +26,12 @@ def wave_steps(waves: DataFrame, by: str = "spec_id", wave: str = "wavelength")
     return waves.withColumn("step", F.col(wave) - F.lag(wave).over(w)).where("step is not null")
 
 
-def _median(df: DataFrame, value: str) -> DataFrame:
-    """The exact median of a column in one row: equal values are counted first, then placed by ranges, never in one task."""
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+def _median(df: DataFrame, value: str, held: int = HELD) -> DataFrame:
+    """The exact median of a column in one row: equal values are counted first; up to ``held`` different ones are one
+    aggregate's, more are placed by ranges, never in one task."""
+    counts = written(df.groupBy(value).agg(F.count(F.lit(1)).alias("_n")), "steps")
+    if counts.count() <= held:
+        return counts.agg(F.percentile(value, F.lit(0.5), F.col("_n")).alias(value))
     placed = order_.numbered(counts, value, weight="_n", before="_before")
     total = placed.agg(F.sum("_n").alias("_total"))
     holds = lambda k: (F.col("_before") <= k) & (k < F.col("_before") + F.col("_n"))

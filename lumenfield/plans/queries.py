@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, polygon
-from ..operators import boxes, listing, pixels, pointing, spatial, spectra, stats, wcs
+from ..operators import boxes, jobs, listing, pixels, pointing, spatial, spectra, stats, tiles, wcs
 from ..scratch import written
 from .fixtures import oracle, view
 
@@ -435,8 +435,8 @@ def _smooth_sql(tail: str) -> str:
 with b as (select image_id, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1, median(sci) as med from v_pixels where sci is not null group by image_id),
 p as (select p.image_id, y - y0 as y, x - x0 as x, coalesce(sci, 0e0) as num, case when sci is null then 0e0 else 1e0 end as den, x1 - x0 + 1 as w, y1 - y0 + 1 as h, x0, y0, med
   from v_pixels p join b on p.image_id = b.image_id where x between x0 and x1 and y between y0 and y1),
-o as (select unnest([-2, -1, 0, 1, 2]) as o),
-k as (select o, exp(-o * o / 2e0) / (select sum(exp(-o * o / 2e0)) from o) as f from o),
+o as (select unnest(range(-15, 16)) as o),
+k as (select o, exp(-o * o / 1.125e2) / (select sum(exp(-o * o / 1.125e2)) from o) as f from o),
 c1 as (select p.image_id, p.y, p.x, sum(f * q.num) as num, sum(f * q.den) as den from p join k on true join p q on p.image_id = q.image_id and p.y = q.y and q.x = {mirror('p.x + o', 'p.w')} group by p.image_id, p.y, p.x),
 c2 as (select p.image_id, p.y, p.x, sum(f * q.num) as num, sum(f * q.den) as den from p join k on true join c1 q on p.image_id = q.image_id and p.x = q.x and q.y = {mirror('p.y + o', 'p.h')} group by p.image_id, p.y, p.x),
 s as (select p.image_id, p.y + p.y0 as y, p.x + p.x0 as x, case when c2.den > 1e-12 then c2.num / c2.den else med end as smooth from p join c2 on p.image_id = c2.image_id and p.y = c2.y and p.x = c2.x)
@@ -445,13 +445,13 @@ s as (select p.image_id, p.y + p.y0 as y, p.x + p.x0 as x, case when c2.den > 1e
 
 @query(_smooth_sql("select v.image_id, v.y, v.x, round(smooth, 6) as smooth from v_pixels v left join s on v.image_id = s.image_id and v.y = s.y and v.x = s.x"))
 def smooth_plane(spark, d):
-    return pixels.smooth(_px(spark, d), 2, 2, 1.0).select("image_id", "y", "x", r6("smooth").alias("smooth"))
+    return pixels.smooth(_px(spark, d)).select("image_id", "y", "x", r6("smooth").alias("smooth"))
 
 
 @query(_smooth_sql("select v.image_id, v.y, v.x, round(case when dq <> 0 and x_in then smooth else sci end, 6) as filled from (select v.*, v.x between x0 and x1 and v.y between y0 and y1 as x_in from v_pixels v join b on v.image_id = b.image_id) v left join s on v.image_id = s.image_id and v.y = s.y and v.x = s.x"))
 def fill_masked(spark, d):
     p = _px(spark, d)
-    model = pixels.smooth(p, 2, 2, 1.0).withColumnRenamed("smooth", "model")
+    model = pixels.smooth(p).withColumnRenamed("smooth", "model")
     return pixels.fill_masked(p, model, F.col("dq") != 0).select("image_id", "y", "x", r6("filled").alias("filled"))
 
 
@@ -651,11 +651,14 @@ def counterparts(spark, d):
 
 @query()
 def counterpart_planes(spark, d):
-    """Those images on the grids of the fields, extended by a few pixels."""
+    """The values of those images on the fields' grids with their whole extension, by tile: places with a value, their sum, the first and last places.
+
+    Tests hold it against a brute-force version."""
     p = _px(spark, d)
-    near = {"A": {"left": 110, "bottom": 10, "right": 20, "top": 10}, "B": {"left": 20, "bottom": 10, "right": 110, "top": 10}}
     grism, images = _fields(p)
-    return wcs.counterpart_planes(grism, images, _wcs(p), p, near)
+    planes = wcs.counterpart_planes(grism, images, _wcs(p), p, missing=False)
+    tile = [F.floor(F.col(c) / tiles.SIDE).alias(n) for c, n in (("oy", "tile_y"), ("ox", "tile_x"))]
+    return planes.groupBy("target", "filter", "image_id", *tile).agg(F.count("value").alias("n"), r6(F.sum("value")).alias("total"), F.min(F.struct("oy", "ox")).alias("first"), F.max(F.struct("oy", "ox")).alias("last"))
 
 
 @query("""
@@ -674,15 +677,74 @@ def reproject_bilinear(spark, d):
     return wcs.reproject(p, t).select("image_id", "oy", "ox", r6("value").alias("value"))
 
 
-@query()
+def _sky_sql(x: str, y: str, rows: str) -> str:
+    """``rows`` (with image_id) and the sky position of their pixel (x, y)."""
+    return f"""(select *, a0 + degrees(atan2(xi, cos(d0) - eta * sin(d0))) as ra, degrees(atan2(sin(d0) + eta * cos(d0), sqrt(xi * xi + power(cos(d0) - eta * sin(d0), 2)))) as dec
+  from (select *, radians(-1e-4 * ({x} - 3.15e1) + 2e-5 * ({y} - 1.95e1)) as xi, radians(2e-5 * ({x} - 3.15e1) + 1e-4 * ({y} - 1.95e1)) as eta, 1e1 + image_id * 1e-1 as a0, radians(-5e0 + image_id * 2e-1) as d0 from {rows}) q)"""
+
+
+@query(f"""
+with t as (select distinct image_id, image_id * 10 + 1 as source_id, x, 1e1 + x * 2.5e-1 as y_trace, 3.8e0 + x * 1e-2 as wavelength from v_pixels where x between 2 and 61),
+k as (select image_id, corner, ra, dec from {_sky_sql("px", "py", "(select image_id, unnest([0, 1, 2, 3]) as corner, unnest([0, 63, 63, 0]) as px, unnest([0, 0, 39, 39]) as py from (select distinct image_id from v_pixels) i) c")} k),
+e as (select a.image_id, a.corner, a.ra as x0, a.dec as y0, b.ra as x1, b.dec as y1, o.ra as ox, o.dec as oy from k a join k b on a.image_id = b.image_id and b.corner = (a.corner + 1) % 4 join k o on a.image_id = o.image_id and o.corner = 0),
+w as (select *, (x0 - ox) * (y1 - oy) - (x1 - ox) * (y0 - oy) as c from e),
+f as (select image_id, min(ox) + sum((x0 + x1 - 2 * ox) * c) / (3 * sum(c)) as cx, min(oy) + sum((y0 + y1 - 2 * oy) * c) / (3 * sum(c)) as cy, sign(sum(c)) as turn from w group by image_id),
+g as (select id, ra, dec from v_catalog where cast(floor(id / 10) as bigint) % 100 = 0),
+n as (select id, image_id from (select id, ra, dec, image_id, row_number() over (partition by id, ra, dec order by power(cx - ra, 2) + power(cy - dec, 2), image_id) as r from (select distinct id, ra, dec from g) g, f) x where r = 1),
+z as (select image_id, x, ra as sx, dec as sy from {_sky_sql("x", "y_trace", "t")} z where x in (2, 61)),
+h as (select distinct n.id, c.image_id from (select distinct id, image_id from n) n join z on n.image_id = z.image_id, (
+  select w.image_id, x0, y0, x1, y1, turn from w join f on w.image_id = f.image_id) c group by n.id, z.x, z.image_id, c.image_id having bool_and(turn * ((x1 - x0) * (sy - y0) - (y1 - y0) * (sx - x0)) > 0)),
+r as (select id, t.*, unnest([0, 1, 2, 3, 4]) as row from t join h on t.image_id = h.image_id)
+select id, r.image_id, source_id, r.x, row, cast(row_number() over (partition by id, r.image_id, source_id, row order by wavelength, r.x) - 1 as integer) as wave_no,
+  round(wavelength, 6) as wavelength, round(sci, 6) as flux, round(err, 6) as err
+from r left join v_pixels p on p.image_id = r.image_id and p.x = r.x and p.y = cast(round_even(y_trace, 0) as bigint) - 2 + row""")
 def extract_spectra(spark, d):
-    """Cut-outs of every source whose id is divisible by 100, over all grism exposures that its spectrum crosses."""
+    """Cut-outs of the sources of every hundredth order, over all grism exposures that hold an end of the spectrum in their nearest exposure."""
     p = _px(spark, d)
     w = _wcs(p)
     exposures = wcs.footprints(w).select(F.col("image_id").alias("ord"), "image_id", F.lit("GRISMR").alias("pupil"), "vertices")
-    trace = _trace(p).join(w, "image_id").withColumn("s", wcs.pixel_to_sky(F.col("x").cast("double"), F.col("y_trace")))
+    # ends inside the image: the first and last column lie on the footprint's sides
+    trace = _trace(p).where("x between 2 and 61").join(w, "image_id").withColumn("s", wcs.pixel_to_sky(F.col("x").cast("double"), F.col("y_trace")))
     trace = trace.select("image_id", "source_id", "x", "y_trace", "wavelength", F.col("s.ra").alias("sx"), F.col("s.dec").alias("sy"))
-    return spectra.extract(exposures, p, trace, view(spark, d, "v_catalog").where("id % 100 = 0"), 5)
+    out = spectra.extract(exposures, p, trace, view(spark, d, "v_catalog").where("floor(id / 10) % 100 = 0"), 5)
+    return out.select("id", "image_id", "source_id", "x", "row", "wave_no", r6("wavelength").alias("wavelength"), r6("flux").alias("flux"), r6("err").alias("err"))
+
+
+@query(_smooth_sql("""select v.image_id, v.y, v.x, round(coalesce(smooth, a), 6) as smooth from v_pixels v join (select image_id, avg(sci) as a from v_pixels group by image_id) m on v.image_id = m.image_id
+left join s on v.image_id = s.image_id and v.y = s.y and v.x = s.x""").replace("from v_pixels", "from w").replace("\nwith ", "\nwith w as (select image_id, y, x, case when x >= 4 and y >= 3 then sci end as sci from v_pixels),\n", 1))
+def outer_fill(spark, d):
+    """Smoothed planes whose data leave columns and rows free at two sides, filled there with the image's mean."""
+    p = _px(spark, d).withColumn("sci", F.when((F.col("x") >= 4) & (F.col("y") >= 3), F.col("sci")))
+    return pixels.smooth(p, fill="mean").select("image_id", "y", "x", r6("smooth").alias("smooth"))
+
+
+@query(f"with k as (select distinct {_BASE} as basename from v_exposures), n as (select exposure_id, filename, {_BASE} as base from v_exposures where exposure_id % 10 = 0), a as (select exposure_id, unnest([filename, base, 'no_' || base]) as name from n) select exposure_id, name, name in (select basename from k) as found from a")
+def contains_keys(spark, d):
+    """Whether the names of files, of their exposures, and made-up names are keys of the box."""
+    box = _box(spark, d)
+    asked = box.where("exposure_id % 10 = 0").select("exposure_id", F.explode(F.array("filename", "basename", F.concat(F.lit("no_"), "basename"))).alias("name"))
+    return boxes.held(box, asked).select("exposure_id", "name", "found")
+
+
+@query()
+def random_target(spark, d):
+    """The one exposure that stands for a target when none is given."""
+    return boxes.random_target(_box(spark, d).select("basename", "filename")).select("basename", "filename")
+
+
+def _checked_product(product: dict) -> None:
+    """The work on one product: its name must end as its suffix says, and products of stage 1b are refused."""
+    if not product["filename"].endswith(product["file_suffix"] + ".fits"):
+        raise ValueError("name and suffix differ")
+    if product["category"] == "1b":
+        raise RuntimeError("stage 1b is not reduced")
+
+
+@query("select case when category = '1b' then 'failed' else 'ok' end as status, case when category = '1b' then 'RuntimeError: stage 1b is not reduced' end as error, count(*) as n from v_products group by all")
+def batch_outcomes(spark, d):
+    """Work on every product, with an outcome instead of a failure of the job, counted by outcome."""
+    done = jobs.run(view(spark, d, "v_products"), _checked_product, "filename")
+    return done.groupBy("status", "error").agg(F.count(F.lit(1)).alias("n"))
 
 
 def queries() -> dict[str, Query]:

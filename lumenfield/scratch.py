@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
 import weakref
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +15,25 @@ _OWN: dict[str, str] = {}
 _FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 #: Spark's setting by which the shuffle files of a query go when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_LOCK = threading.Lock()
+_CLEANING: weakref.WeakKeyDictionary[SparkSession, list] = weakref.WeakKeyDictionary()
+
+
+@contextlib.contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """The setting is on while any thread of the session is inside, and as it was before once the last one has left."""
+    with _LOCK:
+        held = _CLEANING.setdefault(spark, [0, spark.conf.get(CLEANUP, "false")])
+        held[0] += 1
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _LOCK:
+            held[0] -= 1
+            if not held[0]:
+                spark.conf.set(CLEANUP, held[1])
+                _CLEANING.pop(spark, None)
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -36,12 +57,8 @@ def written(df: DataFrame, name: str = "table", spent: Iterable[DataFrame] = ())
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _cleaning(spark):
         df.select("*").write.option("compression", "zstd").parquet(path)  # a plan made under the setting
-    finally:
-        spark.conf.set(CLEANUP, before)
     discard(*spent)
     out = spark.read.schema(df.schema).parquet(path)
     _FOLDERS[out] = path

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,14 +42,14 @@ def _value(text: str):
             return text or None
 
 
-def units(data: bytes) -> Iterator[tuple[dict, int, int]]:
-    """(header, start of data, bytes of data) of each header and data unit."""
-    at = 0
-    while at + BLOCK <= len(data):
+def walk(read: Callable[[int, int], bytes]) -> Iterator[tuple[dict, int, int]]:
+    """(header, start of data, bytes of data) of each header and data unit; ``read(at, n)`` is asked for header blocks only."""
+    at, block = 0, read(0, BLOCK)
+    while len(block) == BLOCK:
         head, done = {}, False
-        while not done and at + BLOCK <= len(data):
-            for i in range(at, at + BLOCK, CARD):
-                card = data[i : i + CARD].decode("ascii", "replace")
+        while not done and len(block) == BLOCK:
+            for i in range(0, BLOCK, CARD):
+                card = block[i : i + CARD].decode("ascii", "replace")
                 name = card[:8].strip()
                 if name == "END":
                     done = True
@@ -56,13 +57,21 @@ def units(data: bytes) -> Iterator[tuple[dict, int, int]]:
                 if card[8:10] == "= " and name not in head:
                     head[name] = _value(card[10:])
             at += BLOCK
+            if not done:
+                block = read(at, BLOCK)
         if not done:
             return
         n = abs(head.get("BITPIX", 8)) // 8 * head.get("GCOUNT", 1)
         axes = [head.get(f"NAXIS{k}", 0) for k in range(1, head.get("NAXIS", 0) + 1)]
-        size = n * (int(np.prod(axes)) + head.get("PCOUNT", 0)) if axes else 0
+        size = n * (math.prod(axes) + head.get("PCOUNT", 0)) if axes else 0
         yield head, at, size
         at += -(-size // BLOCK) * BLOCK
+        block = read(at, BLOCK)
+
+
+def units(data: bytes) -> Iterator[tuple[dict, int, int]]:
+    """``walk`` over the bytes of a file."""
+    return walk(lambda at, n: data[at : at + n])
 
 
 def headers(files_: DataFrame, stage: str) -> DataFrame:
@@ -114,8 +123,8 @@ def planes(files_: DataFrame, tile: int = 128) -> DataFrame:
 
 
 def pixels(tiles: DataFrame, image: str = "filepath") -> DataFrame:
-    """Long-form pixels (image_id, y, x, sci, err, dq) of tiles."""
+    """Long-form pixels (image_id, y, x, sci, err, dq) of tiles; dq is a long, as flags are unsigned 32-bit."""
     p = tiles.select(F.col(image).alias("image_id"), "plane", "y0", "x0", "width", F.posexplode("values").alias("i", "v"))
     p = p.select("image_id", "plane", (F.col("y0") + F.floor(F.col("i") / F.col("width"))).alias("y"), (F.col("x0") + F.col("i") % F.col("width")).alias("x"), "v")
     pick = lambda n: F.max(F.when(F.col("plane") == n, F.col("v")))
-    return p.groupBy("image_id", "y", "x").agg(pick("SCI").alias("sci"), pick("ERR").alias("err"), pick("DQ").cast("int").alias("dq"))
+    return p.groupBy("image_id", "y", "x").agg(pick("SCI").alias("sci"), pick("ERR").alias("err"), pick("DQ").cast("long").alias("dq"))

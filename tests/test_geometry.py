@@ -155,7 +155,7 @@ def test_components_do_not_depend_on_order_or_partitions(spark):
 
 def test_a_forest_kept_up_to_date_equals_the_components_of_all_edges(spark):
     rng = random.Random(6)
-    batches = [[(rng.randrange(300), rng.randrange(300)) for _ in range(40)] for _ in range(4)] + [[(299, 0), (5, 5), (None, 7)], []]
+    batches = [[(rng.randrange(300), rng.randrange(300)) for _ in range(60)] for _ in range(2)] + [[(299, 0), (5, 5), (None, 7)], []]
     forest, seen = spark.createDataFrame([], "node long, component long"), []
     for batch in batches:
         seen += batch
@@ -219,6 +219,23 @@ def test_nearest_footprint_against_brute_force(spark):
     assert got == pytest.approx({i: min((x - a) ** 2 + (y - b) ** 2 for _, a, b in fps) for i, x, y in pts})
 
 
+def test_nearest_over_uneven_densities_and_ties(spark):
+    """Two dense clusters, a sparse rest, coincident centres, points far outside and in the voids; small leaves, dealt points."""
+    rng = random.Random(7)
+    fps = [(i, *((rng.gauss(0, 1e-3), rng.gauss(0, 1e-3)) if i % 3 == 0 else (5 + rng.gauss(0, 1e-4), 5.0) if i % 3 == 1 else (rng.uniform(-20, 20), rng.uniform(-20, 20)))) for i in range(300)] + [(900 + i, 1.0, 1.0) for i in range(40)]
+    pts = [(i, rng.uniform(-30, 30), rng.uniform(-30, 30)) for i in range(150)] + [(200 + i, rng.gauss(0, 2e-3), rng.gauss(0, 2e-3)) for i in range(150)] + [(500, 1.0, 1.0), (501, 1e3, -1e3), (501, 1e3, -1e3), (502, None, 1.0)]
+    f = spark.createDataFrame([(f"k{i:04d}", [(x + dx, y + dy) for dx, dy in ((-0.5, -0.5), (0.5, -0.5), (0.5, 0.5), (-0.5, 0.5))]) for i, x, y in fps], f"fp_id string, vertices {TYPE}").repartition(5)
+    p = spark.createDataFrame(pts, "id long, ra double, dec double").repartition(3)
+    centre = {r["fp_id"]: tuple(r["c"]) for r in f.select("fp_id", polygon.centroid(F.col("vertices")).alias("c")).collect()}
+    for options in ({"leaf": 8, "most_points": 40}, {"leaf": 3, "most_leaves": 20}, {}):
+        got = {r["id"]: (r["fp_id"], r["d2"]) for r in spatial.nearest_footprint(p, f, **options).collect()}
+        assert set(got) == {i for i, *_ in pts} and got[502] == (None, None) and got[500][0] == "k0900"
+        for i, x, y in pts[:-1]:
+            d, k = min(((a - x) ** 2 + (b - y) ** 2, k) for k, (a, b) in centre.items())
+            assert got[i] == (k, pytest.approx(d, rel=1e-12, abs=1e-300)) or got[i][1] == pytest.approx(d, rel=1e-12)
+    assert spatial.nearest_footprint(p, f.limit(0)).collect()[0]["id"] == 502
+
+
 def test_groups_by_pointing_in_order(spark):
     fps = [(k, "F1", [(x + dx, y + dy) for dx, dy in ((0, 0), (0.04, 0), (0.04, 0.04), (0, 0.04))]) for k, x, y in ((1, 10.0, 0.0), (2, 10.005, 0.0), (3, 10.0, 1.0), (4, 20.0, 0.5), (5, 10.003, 1.004))]
     df = spark.createDataFrame(fps, f"fp_id long, filter string, vertices {TYPE}")
@@ -330,6 +347,60 @@ def test_counterpart_planes_are_on_the_grid_of_the_field(spark):
     assert len(none) == len(one) and all(r["value"] is None and r["image_id"] is None for r in none)
 
 
+def test_planes_of_any_tile_equal_the_bilinear_join(spark):
+    """A grid of several tiles, turned against the image, with missing pixels and places off the image."""
+    rng = random.Random(9)
+    grid = fields(spark, [(100, "NRCALONG", 10.0, 3.0)], 20, 30).withColumns({"cd11": F.lit(-0.8 * SCALE), "cd12": F.lit(0.3 * SCALE), "cd21": F.lit(0.25 * SCALE), "cd22": F.lit(0.9 * SCALE)})
+    direct = fields(spark, [(1, "", 10.0 + 2 * SCALE, 3.0 - SCALE), (2, "", 10.0 - 9 * SCALE, 3.0 + 4 * SCALE)], 25, 35)
+    px = spark.createDataFrame([(k, y, x, None if rng.random() < 0.2 else rng.random()) for k in (1, 2) for y in range(25) for x in range(35)] + [(3, 0, 0, 1.0)], "image_id long, y long, x long, sci double")
+    ends = {"first_x": -13, "last_x": 44, "first_y": -6, "last_y": 29}
+    grids = grid.drop("image_id").crossJoin(spark.createDataFrame([("F1", 1), ("F1", 2), ("F2", 1), ("F3", None)], "filter string, image_id long")).withColumns({k: F.lit(v).cast("long") for k, v in ends.items()})
+    places = grids.where("image_id is not null").withColumn("oy", F.explode(F.sequence("first_y", "last_y"))).withColumn("ox", F.explode(F.sequence("first_x", "last_x")))
+    places = places.select("filter", "image_id", "oy", "ox", wcs.pixel_to_sky(F.col("ox"), F.col("oy")).alias("s")).join(direct, "image_id").withColumn("p", wcs.sky_to_pixel(F.col("s.ra"), F.col("s.dec")))
+    want = {tuple(r[:4]): r["value"] for r in wcs.reproject(px, places.select("filter", "image_id", "oy", "ox", F.col("p.pix_x").alias("in_x"), F.col("p.pix_y").alias("in_y")), also=("filter",)).collect()}
+    want |= {("F3", None, y, x): None for y in range(-6, 30) for x in range(-13, 45)}
+    assert sum(v is not None for v in want.values()) > 500
+    for side in (7, 16, 128):
+        rows = wcs.reproject_grids(px, grids, direct, ("filter",), side=side).collect()
+        got = {tuple(r[:4]): r["value"] for r in rows}
+        assert len(rows) == len(got) and set(got) == set(want)
+        assert all((v is None) == (want[k] is None) and (v is None or v == pytest.approx(want[k], abs=1e-9)) for k, v in got.items())
+    assert {tuple(r[:4]) for r in wcs.reproject_grids(px, grids, direct, ("filter",), side=16, missing=False).collect()} == {k for k, v in want.items() if v is not None}
+
+
+def test_counterpart_planes_query_against_brute_force(spark, sf):
+    """Every image on every field's grid, with the whole extension, pixel by pixel."""
+    import numpy as np
+
+    from lumenfield.plans import queries as plans
+
+    p = plans._px(spark, sf)
+    grism, images = plans._fields(p)
+    data = {}
+    for r in p.collect():
+        data.setdefault(r["image_id"], {})[r["y"], r["x"]] = r["sci"]
+    solution = {r["image_id"]: r.asDict() for r in grism.collect()}
+    pairs = {(r["target"], r["filter"], r["image_id"]) for r in plans.queries()["counterparts"](spark, sf).collect() if r["image_id"] is not None}
+    shape, want = {"A": (1100, 100, 200, 100), "B": (200, 100, 1100, 100)}, {}
+    for target, filter_, image in pairs:
+        left, bottom, right, top = shape[solution[target]["detector"][3]]
+        oy, ox = np.mgrid[-bottom : 40 + top, -left : 64 + right]
+        px, py = wcs._mapped(ox, oy, solution[target], solution[image])
+        my, mx = (max(k[i] for k in data[image]) for i in (0, 1))
+        for k in np.argwhere((px >= 0) & (px <= mx) & (py >= 0) & (py <= my)):
+            x, y = px[tuple(k)], py[tuple(k)]
+            near = [(int(y) + j, int(x) + i, abs(1 - i - x + int(x)) * abs(1 - j - y + int(y))) for j in (0, 1) for i in (0, 1)]
+            some = [(w, data[image].get((j, i))) for j, i, w in near if w > 0 and data[image].get((j, i)) is not None]
+            if some:
+                at = (int(oy[tuple(k)]), int(ox[tuple(k)]))
+                want.setdefault((target, filter_, image, at[0] // 128, at[1] // 128), []).append((at, sum(w * v for w, v in some) / sum(w for w, _ in some)))
+    got = {tuple(r[:5]): r for r in plans.queries()["counterpart_planes"](spark, sf).collect()}
+    assert set(got) == set(want) and len(want) >= 10
+    for k, rows in want.items():
+        assert got[k]["n"] == len(rows) and got[k]["total"] == pytest.approx(sum(v for _, v in rows), abs=1e-4)
+        assert (tuple(got[k]["first"]), tuple(got[k]["last"])) == (min(rows)[0], max(rows)[0])
+
+
 def _clipped(subject, clip):
     """Area of two convex counter-clockwise polygons together."""
     for (ax, ay), (bx, by) in zip(clip, clip[1:] + clip[:1]):

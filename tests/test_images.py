@@ -1,9 +1,11 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenfield.operators import pixels, spectra, stats, wcs
-from lumenfield.sources import fits
+from lumenfield.operators import pixels, spectra, stats, surface, wcs
+from lumenfield.sources import fits, fits_source
 from lumenfield.streaming import ingest
 
 
@@ -80,12 +82,156 @@ def test_segmentation_finds_the_source(spark, image):
 def test_background_follows_a_smooth_surface(spark):
     y, x = np.mgrid[:64, :64]
     a = 1 + 0.01 * x + 0.02 * y + 0.0003 * x * y
-    got = plane(pixels.background(frame(spark, a), F.lit(False), 8, origin_x=3.5, origin_y=3.5), "background", a.shape)
+    df = frame(spark, a)
+    got = plane(pixels.background(df, F.lit(False), 8, origin_x=3.5, origin_y=3.5, bounds=(0, 64, 0, 64)), "background", a.shape)
     assert np.abs(got - a).max() < 0.01
+    got = plane(pixels.background(df, F.lit(False), 8, origin_x=3.5, origin_y=3.5), "background", a.shape)
+    assert np.abs(got - a)[4:60, 4:60].max() < 0.01 and (got[:, :4] == got[:, [3]]).all() and (got[60:] == got[63]).all()  # beyond the tiles' places their value
     few = pixels.background(frame(spark, a[:16, :16]), F.lit(False), 8)
     assert few.where("background is not null").isEmpty()
 
 
+def test_smoothing_does_not_depend_on_tiles(spark, image):
+    thin = image[3:6]  # an image narrower than the radius
+    df = frame(spark, image).unionByName(frame(spark, thin, "thin")).unionByName(frame(spark, np.full((2, 3), np.nan), "none")).withColumns({"y": F.col("y") + 5, "x": F.col("x") + 3})
+    df = df.where("not (image_id = 'i' and y % 5 = 2 and x % 7 = 1)")  # absent pixels have no weight either
+    full = image.copy()
+    for y, x in np.ndindex(image.shape):
+        if (y + 5) % 5 == 2 and (x + 3) % 7 == 1:
+            full[y, x] = np.nan
+    far = np.pad(thin, [(15, 15), (0, 0)], mode="reflect")  # many reflections
+    for side in (5, 8, 64):
+        out = pixels.smooth(df, 4, 2, 2.0, side=side)
+        assert out.count() == df.count()
+        for name, want in (("i", blurred(full[1:], 4, 2, 2.0)), ("thin", blurred(thin, 4, 2, 2.0) if thin.shape[0] > 2 else far)):
+            got = plane(out.where(F.col("image_id") == name).withColumns({"y": F.col("y") - 5, "x": F.col("x") - 3}), "smooth", image.shape)
+            got = got[1:] if name == "i" else got[:3]
+            assert np.allclose(got[~np.isnan(got)], want[~np.isnan(got)], atol=1e-9) and (~np.isnan(got)).sum() > 80
+        assert out.where("image_id = 'none' and smooth is not null").isEmpty()
+
+
+def test_segments_across_tiles_against_a_flood(spark):
+    rng = np.random.default_rng(12)
+    images = {f"r{i}": rng.random((23, 31)) < p for i, p in enumerate((0.2, 0.35, 0.5, 0.6))}
+    corner = np.zeros((16, 16), bool)  # one diagonal line through tile corners, and one against it
+    corner[np.arange(16), np.arange(16)] = True
+    images["down"], images["up"] = corner, corner[::-1]
+    snake = np.zeros((12, 12), bool)
+    snake[::2], snake[1::4, -1], snake[3::4, 0] = True, True, True
+    images["snake"] = snake
+    rows = [(k, int(y) + 6, int(x) + 2) for k, a in images.items() for y, x in np.argwhere(a)]
+    df = spark.createDataFrame(rows, "image_id string, y long, x long").repartition(5)
+    want = {5: set(), 16: set()}
+    for k, a in images.items():
+        left = {tuple(p) for p in np.argwhere(a)}
+        while left:
+            todo = [left.pop()]
+            seen = set(todo)
+            while todo:
+                y, x = todo.pop()
+                for p in ((y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
+                    if p in left:
+                        left.remove(p), seen.add(p), todo.append(p)
+            for n, kept in want.items():
+                kept |= {(k, int(y) + 6, int(x) + 2) for y, x in seen} if len(seen) >= n else set()
+    for side, n in ((4, 5), (4, 16), (8, 16), (128, 5)):
+        got = [tuple(r) for r in pixels.segments(df, n, side).collect()]
+        assert len(got) == len(set(got)) and set(got) == want[n]
+    assert pixels.segments(df.limit(0)).collect() == []
+
+
+def test_quantiles_of_groups_beyond_what_is_held(spark):
+    """Groups of one value, of ties, of far exponents and of nulls, with and without ranges, against numpy."""
+    rng = np.random.default_rng(4)
+    groups = {"normal": rng.normal(size=3000), "ties": rng.integers(0, 3, 2000).astype(float), "same": np.full(900, 7.0), "far": 10.0 ** rng.uniform(-300, 300, 1500) * rng.choice([-1, 1], 1500), "one": np.array([4.0]), "two": np.array([1.0, 2.0]), "gap": np.r_[np.zeros(500), np.ones(500)]}
+    rows = [(g, i % 2, float(v)) for g, x in groups.items() for i, v in enumerate(x)] + [("none", 0, None), ("normal", 0, None)]
+    df = spark.createDataFrame(rows, "g string, half int, v double").repartition(7)
+    at = {"low": 0.0, "p01": 0.01, "median": 0.5, "p99": 0.99, "high": 1.0}
+    for held in (10**6, 400):
+        got = {r["g"]: [r[c] for c in at] for r in stats.quantiles(df, ("g",), "v", at, held).collect()}
+        assert set(got) == set(groups)
+        for g, x in groups.items():
+            assert got[g] == pytest.approx(np.quantile(x, list(at.values())), rel=1e-12)
+    both = stats.quantiles(df, ("g", "half"), "v", {"m": 0.5}, 400)
+    assert {(r["g"], r["half"]): r["m"] for r in both.collect()} == pytest.approx({(g, k): np.median(x[k::2]) for g, x in groups.items() for k in (0, 1) if len(x[k::2])})
+    image = df.withColumnsRenamed({"g": "image_id", "v": "sci"}).where("image_id != 'far'")
+    for work in (stats.clipped_stats, stats.percentiles):
+        a, b = (sorted(map(tuple, work(image, held=held).collect())) for held in (10**6, 400))
+        assert len(a) == len(b) and all(p[0] == q[0] and p[1:] == pytest.approx(q[1:], abs=1e-12) for p, q in zip(a, b))
+    flux = df.select(F.lit(0).alias("y"), F.hash("g").alias("bin"), F.col("v").alias("flux"))
+    a, b = (sorted(map(tuple, spectra.combine_median(flux, held=held).collect()), key=str) for held in (10**6, 400))
+    assert len(a) == 8 and all(p == pytest.approx(q, rel=1e-12) for p, q in zip(a, b) if p[2] is not None)
+
+
+def scattered(seed=3, n=240):
+    rng = np.random.default_rng(seed)
+    x, y = rng.uniform(-5, 40, n), rng.uniform(100, 130, n)
+    return x, y, 3 * np.sin(x / 4) + np.cos(y / 3) * x / 20 + rng.normal(size=n) * 0.2
+
+
+def test_spline_is_a_polynomial_where_that_is_smooth_enough():
+    x, y, z = scattered()
+    u, v = (x - 17) / 22, (y - 115) / 15
+    a = np.stack([u**i * v**j for i in range(4) for j in range(4)], 1)
+    want = a @ np.linalg.lstsq(a, z, rcond=None)[0]
+    left = ((z - want) ** 2).sum()
+    got = surface.fitted(x, y, z, s=left * 1.01)
+    assert np.abs(got.at(x, y) - want).max() < 1e-6 and len(got.kx) == len(got.ky) == 8
+    assert surface.fitted(x[:15], y[:15], z[:15]) is None and surface.fitted(x * 0, y, z) is None
+
+
+def test_spline_is_the_smoothest_of_its_knots_that_leaves_the_sum():
+    x, y, z = scattered()
+    before = np.inf
+    for s in (60.0, 25.0, 12.0):
+        got = surface.fitted(x, y, z, s, bounds=(-6, 41, 99, 131))
+        assert abs(((z - got.at(x, y)) ** 2).sum() - s) <= 1.01e-3 * s and s < before
+        before = s
+        assert len(got.kx) + len(got.ky) > 16 and (got.kx[0], got.kx[-1], got.ky[0], got.ky[-1]) == (-6, 41, 99, 131)
+        # gradients of the sum of squares and of the roughness are parallel (up to solving), in terms of the tensor of functions
+        bx, by = surface.basis(x, got.kx), surface.basis(y, got.ky)
+        pull = np.einsum("n,nj,ni->ji", z - got.at(x, y), by, bx)
+        jx, jy = surface.jumps(got.kx), surface.jumps(got.ky)
+        rough = got.coef @ jx.T @ jx + jy.T @ jy @ got.coef
+        weight = (pull * rough).sum() / (rough**2).sum()
+        assert weight > 0 and np.abs(pull - weight * rough).max() < 1e-6 * max(1, np.abs(pull).max())
+
+
+def test_spline_basis_and_jumps_against_their_definitions():
+    k = surface.knots_of(np.array([2.0, 3.5, 7.0]), 0.0, 10.0)
+
+    def function(i, d, t):
+        if d == 0:
+            return float(k[i] <= t < k[i + 1] or (t == k[-1] and k[i] < k[i + 1] == k[-1]))
+        one = (t - k[i]) / (k[i + d] - k[i]) * function(i, d - 1, t) if k[i + d] > k[i] else 0
+        return one + ((k[i + d + 1] - t) / (k[i + d + 1] - k[i + 1]) * function(i + 1, d - 1, t) if k[i + d + 1] > k[i + 1] else 0)
+
+    t = np.array([0, 0.3, 2, 3.1, 3.5, 6.9, 7, 9.99, 10])
+    assert np.allclose(surface.basis(t, k), [[function(i, 3, x) for i in range(7)] for x in t]) and np.allclose(surface.basis(np.array([-4.0, 14.0]), k), surface.basis(np.array([0.0, 10.0]), k))
+    for row, at in zip(surface.jumps(k), (2.0, 3.5, 7.0)):
+        third = lambda side: np.diff(surface.basis(at + side * np.array([0.1, 0.2, 0.3, 0.4]), k)[:: int(side)], 3, axis=0)[0] / 1e-3  # noqa: B023, E731
+        assert np.allclose(row, (third(1) - third(-1)) * (10 / 4) ** 3, atol=1e-6)
+    x, y = (v.ravel() for v in np.meshgrid(np.linspace(0, 10, 21), np.linspace(0, 10, 21)))
+    made = surface.Surface(k, k, np.random.default_rng(2).normal(size=(7, 7)))
+    close = surface.fitted(x, y, made.at(x, y), s=1e-3)
+    assert ((close.at(x, y) - made.at(x, y)) ** 2).sum() <= 1.01e-3
+    same = surface.fitted(x, y, made.at(x, y), knots=1, bounds=(0, 10, 0, 10))
+    assert len(same.kx) == 8
+
+
+def test_background_follows_a_bent_surface_as_smoothing_asks(spark):
+    y, x = np.mgrid[0:64, 0:64]
+    a = np.abs(x - 32.0) + 0.1 * y
+    left = []
+    for s in (None, 50.0, 5.0):
+        got = plane(pixels.background(frame(spark, a), F.lit(False), 4, origin_x=1.5, origin_y=1.5, smoothing=s), "background", a.shape)
+        tiles = a.reshape(16, 4, 16, 4).mean(axis=(1, 3))
+        at = np.stack([got[1::4, 1::4], got[1::4, 2::4], got[2::4, 1::4], got[2::4, 2::4]]).mean(0)
+        left.append(((at - tiles) ** 2).sum())
+    assert left[0] > 200 > left[1] > left[2] or left[0] <= 256 * 1.01
+    assert left[1] < 60 and left[2] < 8
+
+
 def test_stripes_are_recovered(spark):
     rng = np.random.default_rng(0)
     cols, rows = rng.normal(size=40), rng.normal(size=30)
@@ -170,7 +316,87 @@ def test_files_and_stream(spark, tmp_path, image):
     write_fits(folder / "jw01895002001_02010_00003_nrca1_cal.fits", image)
     sync()
     sync()
-    assert spark.read.parquet(str(tmp_path / "table/v=1")).count() == 3
+    table = str(tmp_path / "table")
+    assert ingest.current(spark, table).count() == 3 and spark.read.parquet(f"{table}/v=1").count() == 1  # a batch writes its own rows
+
+
+def test_stream_state_over_restarts_gives_the_box_of_all_files(spark, tmp_path):
+    (tmp_path / "in/deep").mkdir(parents=True)
+    seen = {}
+
+    def arrive(*names):
+        for name in names:
+            path = tmp_path / "in" / name
+            path.write_bytes(b"x" * (len(name) + len(seen)))
+            os.utime(path, (1e9 + len(seen), 1e9 + len(seen)))
+            seen[path.name.rsplit("_", 1)[0]] = path.name
+
+    def sync():
+        ingest.watch(spark, str(tmp_path / "in"), str(tmp_path / "log"), str(tmp_path / "check"), "2b").awaitTermination()
+        box = ingest.current(spark, str(tmp_path / "log")).collect()
+        assert {r["basename"]: r["filepath"].rsplit("/", 1)[1] for r in box} == seen
+
+    exposure = "jw01895002001_02010_0000{}_nrca1".format
+    arrive(*(f"{exposure(i)}_cal.fits" for i in range(4)), f"{exposure(3)}_crf.fits")
+    sync()
+    arrive(f"{exposure(1)}_crf.fits", f"{exposure(5)}_cal.fits")
+    sync()
+    sync()
+    log = spark.read.parquet(str(tmp_path / "log")).where("v = 1")
+    assert sorted((r["basename"], r["change"], (r["replaced"] or "/").rsplit("/", 1)[1], r["n_stages"]) for r in log.collect()) == [(exposure(1), 2, f"{exposure(1)}_cal.fits", 1), (exposure(5), 1, "", 1)]
+    arrive(f"{exposure(1)}_i2d.fits")
+    sync()
+
+
+def test_fits_source_reads_headers_and_planes_apart(spark, tmp_path, image):
+    folder = tmp_path / "in"
+    (folder / "deep").mkdir(parents=True)
+    for i in (1, 2, 3):
+        write_fits(folder / ("deep" if i == 3 else "") / f"jw01895002001_02010_0000{i}_nrca1_cal.fits", image * i, FILTER="F115W", DETECTOR="NRCA1", PUPIL="CLEAR")
+    (folder / "broken.fits").write_bytes(b"SIMPLE  =                    T")
+    (folder / "other.txt").write_text("no")
+    old = fits.headers(fits.files(spark, str(folder)), "2b").drop("filepath").where("filter is not null")
+    for path in (str(folder), f"file://{folder}"):
+        got = fits_source.exposures(spark, path, "2b")
+        assert sorted(map(tuple, got.drop("filepath").select(old.columns).collect()), key=str) == sorted(map(tuple, old.collect()), key=str)
+    units = spark.read.format("fits").load(str(folder))
+    assert [(r["unit"], r["extname"], r["width"], r["bitpix"]) for r in units.where("filepath like '%00001%'").orderBy("unit").collect()] == [(0, None, None, 8), (1, "SCI", 30, -32), (2, "ERR", 30, -32), (3, "DQ", 30, 32)]
+    assert spark.read.format("fits").schema("unit int, extname string").option("wildcard", "*00002*").load(str(folder)).collect()[1][1] == "SCI"
+    made = fits_source.tiles(spark, str(folder), "jw*.fits", tile=16)
+    assert made.rdd.getNumPartitions() == 9 and made.where("plane = 'SCI'").count() == 12  # a task for each file and plane
+    assert fits_source.tiles(spark, str(folder), "jw*.fits", ("SCI",), 16).rdd.getNumPartitions() == 3
+    key = ["filepath", "plane", "y0", "x0"]
+    want = fits.planes(fits.files(spark, str(folder), "jw*.fits"), 16).withColumn("filepath", F.regexp_replace("filepath", "^file:/+", "file:///"))
+    rows = lambda df: [tuple(r) for r in df.withColumn("values", F.to_json("values")).orderBy(key).collect()]
+    assert rows(made) == rows(want) and len(rows(made)) == 3 * 3 * 4
+    assert spark.read.format("fits").load(str(tmp_path / "in" / "deep")).count() == 4
+    (tmp_path / "empty").mkdir()
+    assert spark.read.format("fits").load(str(tmp_path / "empty")).count() == 0 and fits_source.tiles(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_header_scan_leaves_the_data_unread(tmp_path, image):
+    path = tmp_path / "a.fits"
+    write_fits(path, np.zeros((700, 900)), FILTER="F115W")
+    asked = []
+
+    def read(at, n):
+        asked.append(n)
+        return path.read_bytes()[at : at + n]
+
+    assert [h.get("EXTNAME") for h, _, _ in fits.walk(read)] == [None, "SCI", "ERR", "DQ"]
+    assert sum(asked) <= 5 * fits.BLOCK < path.stat().st_size / 100
+
+
+def test_flags_of_all_32_bits(spark, tmp_path):
+    flags = np.array([[0, 1, 1 << 30], [1 << 31, (1 << 32) - 1, 2**31 - 1]], np.uint32)
+    data = (flags.astype(np.int64) - (1 << 31)).astype(">i4").tobytes()
+    head = [("SIMPLE", "T"), ("BITPIX", 8), ("NAXIS", 0)]
+    unit = [("XTENSION", "'IMAGE'"), ("BITPIX", 32), ("NAXIS", 2), ("NAXIS1", 3), ("NAXIS2", 2), ("PCOUNT", 0), ("GCOUNT", 1), ("BZERO", 2147483648), ("BSCALE", 1), ("EXTNAME", "'DQ'")]
+    text = lambda cards: ("".join(f"{k:<8}= {v:>20}".ljust(80) for k, v in cards) + "END".ljust(80)).ljust(2880).encode()
+    (tmp_path / "a.fits").write_bytes(text(head) + text(unit) + data.ljust(2880, b"\0"))
+    for made in (fits.planes(fits.files(spark, str(tmp_path))), fits_source.tiles(spark, str(tmp_path))):
+        got = {(r["y"], r["x"]): r["dq"] for r in fits.pixels(made).collect()}
+        assert got == {(y, x): int(v) for (y, x), v in np.ndenumerate(flags)}
 
 
 def test_stripe_noise_of_the_whole_image_masks_sources_and_bad_pixels(spark):
