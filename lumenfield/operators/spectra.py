@@ -146,7 +146,7 @@ def extract(exposures: DataFrame, pixels: DataFrame, traces: DataFrame, targets:
     """For each of ``targets`` (id, ra, dec) the cut-outs of all exposures of ``pupil`` whose footprint holds an end of the
     spectrum in the exposure nearest to the target.
 
-    ``exposures``: ord, image_id, pupil, vertices; ``traces`` has the sky position (sx, sy) of each trace point. The nearest
+    Targets of one id at several places have the cut-outs of all of them. ``exposures``: ord, image_id, pupil, vertices; ``traces`` has the sky position (sx, sy) of each trace point. The nearest
     exposure and the footprints about the ends are found by grid cells. An error if no exposure has the pupil.
     """
     from . import spatial
@@ -158,7 +158,7 @@ def extract(exposures: DataFrame, pixels: DataFrame, traces: DataFrame, targets:
         raise ValueError(f"no exposures with pupil {pupil}")
     nearest = spatial.nearest_footprint(targets.select("id", "ra", "dec"), some, key="ord").join(some.select("ord", "image_id"), "ord").select("id", "image_id")
     at = F.struct("sx", "sy")
-    ends = nearest.join(traces, "image_id").groupBy("id").agg(F.min_by(at, "wavelength").alias("a"), F.max_by(at, "wavelength").alias("b"))
+    ends = nearest.distinct().join(traces, "image_id").groupBy("id", "image_id").agg(F.min_by(at, "wavelength").alias("a"), F.max_by(at, "wavelength").alias("b"))
     ends = ends.select("id", F.explode(F.array("a", "b")).alias("e")).select("id", "e.sx", "e.sy")
     near = spatial.points_in_footprints(ends, some.select("image_id", "vertices"), "sx", "sy").select("id", "image_id").distinct()
     return cutout(pixels, traces.join(near, "image_id"), height, ("id",))
