@@ -16,7 +16,8 @@ tasks over the cells return their parts of the expected feature counts under the
 damped diagonal Newton step. With two additive features, the softmax's normalisers of all contexts are one matrix product.
 
 Pairs of words: each block sends its distinct pairs, with their counts, to the bucket of their context (word before, class), hashed to 40
-bits; there each context's softmax is fitted on its own, and the pairs' probabilities go back to the blocks. No pair is left out.
+bits, a word inside it to 24; there each context's softmax is fitted on its own, and the pairs' probabilities go back to the blocks. No pair is
+left out, but pairs with one hash are one: two of n words of a context with probability 2^-24 each, two of all contexts with 2^-40.
 
 Scale: words, pairs and their counts travel as in ``blocks`` (each distinct one once, block dictionaries back); neither vocabulary nor
 pairs are ever in one place. Symbols, cells and class weights have fixed sizes. Scoring is numpy lookups over blocks.
@@ -44,7 +45,7 @@ CLASS = 64
 LN10 = np.log(10.0)
 SKIP = 0.25
 #: Of a pair's key, the low bits are of its word, the high ones of its context.
-WORD_BITS, CONTEXT_BITS = 16, 40
+WORD_BITS, CONTEXT_BITS = 24, 40
 LOW = np.uint64((1 << WORD_BITS) - 1)
 #: Logarithms travel in steps of 1 / STEP.
 STEP = 1024.0
@@ -185,9 +186,9 @@ def encode(docs: DataFrame, held: int, folds: int, head: int, tails: int) -> tup
         n_t[tail_of(w, tails)] -= n
         v_t[tail_of(w, tails)] -= 1
     shape = Shape(head, tails)
-    top_key = word_keys([w for w, _ in often])
+    top_key, top_count = word_keys([w for w, _ in often]), np.array([n for _, n in often], np.int64)
     by_key = np.argsort(top_key)
-    top_key = top_key[by_key]
+    top_key, top_count = top_key[by_key], top_count[by_key]
 
     def join(b: blocks.Block) -> pa.Table:
         got = [[blocks.get_numbers(x) for x in blocks.get_parts(p)] for p in b.payloads]
@@ -196,7 +197,7 @@ def encode(docs: DataFrame, held: int, folds: int, head: int, tails: int) -> tup
         symbol, tail = head + 1 + tail.astype(np.int64), tail.astype(np.int64)
         if len(top_key):
             at = np.minimum(np.searchsorted(top_key, key), len(top_key) - 1)
-            symbol = np.where(top_key[at] == key, by_key[at], symbol)
+            symbol = np.where((top_key[at] == key) & (top_count[at] == count), by_key[at], symbol)  # another word of that hash is rarer
         share = np.log10((count + 1) / (total + kinds + 1))
         rare = np.where(symbol > head, -np.log((count + 1) / (n_t + v_t + 1)[tail]), 0.0)
         end = np.log10((ends + 1) / (total + kinds + 1))
@@ -478,8 +479,8 @@ def _fit(table: pa.Table) -> pa.Table:
         seen.append(n)
         bases.append(base)
     key, at = np.unique(np.concatenate(keys), return_inverse=True)
-    base = np.zeros(len(key))
-    base[at] = np.concatenate(bases)
+    base = np.full(len(key), np.inf)
+    np.minimum.at(base, at, np.concatenate(bases).astype(float))  # equal but for pairs that share a hash: the likelier one's, in any order of blocks
     p = pair_probabilities(key >> np.uint64(WORD_BITS), np.bincount(at, weights=np.concatenate(seen), minlength=len(key)), -base / STEP)
     p = in_steps(-np.log(p))
     out = [blocks.put_numbers(p[x]) for x in np.split(at, np.cumsum([len(k) for k in keys])[:-1])]
