@@ -51,3 +51,9 @@ def test_nulls_repeats_and_long_words(spark, tmp_path):
     check(queries.op2_byte_bpe(spark, str(tmp_path)).collect(), docs)
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/e/documents.parquet")
     assert queries.op2_byte_bpe(spark, f"{tmp_path}/e").collect() == []
+
+
+def test_columns_that_clash_are_left_alone(spark):
+    docs = spark.createDataFrame([(1, "some text", 5, 6, 7), (2, None, 5, 6, 7)], "doc_id long, text string, block int, ids int, flag int")
+    made = bpe.decode(bpe.encode(docs, RANKS), RANKS)
+    assert {r["doc_id"]: bytes(r["decoded"]) for r in made.collect()} == {1: b"some text", 2: b""}

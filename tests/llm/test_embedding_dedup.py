@@ -45,3 +45,15 @@ def test_against_brute_force(spark, threshold, tile):
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_dedup.link(df).collect() == []
+
+
+def test_exact_threshold_repeats_nulls_and_clashing_columns(spark):
+    """Cosines just at, above and under the threshold; repeated and null vec_ids are rows of their own."""
+    turn = lambda c: [float(c), float(np.sqrt(1 - c * c)), 0.0]
+    at = np.nextafter(0.93, 1)
+    while (lambda v: v[0] / np.sqrt(v[0] ** 2 + v[1] ** 2))(turn(at)) < 0.93:
+        at = np.nextafter(at, 1)
+    rows = [(1, [1.0, 0.0, 0.0], 3), (2, turn(at), 3), (3, [1.0, 0.0, 0.0], 4), (4, turn(0.93 - 1e-9), 4), (5, [0.0, 0.0, 2.0], 5), (5, [0.0, 0.0, 2.0], 5), (None, [0.0, 0.0, 1.0], 5), (None, [0.0, 3.0, 0.0], 5)]
+    df = spark.createDataFrame([(*r, 0, 0, 0) for r in rows], "vec_id long, embedding array<double>, label int, point int, tile int, n_links int")
+    got = sorted(((r["vec_id"] is None, r["vec_id"] or 0, r["n_links"], r["component_id"]) for r in embedding_dedup.link(df).collect()), key=str)
+    assert got == sorted([(False, 1, 1, 1), (False, 2, 1, 1), (False, 3, 0, 3), (False, 4, 0, 4), (False, 5, 2, 5), (False, 5, 2, 5), (True, 0, 2, 5), (True, 0, 0, None)], key=str)

@@ -93,3 +93,21 @@ def test_summary_and_scores_do_not_depend_on_the_number_of_buckets(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got[0].keys() == got[1].keys() and all(np.allclose(got[0][d], got[1][d], rtol=1e-3) for d in got[0])
+
+
+def test_pairs_of_one_hash_have_one_base_in_any_order():
+    """Two blocks send a pair under one key with different bases, as words of one hash would: the likelier one's, whichever comes first."""
+    import pyarrow as pa
+
+    b = language_model.blocks
+    sent = [b.put_parts(*map(b.put_numbers, (*language_model._halves(np.array([77], np.uint64)), np.array([n]), np.array([base])))) for n, base in ((3, 900), (1, 500))]
+    got = [language_model._fit(pa.table([pa.array([0, 1]), pa.array([0, 0], pa.int32()), pa.array(x, pa.binary())], schema=b.BACK_ARROW)).column("payload").to_pylist() for x in (sent, sent[::-1])]
+    assert len({p for x in got for p in x}) == 1
+    assert language_model.WORD_BITS + language_model.CONTEXT_BITS == 64
+
+
+def test_clashing_columns_and_a_very_long_text(spark):
+    rows = [(i, f"a b w{i % 5} c", 1, 2, 3) for i in range(40)] + [(90, "a b w1 c " * 30_000, 1, 2, 3), (None, None, 1, 2, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, block int, score int, held_out int")
+    got = {r["doc_id"]: r for r in language_model.score(df, head=3, tails=4).collect()}
+    assert len(got) == 42 and got[90]["n_tokens"] == 120_001 and got[None]["n_tokens"] == 1 and all(np.isfinite(r["score"]) for r in got.values())

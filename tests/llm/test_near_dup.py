@@ -78,3 +78,12 @@ def test_chains_heavy_weights_and_odd_rows(spark):
     want = sorted(zip([(d is None, d or 0) for d, _ in docs], brute(docs)))
     assert sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["class_id"]) for r in rows) == want
     assert near_dup.classes(df.limit(0)).collect() == []
+
+
+def test_very_long_texts_meet_their_near_copies(spark):
+    words = [f"w{i % 9973}x{i // 7}" for i in range(60_000)]
+    changed = [f"c{i}" if i % 50 == 7 else w for i, w in enumerate(words)]
+    docs = [(3, " ".join(words)), (2, " ".join(changed)), (5, " ".join(words[:30_000])), (8, "short text of some words"), (9, " ".join(words))]
+    assert 0.8 < jaccard(bag(docs[0][1]), bag(docs[1][1])) < 0.85
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {3: 2, 2: 2, 5: 5, 8: 8, 9: 2}
