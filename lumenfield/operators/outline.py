@@ -106,8 +106,8 @@ def _jump(state: DataFrame, label: str, join) -> DataFrame:
     return out.select(*[F.when(F.col("_label").isNotNull(), F.col("_next")).alias("next") if c == "next" else F.col(c) for c in state.columns])
 
 
-def _outer(edges: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
-    """(group, eid, left): the edges of each group's outer ring with how many are left to its end; and the edges of all other rings."""
+def _outer(edges: DataFrame, group: str) -> DataFrame:
+    """(group, eid, next, left): for the edges of each group's outer ring next is null and left how many are left to its end; other rings' have a next."""
     first = F.struct(F.col("f.x").alias("x"), F.col("f.node").alias("node"), _angle("f", "t").alias("angle"), F.col("eid"))
     heads = edges.groupBy(group).agg(F.min(first)["eid"].alias("head"))
     state = edges.join(heads, group).select(group, "eid", F.when(F.col("next") != F.col("head"), F.col("next")).alias("next"), F.lit(1).cast("long").alias("left"))
@@ -118,11 +118,11 @@ def _outer(edges: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
             break
         done = now
         state = written(_jump(state, "left", lambda a, b: a + b), "ring", [state])
-    return state.where(F.col("next").isNull()).select(group, "eid", "left"), state.where(F.col("next").isNotNull()).select("eid")
+    return state
 
 
 def _other_rings(edges: DataFrame, others: DataFrame, group: str, tol: float) -> DataFrame:
-    """(group, holes, pieces): rings beside the outer one, by the sign of their area."""
+    """(group, holes, pieces): rings beside the outer one, by the sign of their area; a table."""
     rest = written(edges.join(others, "eid", "left_semi"), "others")
     labels, before = rest.select("eid", "next", F.col("eid").alias("label")), None
     for _ in range(64):
@@ -134,7 +134,7 @@ def _other_rings(edges: DataFrame, others: DataFrame, group: str, tol: float) ->
     x = lambda p: F.col(f"{p}.x") - F.col("ox")
     y = lambda p: F.col(f"{p}.y") - F.col("oy")
     rings = rest.join(labels.select("eid", "label"), "eid").join(corner, group).groupBy(group, "label").agg((F.sum(x("f") * y("t") - x("t") * y("f")) / 2).alias("area"))
-    return rings.groupBy(group).agg(F.count_if(F.col("area") < -tol * tol).alias("holes"), F.count_if(F.col("area") > tol * tol).alias("pieces"))
+    return written(rings.groupBy(group).agg(F.count_if(F.col("area") < -tol * tol).alias("holes"), F.count_if(F.col("area") > tol * tol).alias("pieces")), "other_rings", [rest, labels])
 
 
 def _tidy(v: Column, tol: float) -> Column:
@@ -154,19 +154,23 @@ def union_outline(fps: DataFrame, group: str, strip: float = 0.05, tol: float =
     points are one. Footprints are simple polygons; rows without vertices are left out; an empty table gives an empty result.
     """
     fps = fps.where(F.size("vertices") > 2).select(group, "vertices")
-    runs = written(_runs(written(_edges(fps, group, strip), "edges"), group, tol), "runs")
-    edges = written(_followers(_boundary(runs, group, tol), group), "followed")
-    outer, others = _outer(edges, group)
-    ring = edges.join(outer.select("eid", "left"), "eid")
+    cut = written(_edges(fps, group, strip), "edges")
+    runs = written(_runs(cut, group, tol), "runs", [cut])
+    boundary = _boundary(runs, group, tol)
+    edges = written(_followers(boundary, group), "followed", [boundary, runs])
+    state = _outer(edges, group)
+    rings = _other_rings(edges, state.where(F.col("next").isNotNull()).select("eid"), group, tol)
+    ring = edges.join(state.where(F.col("next").isNull()).select("eid", "left"), "eid")
     # a ring that passes a point twice goes around pieces that touch there
     twice = ring.groupBy(group, "f.x", "f.node").agg(F.count(F.lit(1)).alias("n")).groupBy(group).agg(F.sum(F.col("n") - 1).alias("pinched"))
     vertices = ring.groupBy(group).agg(F.sort_array(F.collect_list(F.struct((-F.col("left")).alias("place"), F.col("f.x").alias("x"), F.col("f.y").alias("y")))).alias("v"))
     vertices = vertices.select(group, _tidy(F.transform("v", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))), tol).alias("vertices"))
     zero = F.lit(0).cast("long")
-    out = vertices.join(twice, group).join(_other_rings(edges, others, group, tol), group, "left")
+    out = vertices.join(twice, group).join(rings, group, "left")
     out = out.select(group, "vertices", (1 + F.coalesce("pieces", zero) + F.col("pinched")).alias("pieces"), F.coalesce("holes", zero).alias("holes"))
     one = F.col("pieces") == 1
     if one_piece:
         out = out.withColumn("pieces", checked(F.col("pieces"), one, "the union of a group is not one piece; pieces"))
     out = out.withColumn("vertices", F.when(one, F.col("vertices"))).withColumn("c", polygon.centroid(F.col("vertices")))
-    return out.select(group, polygon.area(F.col("vertices")).alias("area"), F.col("c.x").alias("cx"), F.col("c.y").alias("cy"), "vertices", "pieces", "holes")
+    out = out.select(group, polygon.area(F.col("vertices")).alias("area"), F.col("c.x").alias("cx"), F.col("c.y").alias("cy"), "vertices", "pieces", "holes")
+    return written(out, "outlines", [edges, state, rings])

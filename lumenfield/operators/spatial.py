@@ -234,6 +234,7 @@ def nearest_footprint(points: DataFrame, fps: DataFrame, id_: str = "id", x: str
     one = written(passed(todo, True), "first_pass", [todo])
     two = passed(one.select("_id", "_x", "_y", F.explode("ask").alias("leaf")), False)
     best = one.unionByName(two).groupBy("_id", "_x", "_y").agg(F.min(F.struct("d2", "_key")).alias("b"))
+    best = written(best, "nearest", [one, c])
     return answers.unionByName(best.select(F.col("_id").alias(id_), F.col("_x").alias(x), F.col("_y").alias(y), F.col("b._key").alias(key), F.col("b.d2").alias("d2")))
 
 

@@ -376,7 +376,9 @@ def product_groups(spark, d):
     return out.select(F.array_join("filesets", ",").alias("filesets"), "module", F.array_join(F.col("groups").cast("array<string>"), ",").alias("groups"))
 
 
-@query()
+@query(f"""with {_MEMBERS}, n as (select grp, concat(min(split_part(fileset, '_', 1)), '_', string_agg(distinct split_part(fileset, '_', 2), '+' order by split_part(fileset, '_', 2)), '_', min(filter), '_', min(lower(substr(detector, 1, 4)))) as name from m group by grp)
+select m.grp, concat('{{"products":[{{"name":"', name, '","members":[', string_agg(concat('{{"expname":"', filename, '","exptype":"science"}}'), ',' order by filename), ']}}]}}') as json
+from m join n on m.grp = n.grp group by m.grp, name""")
 def association_files(spark, d):
     m = _members(spark, d)
     return pointing.associations(m.join(pointing.product_name(m, "grp"), "grp"), "grp")
@@ -481,7 +483,25 @@ def mask_plane(spark, d):
     return pixels.mask_plane(_px(spark, d), F.col("dq") != 0).select("image_id", "y", "x", r6("shown").alias("shown"))
 
 
-@query()
+@query("""
+with /*recursive*/ v as (select image_id, y, x, sci as v from v_pixels where sci is not null),
+a as (select image_id, median(v) as m from v group by image_id),
+b as (select v.*, abs(v - m) as d from v join a on v.image_id = a.image_id),
+s as (select image_id, median(d) * 1.482602218505602e0 as s from b group by image_id),
+k as (select b.* from b join s on b.image_id = s.image_id where d <= 3 * s),
+m as (select image_id, median(v) as m from k group by image_id),
+q as (select k.image_id, any_value(m) as m, median(abs(v - m)) * 1.482602218505602e0 as mad from k join m on k.image_id = m.image_id group by k.image_id),
+bright as (select v.image_id, y, x from v join q on v.image_id = q.image_id where v - m > mad),
+near as (select a.image_id, a.y, a.x, b.y as ny, b.x as nx from bright a join bright b on a.image_id = b.image_id and b.y between a.y - 1 and a.y + 1 and b.x between a.x - 1 and a.x + 1),
+reach as (select image_id, y, x, y as ry, x as rx from bright union select r.image_id, r.y, r.x, ny, nx from reach r join near n on r.image_id = n.image_id and r.ry = n.y and r.rx = n.x),
+large as (select image_id, y, x from reach group by image_id, y, x having count(*) >= 4),
+f as (select p.image_id, p.y, p.x, case when l.y is null then 0e0 else 1e0 end as on_ from v_pixels p left join large l on p.image_id = l.image_id and p.y = l.y and p.x = l.x),
+z as (select image_id, max(y) + 1 as h, max(x) + 1 as w from v_pixels group by image_id),
+o as (select unnest(range(-4, 5)) as o),
+g as (select o, exp(-o * o / 8e0) / (select sum(exp(-o * o / 8e0)) from o) as g from o),
+c1 as (select f.image_id, f.y, f.x, sum(g * t.on_) as s from f join z on f.image_id = z.image_id join g on true join f t on t.image_id = f.image_id and t.y = f.y and t.x = (case when abs(f.x + o) > w - 1 then 2 * w - 2 - abs(f.x + o) else abs(f.x + o) end) group by f.image_id, f.y, f.x),
+c2 as (select f.image_id, f.y, f.x, sum(g * t.s) as s from f join z on f.image_id = z.image_id join g on true join c1 t on t.image_id = f.image_id and t.x = f.x and t.y = (case when abs(f.y + o) > h - 1 then 2 * h - 2 - abs(f.y + o) else abs(f.y + o) end) group by f.image_id, f.y, f.x)
+select image_id, y, x, s > 5e-2 as segment from c2""")
 def segmentation(spark, d):
     return pixels.segmentation(_px(spark, d), factor=1.0, min_pixels=4)
 
