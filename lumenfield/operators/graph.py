@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """
     both = lambda e: e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     e = edges.select("src", "dst").where(F.col("src") != F.col("dst"))
-    e = written(e.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "edges")
+    e = written(e.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "edges", plain=True)
     before = None
     for _ in range(max_rounds):
         b = both(e)
@@ -25,7 +25,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         large = b.join(low, "src").where(F.col("dst") > F.col("src")).select(F.col("dst").alias("src"), F.col("low").alias("dst")).where(F.col("src") != F.col("dst")).distinct()
         low = large.groupBy("src").agg(F.min("dst").alias("low"))
         hang = large.join(low, "src").select(F.explode(F.array(F.struct(F.col("dst").alias("src"), F.col("low").alias("dst")), F.struct("src", F.col("low").alias("dst")))).alias("x")).select("x.*")
-        e = written(hang.where(F.col("src") != F.col("dst")).distinct(), "edges", spent=[e])
+        e = written(hang.where(F.col("src") != F.col("dst")).distinct(), "edges", spent=[e], plain=True)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -43,10 +43,10 @@ def extended_components(forest: DataFrame, edges: DataFrame, max_rounds: int = 5
     stored rows are read once, to look up the ends and to move the components that joined. Null ends and loops are left out.
     """
     e = edges.select("src", "dst").where(F.col("src") != F.col("dst"))
-    e = written(e.distinct(), "new_edges")
+    e = written(e.distinct(), "new_edges", plain=True)
     root = lambda side: forest.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
     known = e.join(root("src"), "src", "left").join(root("dst"), "dst", "left")
-    short = written(known.select(F.coalesce("_src", "src").alias("src"), F.coalesce("_dst", "dst").alias("dst")), "short_edges")
+    short = written(known.select(F.coalesce("_src", "src").alias("src"), F.coalesce("_dst", "dst").alias("dst")), "short_edges", plain=True)
     moved = connected_components(short, max_rounds).select(F.col("node").alias("component"), F.col("component").alias("_to"))
     fresh = e.select("src").union(e.select("dst")).distinct().toDF("node").join(forest.select("node"), "node", "left_anti")
     nodes = forest.select("node", "component").unionByName(fresh.withColumn("component", F.col("node")))

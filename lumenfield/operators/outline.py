@@ -71,7 +71,7 @@ def _boundary(runs: DataFrame, group: str, tol: float) -> DataFrame:
     ends = runs.select(group, "rid", F.explode(ends).alias("e")).select(group, "rid", "e.*")
     w = Window.partitionBy(group, "x").orderBy("y")
     ends = ends.withColumn("new", F.coalesce(F.col("y") - F.lag("y").over(w) > tol, F.lit(True)).cast("int"))
-    ends = written(ends.withColumn("node", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new"), "ends")
+    ends = written(ends.withColumn("node", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new"), "ends", plain=True)
     point = F.struct("x", "node", "y")
     corner = [F.max(F.when(F.col("at") == i, point)).alias(f"p{i}") for i in range(4)]
     sides = ends.groupBy(group, "rid").agg(*corner).where((F.col("p0.node") != F.col("p1.node")) | (F.col("p2.node") != F.col("p3.node")))
@@ -82,7 +82,7 @@ def _boundary(runs: DataFrame, group: str, tol: float) -> DataFrame:
     nodes = nodes.select(group, point.alias("p"), F.lead(point).over(w).alias("q"), (F.sum("dl").over(up_to) > 0).alias("cl"), (F.sum("dr").over(up_to) > 0).alias("cr"))
     nodes = nodes.where(F.col("q").isNotNull() & (F.col("cl") != F.col("cr")))
     upright = nodes.select(group, F.when(F.col("cl"), F.col("p")).otherwise(F.col("q")).alias("f"), F.when(F.col("cl"), F.col("q")).otherwise(F.col("p")).alias("t"))
-    return written(lines.unionByName(upright).withColumn("eid", F.monotonically_increasing_id()), "boundary", [ends])
+    return written(lines.unionByName(upright).withColumn("eid", F.monotonically_increasing_id()), "boundary", [ends], plain=True)
 
 
 def _angle(p: str, q: str) -> Column:
@@ -111,30 +111,30 @@ def _outer(edges: DataFrame, group: str) -> DataFrame:
     first = F.struct(F.col("f.x").alias("x"), F.col("f.node").alias("node"), _angle("f", "t").alias("angle"), F.col("eid"))
     heads = edges.groupBy(group).agg(F.min(first)["eid"].alias("head"))
     state = edges.join(heads, group).select(group, "eid", F.when(F.col("next") != F.col("head"), F.col("next")).alias("next"), F.lit(1).cast("long").alias("left"))
-    state, done = written(state, "ring"), -1
+    state, done = written(state, "ring", plain=True), -1
     while True:
         now = state.where(F.col("next").isNull()).count()
         if now == done:
             break
         done = now
-        state = written(_jump(state, "left", lambda a, b: a + b), "ring", [state])
+        state = written(_jump(state, "left", lambda a, b: a + b), "ring", [state], plain=True)
     return state
 
 
 def _other_rings(edges: DataFrame, others: DataFrame, group: str, tol: float) -> DataFrame:
     """(group, holes, pieces): rings beside the outer one, by the sign of their area; a table."""
-    rest = written(edges.join(others, "eid", "left_semi"), "others")
+    rest = written(edges.join(others, "eid", "left_semi"), "others", plain=True)
     labels, before = rest.select("eid", "next", F.col("eid").alias("label")), None
     for _ in range(64):
         now = labels.agg(F.count(F.lit(1)), F.sum(F.col("label").cast("decimal(38,0)"))).first()
         if not now[0] or now == before:
             break
-        before, labels = now, written(_jump(labels, "label", F.least), "labels", [labels])
+        before, labels = now, written(_jump(labels, "label", F.least), "labels", [labels], plain=True)
     corner = rest.groupBy(group).agg(F.min("f.x").alias("ox"), F.min("f.y").alias("oy"))
     x = lambda p: F.col(f"{p}.x") - F.col("ox")
     y = lambda p: F.col(f"{p}.y") - F.col("oy")
     rings = rest.join(labels.select("eid", "label"), "eid").join(corner, group).groupBy(group, "label").agg((F.sum(x("f") * y("t") - x("t") * y("f")) / 2).alias("area"))
-    return written(rings.groupBy(group).agg(F.count_if(F.col("area") < -tol * tol).alias("holes"), F.count_if(F.col("area") > tol * tol).alias("pieces")), "other_rings", [rest, labels])
+    return written(rings.groupBy(group).agg(F.count_if(F.col("area") < -tol * tol).alias("holes"), F.count_if(F.col("area") > tol * tol).alias("pieces")), "other_rings", [rest, labels], plain=True)
 
 
 def _tidy(v: Column, tol: float) -> Column:
@@ -154,10 +154,10 @@ def union_outline(fps: DataFrame, group: str, strip: float = 0.05, tol: float =
     points are one. Footprints are simple polygons; rows without vertices are left out; an empty table gives an empty result.
     """
     fps = fps.where(F.size("vertices") > 2).select(group, "vertices")
-    cut = written(_edges(fps, group, strip), "edges")
-    runs = written(_runs(cut, group, tol), "runs", [cut])
+    cut = written(_edges(fps, group, strip), "edges", plain=True)
+    runs = written(_runs(cut, group, tol), "runs", [cut], plain=True)
     boundary = _boundary(runs, group, tol)
-    edges = written(_followers(boundary, group), "followed", [boundary, runs])
+    edges = written(_followers(boundary, group), "followed", [boundary, runs], plain=True)
     state = _outer(edges, group)
     rings = _other_rings(edges, state.where(F.col("next").isNotNull()).select("eid"), group, tol)
     ring = edges.join(state.where(F.col("next").isNull()).select("eid", "left"), "eid")
@@ -173,4 +173,4 @@ def union_outline(fps: DataFrame, group: str, strip: float = 0.05, tol: float =
         out = out.withColumn("pieces", checked(F.col("pieces"), one, "the union of a group is not one piece; pieces"))
     out = out.withColumn("vertices", F.when(one, F.col("vertices"))).withColumn("c", polygon.centroid(F.col("vertices")))
     out = out.select(group, polygon.area(F.col("vertices")).alias("area"), F.col("c.x").alias("cx"), F.col("c.y").alias("cy"), "vertices", "pieces", "holes")
-    return written(out, "outlines", [edges, state, rings])
+    return written(out, "outlines", [edges, state, rings], plain=True)

@@ -44,10 +44,10 @@ def group_by_pointing(fps: DataFrame, key: str = "fp_id", same: tuple[str, ...]
     """(key, component, group_no): groups of overlapping footprints, numbered in the order of ``sort_pointings`` by the centres of their
     outlines (holes filled, see ``union_outline``). A row without a footprint is an error."""
     fps = fps.withColumn("vertices", F.coalesce("vertices", F.raise_error(F.concat(F.lit("no footprint: "), F.col(key).cast("string"))).cast(polygon.TYPE)))
-    fps = written(fps.select(key, *[c for c in same if c != key], "vertices"), "footprints")
+    fps = written(fps.select(key, *[c for c in same if c != key], "vertices"), "footprints", plain=True)
     pairs = spatial.overlap_pairs(fps, key, same, min_fraction, cell)
     groups = components_of(fps.select(key, "vertices"), pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")), key)
-    groups = written(groups, "groups")
+    groups = written(groups, "groups", plain=True)
     centres = union_outline(groups, "component").select(F.col("component").alias("id"), F.col("cx").alias("ra"), F.col("cy").alias("dec"))
     placed = sort_pointings(centres, eps).select(F.col("id").alias("component"), F.col("place").alias("group_no"))
     return groups.join(placed, "component").select(key, "component", "group_no")

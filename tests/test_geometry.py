@@ -443,3 +443,20 @@ def test_counterparts_query_against_brute_force(spark, sf):
         hit = {(f, i) for i, f, w in ims if _clipped(w, v) >= 0.01 * min(area(w), area(v))}
         want |= {(g["image_id"], f, i) for f, i in hit} | {(g["image_id"], f, None) for f in {f for _, f, _ in ims} - {f for f, _ in hit}}
     assert {(r["target"], r["filter"], r["image_id"]) for r in plans.queries()["counterparts"](spark, sf).collect()} == want and len(want) > 10
+
+
+def test_small_files_of_many_rows_are_not_broadcast_and_are_dealt_by_rows(spark, monkeypatch):
+    """Footprints on a grid compress to a few bytes each; what counts is their size in memory."""
+    from lumenfield import scratch
+
+    monkeypatch.setattr(scratch, "ROWS", 1000)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "400k")
+    try:
+        f = spark.range(4000).select(F.col("id").alias("fp_id"), polygon.box(*[(F.col("id") % 200 + d) / 10 if i % 2 == 0 else (F.floor(F.col("id") / 200) + d) / 10 for i, d in enumerate((0, 0, 0.6, 0.6))]).alias("vertices"))
+        plan = spatial.overlap_pairs(f)._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan and "SortMergeJoin [gx" in plan
+        t = scratch.written(spark.range(100_000), plain=True)
+        assert int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= 800_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
