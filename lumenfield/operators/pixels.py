@@ -100,7 +100,7 @@ def segments(bright: DataFrame, min_pixels: int = 10, side: int = tiles.SIDE) ->
     spots = bright.select("image_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
     own = tiles.dealt(spots, side=side).groupBy("image_id", "ty", "tx").applyInArrow(tile, f"image_id {kind}, y long, x long, ty long, tx long, ly long, lx long")
     place = [F.lpad(F.col(c).cast("string"), 12, "0") for c in ("ly", "lx")]
-    own = written(own.select("image_id", "y", "x", F.concat_ws("/", F.col("image_id").cast("string"), *place).alias("label")), "labels")
+    own = written(own.select("image_id", "y", "x", F.concat_ws("/", F.col("image_id").cast("string"), *place).alias("label")), "labels", plain=True)
     last = lambda c: F.pmod(F.col(c), F.lit(side)).isin(0, side - 1)
     border = own.where(last("y") | last("x"))
     beyond = border.select("image_id", F.col("label").alias("src"), F.explode(tiles.neighbours(side)).alias("p")).select("image_id", "src", "p.y", "p.x")
@@ -114,6 +114,7 @@ def segments(bright: DataFrame, min_pixels: int = 10, side: int = tiles.SIDE) ->
 
 def segmentation(pixels: DataFrame, factor: float = 2.0, min_pixels: int = 10, radius: int = 4, sigma: float | None = None, value: str = "sci") -> DataFrame:
     """(image_id, y, x, segment): sources, grown by a blur of their regions that is over 0.05."""
+    pixels = written(pixels.select("image_id", "y", "x", value), "pixels", plain=True)  # read by every pass; exploded rows are more than the planner takes them for
     st = stats.clipped_stats(pixels, value=value).select("image_id", "median", "mad")
     bright = pixels.join(st, "image_id").where(F.col(value) - F.col("median") > factor * F.col("mad"))
     on = segments(bright, min_pixels).withColumn("on", F.lit(1.0))
@@ -129,7 +130,10 @@ def fill_masked(pixels: DataFrame, model: DataFrame, mask: Column, value: str =
     inside = F.coalesce(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")), F.lit(False))
     out = both.withColumn("filled", F.when(mask & inside, F.col("_m")).otherwise(F.col(value))).withColumn("_in", inside)
     if fill in ("zero", "mean", "median"):
-        agg = pixels.groupBy("image_id").agg({"zero": F.lit(0.0), "mean": F.avg(value), "median": F.median(value)}[fill].alias("_o"))
+        if fill == "median":
+            agg = pixels.select("image_id").distinct().join(stats.quantiles(pixels, ("image_id",), value, {"_o": 0.5}), "image_id", "left")
+        else:
+            agg = pixels.groupBy("image_id").agg({"zero": F.lit(0.0), "mean": F.avg(value)}[fill].alias("_o"))
         out = out.join(agg, "image_id").withColumn("filled", F.when(F.col("_in"), F.col("filled")).otherwise(F.coalesce("filled", "_o"))).drop("_o")
     return out.drop("_m", "_in", "x0", "x1", "y0", "y1")
 
@@ -142,7 +146,7 @@ def stripe_noise(pixels: DataFrame, mask: Column, pupil: str = "CLEAR", bin_size
     if pupil not in ("CLEAR", "GRISMR", "GRISMC"):
         raise ValueError(f"unsupported pupil: {pupil}")
     good = pixels.where(~F.coalesce(mask, F.lit(False)) & F.col(value).isNotNull())
-    med = good.groupBy("image_id").agg(F.median(value).alias("_all"))
+    med = stats.quantiles(good, ("image_id",), value, {"_all": 0.5})
     r = good.join(med, "image_id").select("image_id", "y", "x", (F.col(value) - F.col("_all")).alias("v"))
     out = pixels.select("image_id", "y", "x")
     noise = F.lit(0.0)
@@ -165,8 +169,8 @@ def smoothing_of(pupil: str) -> dict[str, float]:
 
 def stripe_noise_full(pixels: DataFrame, pupil: str = "CLEAR", bin_size: int = 1) -> DataFrame:
     """Stripe noise with the mask from the data: bad pixels and the segments of the smoothed image."""
-    smoothed = written(smooth(pixels, **smoothing_of(pupil)).withColumnRenamed("smooth", "sci"), "smoothed")
-    seg = written(segmentation(smoothed), "segments")
+    pixels = written(pixels.select("image_id", "y", "x", "sci", "dq"), "pixels", plain=True)
+    seg = written(segmentation(smooth(pixels, **smoothing_of(pupil)).withColumnRenamed("smooth", "sci")), "segments", plain=True)
     both = pixels.join(seg, ["image_id", "y", "x"], "left")
     return stripe_noise(both, (F.col("dq") != 0) | F.coalesce("segment", F.lit(False)), pupil, bin_size)
 

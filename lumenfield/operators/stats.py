@@ -17,24 +17,32 @@ def finite(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
 
 
-#: Values that one aggregate may hold: groups up to this size take Spark's exact quantile, larger ones are counted by ranges.
+#: Values that the aggregates of one task may hold at once: where groups take no more, they have Spark's exact quantile, else they are counted by ranges.
 HELD = 1_000_000
+#: Groups whose aggregates a task holds at once (``spark.sql.objectHashAggregate.sortBased.fallbackThreshold``); beyond, it sorts and holds one.
+AT_ONCE = 128
 
 
-def largest_group(rows: DataFrame, by: tuple[str, ...]) -> int:
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+def most_held(sizes: DataFrame) -> int:
+    """Values that a task's aggregates hold at most where groups have the sizes ``n``: all groups may meet in one task."""
+    largest, groups = sizes.agg(F.max("n"), F.count(F.lit(1))).first()
+    return (largest or 0) * min(groups, AT_ONCE)
+
+
+def held_at_once(rows: DataFrame, by: tuple[str, ...]) -> int:
+    return most_held(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")))
 
 
 def quantiles(rows: DataFrame, by: tuple[str, ...], value: str, at: dict[str, float], held: int = HELD, largest: int | None = None) -> DataFrame:
     """(*by, and a column for each name in ``at``): exact quantiles with linear interpolation of each group's values that are not null.
 
-    Groups of any size: where one has more than ``held`` values (``largest``, if that is known), a mergeable sketch gives each
+    Groups of any size: where a task could have to hold more than ``held`` values (``largest``, if that is known), a mergeable sketch gives each
     quantile a bracket, what is under the bracket is only counted, and the values inside are counted and placed by ranges over
     all groups together, so that no aggregate or task holds a group. Groups whose quantile a bracket misses take all their
     values. A group without values does not appear.
     """
     x = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    if (largest_group(x, by) if largest is None else largest) <= held:
+    if (held_at_once(x, by) if largest is None else largest) <= held:
         return x.groupBy(*by).agg(*(F.percentile("_v", F.lit(p)).alias(name) for name, p in at.items()))
     asked = list(at.items())
     accuracy = max(100, min(10_000, held // 4))
@@ -42,12 +50,12 @@ def quantiles(rows: DataFrame, by: tuple[str, ...], value: str, at: dict[str, fl
     ends = [min(1.0, max(0.0, p + s * margin)) for _, p in asked for s in (-1, 1)]
     groups = x.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", ends, accuracy).alias("_e"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
     bracket = [F.struct(F.lit(i).alias("i"), F.lit(p).alias("p"), (F.get("_e", F.lit(2 * i)) if ends[2 * i] > 0 else F.col("_min")).alias("lo"), (F.get("_e", F.lit(2 * i + 1)) if ends[2 * i + 1] < 1 else F.col("_max")).alias("hi")) for i, (_, p) in enumerate(asked)]
-    groups = written(groups.select(*by, "_n", "_min", "_max", F.explode(F.array(*bracket)).alias("b")).select(*by, "_n", "_min", "_max", "b.*"), "brackets")
+    groups = written(groups.select(*by, "_n", "_min", "_max", F.explode(F.array(*bracket)).alias("b")).select(*by, "_n", "_min", "_max", "b.*"), "brackets", plain=True)
     found = _in_brackets(x, groups, by)
     missed = found.where("_a is null").select(*by, "i")
     if not missed.isEmpty():
         whole = groups.join(missed, [*by, "i"], "left_semi").withColumns({"lo": F.col("_min"), "hi": F.col("_max")})
-        found = written(found.where("_a is not null").unionByName(_in_brackets(x, whole, by)), "quantiles")
+        found = written(found.where("_a is not null").unionByName(_in_brackets(x, whole, by)), "quantiles", plain=True)
     return found.groupBy(*by).agg(*(F.max(F.when(F.col("i") == i, F.col("_a") + F.col("_f") * (F.col("_b") - F.col("_a")))).alias(name) for i, (name, _) in enumerate(asked)))
 
 
@@ -67,14 +75,14 @@ def _in_brackets(x: DataFrame, groups: DataFrame, by: tuple[str, ...]) -> DataFr
     two = ranks.select(*own, "_f", holds(F.col("_k")).alias("_a"), holds(F.col("_k") + (F.col("_f") > 0).cast("int")).alias("_b"))
     two = two.groupBy(*own).agg(F.max("_f").alias("_f"), F.max("_a").alias("_a"), F.max("_b").alias("_b"))
     two = groups.select(*own).join(two, own, "left")
-    return written(two.withColumn("_a", F.when(F.col("_b").isNotNull(), F.col("_a"))), "placed")
+    return written(two.withColumn("_a", F.when(F.col("_b").isNotNull(), F.col("_a"))), "placed", plain=True)
 
 
 def clipped_stats(pixels: DataFrame, by: tuple[str, ...] = ("image_id",), value: str = "sci", mask: Column | None = None, sigma: float = 3.0, held: int = HELD) -> DataFrame:
     """Mean, population deviation, median and scaled MAD of what is within ``sigma`` MADs of the median; masked values are left out."""
     keys = list(by)
     x = pixels.where(F.col(value).isNotNull() & (F.lit(True) if mask is None else ~mask)).select(*by, F.col(value).alias("v"))
-    n = largest_group(x, by)
+    n = held_at_once(x, by)
     middle = lambda rows, c, name: quantiles(rows, by, c, {name: 0.5}, held, n)
     d = x.join(middle(x, "v", "m"), keys).withColumn("d", F.abs(F.col("v") - F.col("m")))
     s = middle(d, "d", "s")
