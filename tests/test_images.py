@@ -470,3 +470,22 @@ def test_associations_list_their_members(spark):
         "g1": {"products": [{"name": "jw01895002001_02010+02011+02012_F115W_nrca", "members": [member(f"b{i}.fits") for i in range(3)]}]},
         "g2": {"products": [{"name": "jw01895002001_02010_F200W_nrcb", "members": [member("x.fits")]}]},
     }
+
+
+def test_values_that_one_task_may_hold_count_over_all_groups(spark):
+    """Ten groups of 100 meet in one task, so what is held is 1000 values, however small each group is."""
+    df = spark.range(1000).select((F.col("id") % 10).alias("g"), F.col("id").cast("double").alias("v"))
+    assert stats.held_at_once(df, ("g",)) == 1000
+    got = stats.quantiles(df, ("g",), "v", {"m": 0.5}, held=999)
+    assert "percentile(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["g"]: r["m"] for r in got.collect()} == {g: 495.0 + g for g in range(10)}
+
+
+def test_sources_are_cut_out_once_whatever_the_number_of_targets(spark, sf, monkeypatch):
+    from lumenfield.plans import queries as plans
+
+    seen, cutout = [], spectra.cutout
+    monkeypatch.setattr(spectra, "cutout", lambda pixels, trace, *a: seen.append(trace.count()) or cutout(pixels, trace, *a))
+    out = plans.queries()["extract_spectra"](spark, sf)
+    ids, images = out.select("id").distinct().count(), out.select("image_id").distinct().count()
+    assert ids > images and seen == [60 * images]
