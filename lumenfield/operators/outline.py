@@ -100,10 +100,10 @@ def _followers(edges: DataFrame, group: str) -> DataFrame:
 
 
 def _jump(state: DataFrame, label: str, join) -> DataFrame:
-    """One step of pointer doubling: ``next`` of ``next``, with ``label`` joined by ``join``; where ``next`` is null the row is done."""
+    """One step of pointer doubling: ``next`` of ``next``, with ``label`` joined by ``join``; where ``next`` is null the row is done and does not join."""
     other = state.select(F.col("eid").alias("next"), F.col("next").alias("_next"), F.col(label).alias("_label"))
-    out = state.join(other, "next", "left").withColumn(label, F.when(F.col("_label").isNotNull(), join(F.col(label), F.col("_label"))).otherwise(F.col(label)))
-    return out.select(*[F.when(F.col("_label").isNotNull(), F.col("_next")).alias("next") if c == "next" else F.col(c) for c in state.columns])
+    out = state.where(F.col("next").isNotNull()).join(other, "next").withColumn(label, join(F.col(label), F.col("_label")))
+    return out.select(*[F.col("_next").alias("next") if c == "next" else F.col(c) for c in state.columns]).unionByName(state.where(F.col("next").isNull()))
 
 
 def _outer(edges: DataFrame, group: str) -> DataFrame:
