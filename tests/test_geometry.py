@@ -460,3 +460,26 @@ def test_small_files_of_many_rows_are_not_broadcast_and_are_dealt_by_rows(spark,
         assert int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= 800_000
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_near_pairs_by_poles_and_beyond_against_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.uniform(0, 360), rng.choice([89.97, -89.96, 91.5, 150.0, 269.99, 12.0]) + rng.uniform(0, 0.02)) for i in range(240)]
+    rows += [(1000 + i, 10.0 + i * 0.011, 150.0) for i in range(40)]
+    got = {(r["a"], r["b"]) for r in spatial.near_pairs(spark.createDataFrame(rows, "id long, ra double, dec double"), 0.02).collect()}
+    want = set()
+    for i, (a, ra, da) in enumerate(rows):
+        for b, rb, db in rows[i + 1 :]:
+            c = math.sin(math.radians(da)) * math.sin(math.radians(db)) + math.cos(math.radians(da)) * math.cos(math.radians(db)) * math.cos(math.radians(ra - rb))
+            if abs(da - db) < 0.02 and 0 < math.degrees(math.acos(max(-1.0, min(1.0, c)))) < 0.02:
+                want.add((a, b))
+    assert got == want and len(want) > 100
+
+
+def test_rows_that_are_done_stay_out_of_the_join_of_pointer_doubling(spark):
+    from lumenfield.operators import outline
+
+    state = spark.createDataFrame([(1, 2, 1), (2, 3, 1), (3, None, 1)], "eid long, next long, left long")
+    step = outline._jump(state, "left", lambda a, b: a + b)
+    assert sorted(map(tuple, step.collect())) == [(1, 3, 2), (2, None, 2), (3, None, 1)]
+    assert "LeftOuter" not in step._jdf.queryExecution().optimizedPlan().toString()
