@@ -85,6 +85,12 @@ def get_words(data: bytes) -> list[bytes]:
     return [text[a:b] for a, b in zip([0, *ends], ends)]
 
 
+def give_back() -> None:
+    """Free memory goes back to the system: Spark keeps idle workers, and each would hold what its largest block took."""
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
+
+
 class _Numbers(dict):
     def __missing__(self, word):
         n = self[word] = len(self)
@@ -108,7 +114,9 @@ def split(docs: DataFrame, tokenizer: Callable[[], Callable[[str], list]], bucke
         def flush() -> pa.RecordBatch:
             nonlocal made, texts, ids, flags, size
             sizes = [len(t) for t in texts]
-            numbered = pa.concat_arrays(texts).dictionary_encode()
+            whole, texts = pa.concat_arrays(texts), []
+            numbered = whole.dictionary_encode()
+            del whole
             flat, distinct = numbered.indices.to_numpy(), numbered.dictionary
             often = np.bincount(flat, minlength=len(distinct))
             by_rank = np.argsort(-often, kind="stable")
@@ -142,12 +150,15 @@ def split(docs: DataFrame, tokenizer: Callable[[], Callable[[str], list]], bucke
                 text = text.as_py() or ""
                 if ids and size + len(text) > block_bytes:
                     yield flush()
+                    give_back()
                 texts.append(pa.array(tokens(text), pa.binary()))
                 ids.append(doc_id)
                 flags.append(bool(flag))
                 size += len(text)
         if ids:
             yield flush()
+        batch = text = None
+        give_back()
 
     return docs.select(docs["doc_id"].cast("long"), "flag", "text").mapInArrow(run, SPLIT)
 
@@ -168,6 +179,8 @@ def by_word(parts: DataFrame, work: Callable[[list[list[bytes]], list[list[np.nd
             lists.append(get_words(words))
             extras.append([get_numbers(e) for e in extra])
         out = list(work(lists, extras))
+        del lists, extras
+        give_back()
         block, held = table.column("block").to_pylist(), table.column("bucket").to_pylist()
         if total:
             block, held = [*block, -1], [*held, held[0]]
@@ -197,6 +210,8 @@ class Block:
 
 def assemble(parts: DataFrame, back: DataFrame, work: Callable[[Block], pa.Table], schema: str) -> DataFrame:
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        return work(Block(left, right))
+        out = work(Block(left, right))
+        give_back()
+        return out
 
     return parts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(join, schema)

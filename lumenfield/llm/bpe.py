@@ -3,8 +3,8 @@
 Encoding: texts are split by the vocabulary's pattern; each block's distinct pre-tokens are shuffled by word,
 each distinct word of the corpus is encoded once, its ids are joined back to the blocks, and the blocks put
 their documents together by position (see ``blocks``). Decoding takes the ids apart, with their positions, and joins them with the
-token-byte table, which is broadcast, as its size is that of the vocabulary; a document's rows stay together and in order,
-so that its bytes are joined up without a shuffle.
+token-byte table, which is broadcast, as its size is that of the vocabulary: each distinct id of a document once, as a row for each occurrence
+is seven times as many. A document's rows stay together and in order, so that its bytes are joined up without a shuffle.
 
 Defined results: a null text is an empty one (no ids); repeated rows are encoded each; an empty table gives an
 empty result; strings of special tokens are ordinary text; words of any length are merged in n log n.
@@ -136,7 +136,7 @@ def _pretokens():
 
 
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and tokens (the same as an array), one row for each row of ``docs`` (doc_id, text)."""
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and tokens (array of the distinct ids), one row for each row of ``docs`` (doc_id, text)."""
 
     def once(lists: list[list[bytes]], _: list) -> Iterator[bytes]:
         number = blocks._Numbers()
@@ -153,14 +153,15 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
         ids = np.concatenate([g[1] for g in got]) if got else np.zeros(0, np.uint32)
         starts = (np.cumsum(sizes) - sizes)[b.place]
         sizes = sizes[b.place]
-        out, counts, flat = [], [], []
+        out, counts, distinct = [], [], []
         for end, n in zip(b.ends.tolist(), b.sizes.tolist()):
             c = b.codes[end - n : end]
             doc = ids[ragged(starts[c], sizes[c])]
             counts.append(len(doc))
-            flat.append(doc)
+            distinct.append(np.unique(doc).astype(np.int32))
             out.append(doc.astype("<u4").tobytes())
-        tokens_ = pa.ListArray.from_arrays(np.append(0, np.cumsum(counts)).astype(np.int32), pa.array(np.concatenate(flat).astype(np.int32)))
+        ends = np.cumsum([0, *map(len, distinct)]).astype(np.int32)
+        tokens_ = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(distinct)))
         return pa.table({"doc_id": pa.array(b.doc_ids, pa.int64()), "n_tokens": pa.array(counts, pa.int64()), "ids": pa.array(out, pa.binary()), "tokens": tokens_})
 
     buckets = blocks.buckets_for(docs)
@@ -175,41 +176,42 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
-    """``encoded`` with the column decoded, the bytes of its tokens, in place of the array tokens."""
+    """``encoded`` with the column decoded, the bytes of its ids, in place of the array tokens. An id without a token is an error."""
     rest = [f for f in encoded.schema.fields if f.name != "tokens"]
     pos, token, part = unused(encoded, "_pos", "_token", "_bytes")
     table = encoded.sparkSession.createDataFrame([(i, bytearray(b)) for b, i in tokens.ranks(vocabulary).items()], f"{token} int, {part} binary")
-    apart = encoded.select(*[f.name for f in rest], F.posexplode_outer("tokens").alias(pos, token))
-    apart = apart.join(F.broadcast(table), token, "left")  # as many rows as the vocabulary has tokens
-    first = F.coalesce(F.col(pos), F.lit(0)) == 0
-    apart = apart.select(*[F.when(first, F.col(f.name)).alias(f.name) for f in rest], F.coalesce(F.col(pos), F.lit(0)).alias(pos), part)
+    apart = encoded.select(*[f.name for f in rest], F.posexplode_outer("tokens").alias(pos, token)).withColumn(pos, F.coalesce(pos, F.lit(0)))
+    apart = apart.select(*[F.when(F.col(pos) == 0, F.col(f.name)).alias(f.name) for f in rest], pos, token)
+    apart = apart.join(F.broadcast(table), token, "left").select(*[f.name for f in rest], pos, token, part)  # as many rows as the vocabulary has tokens
+    ids = [f.name for f in rest].index("ids")
+
+    def whole(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        first, n = rows.take(pa.array(starts)).combine_chunks(), len(rest)
+        names, parts = (rows.column(n + i).to_pylist() for i in (1, 2))
+        texts = []
+        for a, b, x in zip(starts.tolist(), [*starts[1:].tolist(), rows.num_rows], first.column(ids)):
+            known = dict(zip(names[a:b], parts[a:b]))
+            try:
+                texts.append(b"".join(map(known.__getitem__, np.frombuffer(x.as_py() or b"", "<u4").tolist())))
+            except (KeyError, TypeError):
+                raise ValueError("a document has ids that are not in its tokens or not in the vocabulary") from None
+        columns = [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in first.columns[:n]]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.binary())], names=[*(f.name for f in rest), "decoded"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, data, seen = None, [], 0
-
-        def whole(rows: list[pa.RecordBatch], texts: list[bytes]) -> pa.RecordBatch:
-            rows = pa.Table.from_batches(rows).combine_chunks()
-            return pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in rows.columns), pa.array(texts, pa.binary())], names=[*(f.name for f in rest), "decoded"])
-
+        held: list[pa.RecordBatch] = []  # rows of a document that the next batch may go on with
         for batch in batches:
-            at, part = batch.column(len(rest)).to_numpy(), batch.column(len(rest) + 1)
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([*held, batch]).combine_chunks()
+            at = rows.column(len(rest)).to_numpy()
             starts = np.flatnonzero(at == 0)
-            if (at != np.arange(len(at)) - np.repeat(np.append(-seen, starts), np.diff(np.append(np.append(0, starts), len(at))))).any():
+            if not len(starts) or starts[0] or (at != np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))).any():
                 raise RuntimeError("a document's tokens have come apart")
-            ends = np.frombuffer(part.buffers()[1], np.int32)[part.offset : part.offset + len(part) + 1]
-            raw = memoryview(part.buffers()[2] or b"")
-            rows, texts = [], []
-            for a, b in zip([0, *starts.tolist()], [*starts.tolist(), len(at)]):
-                if at[a : a + 1] == 0 and a < b:
-                    if row is not None:
-                        rows.append(row)
-                        texts.append(b"".join(data))
-                    row, data = batch.slice(a, 1).select(range(len(rest))), []
-                data.append(bytes(raw[ends[a] : ends[b]]))
-            seen = int(at[-1]) + 1 if len(at) else seen
-            if rows:
-                yield whole(rows, texts)
-        if row is not None:
-            yield whole([row], [b"".join(data)])
+            if len(starts) > 1:
+                yield whole(rows.slice(0, starts[-1]), starts[:-1])
+            held = rows.slice(starts[-1]).to_batches()
+        if held:
+            yield whole(pa.Table.from_batches(held), np.zeros(1, np.int64))
 
     return apart.mapInArrow(run, T.StructType([*rest, T.StructField("decoded", T.BinaryType())]))

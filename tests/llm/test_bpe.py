@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -57,3 +58,24 @@ def test_columns_that_clash_are_left_alone(spark):
     docs = spark.createDataFrame([(1, "some text", 5, 6, 7), (2, None, 5, 6, 7)], "doc_id long, text string, block int, ids int, flag int")
     made = bpe.decode(bpe.encode(docs, RANKS), RANKS)
     assert {r["doc_id"]: bytes(r["decoded"]) for r in made.collect()} == {1: b"some text", 2: b""}
+
+
+def test_decoding_joins_each_distinct_id_of_a_document_once(spark):
+    texts = {1: "to be or not to be, " * 300, 2: "", 3: " ".join(map(str, range(400))), 4: "to be"}
+    made = bpe.encode(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), RANKS).localCheckpoint()
+    rows = {r["doc_id"]: r for r in made.collect()}
+    assert all(sorted(set(np.frombuffer(r["ids"], "<u4").tolist())) == r["tokens"] for r in rows.values()) and len(rows[1]["tokens"]) < 12 < 1500 < rows[1]["n_tokens"]
+    # documents that go over several batches, and rows that come in another order and alone
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        for rows in (made, made.orderBy("n_tokens"), made.where("doc_id = 3")):
+            got = {r["doc_id"]: bytes(r["decoded"]).decode() for r in bpe.decode(rows, RANKS).collect()}
+            assert got == {r["doc_id"]: texts[r["doc_id"]] for r in rows.select("doc_id").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_an_id_outside_the_vocabulary_is_an_error(spark):
+    bad = spark.createDataFrame([(1, bytearray(np.array([10_000_000], "<u4").tobytes()), [10_000_000])], "doc_id long, ids binary, tokens array<int>")
+    with pytest.raises(Exception, match="not in the vocabulary"):
+        bpe.decode(bad, RANKS).collect()
