@@ -303,6 +303,19 @@ def test_points_without_a_place_have_no_nearest_footprint(spark):
     assert {r["id"] for r in spatial.nearest_footprint(p, f.limit(0)).collect()} == {2, 3, None}
 
 
+def test_centres_are_dealt_before_their_geometry_and_computed_once(spark, monkeypatch):
+    """A small file of many footprints is one task: its rows are dealt by key first. Repeated points, -0.0 too, come once and their ties go to the least key."""
+    plans, own = {}, spatial.written
+    monkeypatch.setattr(spatial, "written", lambda df, name="table", *a, **b: (plans.setdefault(name, df), own(df, name, *a, **b))[1])
+    f = spark.createDataFrame([(i, [(i + dx, dy) for dx, dy in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0))]) for i in range(30)], f"fp_id long, vertices {TYPE}").coalesce(1)
+    p = spark.createDataFrame([(1, 0.0, 0.0), (1, -0.0, 0.0), (2, 29.0, 1.0), (2, 29.0, 1.0), (2, 29.0, 2.0)], "id long, ra double, dec double").repartition(5)
+    got = sorted(tuple(r)[:4] for r in spatial.nearest_footprint(p, f, leaf=2).collect())
+    assert [g[:3] for g in got] == [(1, 0.0, 0.0), (2, 29.0, 1.0), (2, 29.0, 2.0)] and [g[3] for g in got] == [0, 28, 28]
+    plan = plans["centres"]._jdf.queryExecution().optimizedPlan().toString()
+    assert plans["centres"].columns == ["_key", "c"] and "RepartitionByExpression" in plan
+    assert plan.index(" AS c#") < plan.index("RepartitionByExpression")  # geometry above the exchange
+
+
 SCALE = 1e-4
 
 
